@@ -130,7 +130,8 @@ STORE = LOGS + """, store AS (
 
 
 def with_logs(body: str) -> str:
-    return f"WITH {LOGS} {body}"
+    """SQL over ``logs``; a body that starts with a comma adds more CTEs."""
+    return f"WITH {LOGS}{body}" if body.lstrip().startswith(",") else f"WITH {LOGS} {body}"
 
 
 def with_store(body: str, *ctes: str) -> str:

@@ -104,7 +104,16 @@ def parse_chain(
                 "parser": F.when(todo & F.col("__got").isNotNull(), F.lit(parser.name)).otherwise(F.col("parser")),
             }
         ).drop("__got", *[f"__s{i}" for i in range(len(parser.stages))])
-    return out
+    return out.withColumns({c: _parsed_once(F.col(c)) for c in ("parsed", "parser")})
+
+
+def _parsed_once(c: Column) -> Column:
+    """The value unchanged, in a form that filters are not moved below.
+
+    Spark would otherwise copy the whole parse into a filter next to the scan
+    and parse every line again for the rows that pass.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def parse_lines(

@@ -312,3 +312,16 @@ START_ORDER = ("start_index", "close_index", "rule_ord")
 
 def order_by_start(found: DataFrame) -> DataFrame:
     return found.orderBy(*START_ORDER)
+
+
+def port_lifecycle(logs: DataFrame, rules: list[RegionRule]) -> DataFrame:
+    """Per rule and port: completed and timed-out regions, total and longest duration."""
+    found = regions(logs, rules)
+    ms = F.when(~F.col("timed_out"), F.unix_millis("end_ts") - F.unix_millis("start_ts"))
+    port = F.try_element_at(F.col("metadata"), F.lit("port")).alias("port")
+    return found.groupBy("definition_name", port).agg(
+        F.count_if(~F.col("timed_out")).alias("completed"),
+        F.count_if("timed_out").alias("timed_out"),
+        F.sum(ms).alias("total_ms"),
+        F.max(ms).alias("max_ms"),
+    )
