@@ -1,0 +1,179 @@
+"""Streaming queries: the event table arrives in pieces."""
+
+from __future__ import annotations
+
+import time
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..streaming import follow as fo
+from ..streaming import operators as so
+from ..streaming.batches import last_batch, write_batch
+from ..streaming.regions import closed_regions, stream_regions
+from .common import EVENTS_SCHEMA, events, ext_line, fresh_dir, query, to_log_rows, with_logs, with_store
+from .filtering import CATEGORY_RULES, CATEGORY_SQL
+from .parsing import LEVEL, MESSAGE
+from .spans import STACK, visit_rules
+
+_PIECES = 3
+_ARRIVED: dict[tuple[str, str, str], str] = {}
+
+
+def _piece(df: DataFrame, bounds: list, i: int) -> DataFrame:
+    lo, hi = bounds[i], bounds[i + 1]
+    out = df if lo is None else df.filter(F.col("ts") >= lo)
+    return out if hi is None else out.filter(F.col("ts") < hi)
+
+
+_BOUNDS = [None, "2024-01-11", "2024-01-21", None]
+
+
+def arrivals(spark, sf_dir: str, kind: str) -> str:
+    """A folder into which the events were put in three instalments, in time order."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _ARRIVED:
+        path = fresh_dir(spark, f"arrivals-{kind}")
+        for i in range(_PIECES):
+            part = _piece(events(spark, sf_dir), _BOUNDS, i)
+            if kind == "events":
+                part.coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+            else:
+                line = ext_line()
+                part.orderBy("event_id").coalesce(1).select(line).write.mode("append").text(f"{path}/{i}")
+            time.sleep(0.05)
+        _ARRIVED[key] = path
+    return _ARRIVED[key]
+
+
+def log_stream(spark, sf_dir: str) -> DataFrame:
+    path = arrivals(spark, sf_dir, "events")
+    return to_log_rows(
+        spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    )
+
+
+def run(sdf: DataFrame, mode: str, label: str) -> DataFrame:
+    """Run a stream over what is there and give the result as a table."""
+    spark = sdf.sparkSession
+    base = fresh_dir(spark, label)
+    out, where = f"{base}/out", f"{base}/checkpoint"
+    writer = sdf.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(sdf.schema).parquet(out)
+    writer.foreachBatch(lambda df, i: write_batch(df, out, i)).start().awaitTermination()
+    return last_batch(spark, out, sdf.schema)
+
+
+@query(
+    "t1_stream_logs",
+    f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, ts AS "timestamp", {LEVEL} AS level, {MESSAGE} AS message FROM events""",
+)
+def t1(spark, sf_dir):
+    path = f"{arrivals(spark, sf_dir, 'lines')}/*"
+    base = fresh_dir(spark, "follow")
+    q = fo.follow(spark, path, "syslog", f"{base}/out", f"{base}/checkpoint", maxFilesPerTrigger="1")
+    q.awaitTermination()
+    return fo.followed(spark, f"{base}/out").select("id", "timestamp", "level", "message")
+
+
+@query(
+    "t1_stream_stateless",
+    f"""SELECT ts AS "timestamp", {LEVEL} AS level, {MESSAGE} AS message FROM events""",
+)
+def t1b(spark, sf_dir):
+    path = f"{arrivals(spark, sf_dir, 'lines')}/*"
+    logs = fo.stream_logs(spark, path, "syslog").select("timestamp", "level", "message")
+    return run(logs, "append", "stateless")
+
+
+@query(
+    "t2_restart",
+    """SELECT count(*) AS records, min(rn) AS first_id, max(rn) AS last_id FROM (SELECT row_number() OVER () - 1 AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-21')""",
+)
+def t2(spark, sf_dir):
+    path = arrivals(spark, sf_dir, "lines")
+    first, _ = fo.restart(spark, f"{path}/0", "syslog")
+    first.awaitTermination()
+    again, out = fo.restart(spark, f"{path}/2", "syslog")
+    again.awaitTermination()
+    return fo.followed(spark, out).agg(
+        F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+
+
+@query(
+    "t3_stream_filter",
+    with_logs("SELECT id, message FROM logs WHERE coalesce(level <> 'DEBUG', false) AND NOT message LIKE '%value=3%'"),
+)
+def t3(spark, sf_dir):
+    entries = [
+        ({"field": "level", "op": "!=", "value": "DEBUG"}, False),
+        ({"field": "message", "op": "contains", "value": "value=3"}, True),
+    ]
+    return run(so.stream_filter(log_stream(spark, sf_dir), entries).select("id", "message"), "append", "filter")
+
+
+@query("t3_stream_level_counts", with_logs("SELECT level, count(*) AS records FROM logs GROUP BY level"))
+def t3b(spark, sf_dir):
+    return run(so.stream_level_counts(log_stream(spark, sf_dir)), "complete", "levels")
+
+
+@query("t4_stream_search", with_logs("SELECT id FROM logs WHERE regexp_matches(message, '(?i)ERROR VALUE=1')"))
+def t4(spark, sf_dir):
+    return run(so.stream_search(log_stream(spark, sf_dir), "ERROR VALUE=1").select("id"), "append", "search")
+
+
+@query(
+    "t5_stream_categories",
+    with_logs(
+        "SELECT category, records FROM ("
+        + " UNION ALL ".join(f"SELECT '{n}' AS category, count(*) FILTER ({p}) AS records FROM logs" for n, p in CATEGORY_SQL)
+        + ") WHERE records > 0"
+    ),
+)
+def t5(spark, sf_dir):
+    return run(so.stream_categories(log_stream(spark, sf_dir), CATEGORY_RULES), "complete", "categories")
+
+
+@query(
+    "t5_stream_category_density",
+    with_logs(
+        "SELECT category, slice_start, count(*) AS records FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{n}' AS category, time_bucket(INTERVAL 6 HOUR, \"timestamp\", TIMESTAMP '2024-01-01') AS slice_start FROM logs WHERE {p}"
+            for n, p in CATEGORY_SQL
+        )
+        + ") GROUP BY 1, 2"
+    ),
+)
+def t5b(spark, sf_dir):
+    return run(so.stream_categories(log_stream(spark, sf_dir), CATEGORY_RULES, "6 hours"), "complete", "category-density")
+
+
+@query("t6_stream_regions", with_store("SELECT 'visit of ' || pid AS name, start_index, end_index, timed_out FROM visits", STACK))
+def t6(spark, sf_dir):
+    base = fresh_dir(spark, "stream-regions")
+    q = stream_regions(log_stream(spark, sf_dir), visit_rules(), f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    return closed_regions(spark, f"{base}/out").select("name", "start_index", "end_index", "timed_out")
+
+
+@query(
+    "t7_lateness",
+    with_logs(
+        """SELECT date_trunc('day', "timestamp") AS slice_start, count(*) AS records FROM logs GROUP BY 1
+           HAVING date_trunc('day', any_value("timestamp")) + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM logs) - INTERVAL 10 MINUTE"""
+    ),
+)
+def t7(spark, sf_dir):
+    late = so.with_lateness(log_stream(spark, sf_dir), "10 minutes")
+    return run(so.stream_density(late, "1 day"), "append", "lateness")
+
+
+@query(
+    "t8_stream_density",
+    with_logs("""SELECT level, time_bucket(INTERVAL 1 HOUR, "timestamp") AS slice_start, count(*) AS records FROM logs GROUP BY 1, 2"""),
+)
+def t8(spark, sf_dir):
+    return run(so.stream_density(log_stream(spark, sf_dir), "1 hour", by="level"), "complete", "density")

@@ -1,0 +1 @@
+"""Incremental forms of the operators on Structured Streaming."""
