@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
 from ..operators.ordering import with_record_index
-from ..session import scratch_path
+from ..session import scratch_path, tune
 from ..sources.tables import as_logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,8 +20,7 @@ def query(name: str, sql: str | None = None):
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return naive_times(fn(spark, sf_dir))
+            return naive_times(fn(tune(spark), sf_dir))
 
         QUERIES[name] = run
         if sql is not None:

@@ -122,8 +122,13 @@ def captures(c: Column, java: str, layout: list[int | str]) -> Column:
     """
     template = "".join(f"{_SEP}${x}" if isinstance(x, int) else f"{_SEP}{x}" for x in layout)
     quick = F.split(F.regexp_replace(c, java, template), _SEP, -1)
-    pieces = [F.regexp_extract(c, java, x) if isinstance(x, int) else F.lit(x) for x in layout]
-    slow = F.when(c.rlike(java), F.array(F.lit(""), *pieces))
+    texts = F.array(*[F.lit("" if isinstance(x, int) else x) for x in layout])
+    groups = F.array(*[F.lit(x if isinstance(x, int) else -1) for x in layout])
+
+    def piece(group: Column, i: Column) -> Column:
+        return F.when(group < 0, F.get(texts, i)).otherwise(F.call_function("regexp_extract", c, F.lit(java), group))
+
+    slow = F.when(c.rlike(java), F.concat(F.array(F.lit("")), F.transform(groups, piece)))
     return F.when(F.contains(c, F.lit(_SEP)), slow).otherwise(quick)
 
 

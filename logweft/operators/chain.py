@@ -89,22 +89,22 @@ def parse_chain(
     """
     text = F.col(line)
     year_col = F.col(year) if year and year in lines.columns else F.lit(None).cast("int")
-    out = lines.withColumns({"parsed": F.lit(None).cast(PARSED_TYPE), "parser": F.lit(None).cast("string")})
-    for entry in parsers:
+    out, got = lines, []
+    for n, entry in enumerate(parsers):
         parser, cond = entry if isinstance(entry, tuple) else (entry, None)
-        todo = F.col("parsed").isNull() if cond is None else F.col("parsed").isNull() & cond
+        tests = [F.col(f"__got{i}").isNull() for i in range(n)] + ([] if cond is None else [cond])
+        todo = reduce(Column.__and__, tests) if tests else None
         last = text
         for i, stage in enumerate(parser.stages):
-            out = out.withColumn(f"__s{i}", F.when(todo, stage(last)))
+            out = out.withColumn(f"__s{i}", stage(last, year_col) if todo is None else F.when(todo, stage(last, year_col)))
             last = F.col(f"__s{i}")
-        out = out.withColumn("__got", F.when(todo, parser.build(last, text, year_col)))
-        out = out.withColumns(
-            {
-                "parsed": F.coalesce("parsed", "__got"),
-                "parser": F.when(todo & F.col("__got").isNotNull(), F.lit(parser.name)).otherwise(F.col("parser")),
-            }
-        ).drop("__got", *[f"__s{i}" for i in range(len(parser.stages))])
-    return out.withColumns({c: _parsed_once(F.col(c)) for c in ("parsed", "parser")})
+        made = parser.build(last, text, year_col)
+        out = out.withColumn(f"__got{n}", made if todo is None else F.when(todo, made))
+        out = out.drop(*[f"__s{i}" for i in range(len(parser.stages))])
+        got.append((F.col(f"__got{n}"), parser.name))
+    result = F.coalesce(*[g for g, _ in got])
+    name = F.coalesce(*[F.when(g.isNotNull(), F.lit(n)) for g, n in got])
+    return out.select(*lines.columns, _parsed_once(result).alias("parsed"), _parsed_once(name).alias("parser"))
 
 
 def _parsed_once(c: Column) -> Column:

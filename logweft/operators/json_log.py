@@ -165,7 +165,7 @@ def _record(entries: Column, line: Column, year: Column) -> Column:
     )
 
 
-JSON_PARSER = Parser("json", (_entries,), _record)
+JSON_PARSER = Parser("json", (lambda line, year: _entries(line),), _record)
 
 
 def parse_json_log(line: Column) -> Column:

@@ -31,14 +31,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 @dataclass(frozen=True)
 class Parser:
     name: str
-    stages: tuple[Callable[[Column], Column], ...]
+    stages: tuple[Callable[[Column, Column], Column], ...]  # (stage before, year)
     build: Callable[[Column, Column, Column], Column]  # (last stage, line, year)
 
     def __call__(self, line: Column, year: Column | None = None) -> Column:
         def step(value: Column, left: tuple) -> Column:
             if not left:
                 return self.build(value, line, _year(year))
-            return let(left[0](value), lambda v: step(v, left[1:]))
+            return let(left[0](value, _year(year)), lambda v: step(v, left[1:]))
 
         return step(line, self.stages)
 
@@ -77,25 +77,19 @@ def u32(text: Column) -> Column:
 # ---------------------------------------------------------------- syslog
 
 
-_PROCESS = r"(?s)\A(?:([^#]*)(#))?([^\[]*)(?:(\[)([^\]]*)\]?.*)?\z"
-_PROCESS_LAYOUT = [1, 2, 3, 4, 5]
-
-
-def _process_fields(p: Column, at: int = 0) -> tuple[Column, Column, Column]:
-    digits = p[at + 5]
+def _process_fields(part: Column) -> tuple[Column, Column, Column]:
+    container = F.when(has(part, "#"), before(part, "#"))
+    rest = F.when(has(part, "#"), after(part, "#")).otherwise(part)
+    digits = before(F.substring_index(rest, "[", -1), "]")
     number = F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
-    pid = F.when((p[at + 4] != "") & (F.translate(digits, "0123456789", "") == ""), number)
-    return F.when(p[at + 2] != "", p[at + 1]), p[at + 3], F.when(pid <= MAX_U32, pid)
+    pid = F.when(has(rest, "[") & (F.translate(digits, "0123456789", "") == ""), number)
+    return container, before(rest, "["), F.when(pid <= MAX_U32, pid)
 
 
 def split_process(part: Column) -> Column:
     """Struct ``container, process_name, pid`` of ``container#process[pid]``."""
-
-    def fields(p: Column) -> Column:
-        container, process, pid = _process_fields(p)
-        return F.struct(container.alias("container"), process.alias("process_name"), pid.alias("pid"))
-
-    return F.when(part.isNotNull(), let(captures(part, _PROCESS, _PROCESS_LAYOUT), fields))
+    container, process, pid = _process_fields(part)
+    return F.struct(container.alias("container"), process.alias("process_name"), pid.alias("pid"))
 
 
 _CLOCK = r"\d\d:\d\d:\d\d"
@@ -129,28 +123,30 @@ def _syslog_pieces(line: Column, layouts: str, precise: bool) -> Column:
     return out
 
 
-def _with_process(pieces: Column) -> Column:
-    """Append the pieces of the process part to those of the line."""
-    return F.when(matched(pieces, _ISO_LAYOUT), F.concat(pieces, captures(pieces[10], _PROCESS, _PROCESS_LAYOUT)))
+def _timed(p: Column, ts: Column) -> Column:
+    """Pieces with their time, so that the time is worked out once."""
+    return F.struct(p.alias("p"), ts.alias("ts"))
 
 
-def _syslog_record(p: Column, line: Column, year: Column) -> Column:
+def _syslog_time(p: Column, year: Column) -> Column:
     kind, month, zone = p[1], p[3], p[7]
     y = F.when(kind == "B", year.cast("string")).otherwise(p[2])
-    m = F.when(kind == "I", month.try_cast("int")).otherwise(month_number(month))
+    m = F.when(kind == "I", month).otherwise(month_number(month).cast("string"))
     at = utc(y, m, p[4], p[5], p[6])
     hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.right(zone, F.lit(2)).try_cast("int")
-    offset = F.when(
-        F.length(zone) > 1,
-        F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1)) * (hours * 3600 + minutes * 60),
-    ).otherwise(F.lit(0))
-    ts = F.when(offset == 0, at).when(F.abs(offset) < 86_400, shift_seconds(at, -offset))
-    container, process, pid = _process_fields(p, len(_ISO_LAYOUT) + 1)
+    sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    offset = sign * (hours * 3600 + minutes * 60)
+    return F.when(F.length(zone) <= 1, at).when(F.abs(offset) < 86_400, shift_seconds(at, -offset))
+
+
+def _syslog_record(s: Column, line: Column, year: Column) -> Column:
+    p, ts = s["p"], s["ts"]
+    container, process, pid = _process_fields(p[10])
     return F.when(
-        p.isNotNull() & ts.isNotNull(),
+        ts.isNotNull(),
         parsed(
             timestamp=ts,
-            level=F.when(kind == "E", normalize_level(p[9])),
+            level=F.when(p[1] == "E", normalize_level(p[9])),
             hostname=p[8],
             container=container,
             process_name=process,
@@ -166,7 +162,9 @@ def syslog_parser(layouts: str = "BEI", precise: bool = False) -> Parser:
     ``precise`` also takes ``Y-m-d H:M:S`` with a blank and lines that start with
     two timestamps, of which the second is the event's.
     """
-    return Parser("syslog", (lambda line: _syslog_pieces(line, layouts, precise), _with_process), _syslog_record)
+    pieces = lambda line, year: _syslog_pieces(line, layouts, precise)
+    timed = lambda p, year: F.when(matched(p, _ISO_LAYOUT), _timed(p, _syslog_time(p, year)))
+    return Parser("syslog", (pieces, timed), _syslog_record)
 
 
 def parse_syslog_bsd(line: Column, year) -> Column:
@@ -193,6 +191,13 @@ def _dotted_time(p: Column) -> Column:
     return utc(p[1], p[2], p[3], p[4], fraction)
 
 
+def _dotted_stages(java: str, layout: list[int | str]) -> tuple[Callable[[Column, Column], Column], ...]:
+    return (
+        lambda line, year: captures(line, java, layout),
+        lambda p, year: F.when(matched(p, layout), _timed(p, _dotted_time(p))),
+    )
+
+
 # Operations of table-change logs.
 TABLE_OPS = ("SET", "DEL", "HSET", "HDEL", "GETRESPONSE", "PLANNINGRESPONSE")
 
@@ -201,7 +206,8 @@ _TABLE = rf"(?s)\A{_DOTTED}(([^|:]*)(:[^|]*)?(\|([^|]*)(\|(([^|]*)(?:\|(.*))?))?
 _TABLE_LAYOUT = list(range(1, 15))
 
 
-def _table_record(p: Column, line: Column, year: Column) -> Column:
+def _table_record(s: Column, line: Column, year: Column) -> Column:
+    p, ts = s["p"], s["ts"]
     content, table, key, rest, second, has_tail, tail, third, follow = [p[i] for i in range(6, 15)]
     piped, keyed, tailed = rest != "", key != "", has_tail != ""
     known = second.isin(*TABLE_OPS)
@@ -212,14 +218,13 @@ def _table_record(p: Column, line: Column, year: Column) -> Column:
     context = F.when(with_key, F.substring(key, 2, MAX_TEXT)).when(sub_key, second)
     function = F.when(with_key | op_second, second).when(sub_key, third)
     message = F.when(with_key | op_second, tail).when(sub_key, follow).otherwise(content)
-    ts = _dotted_time(p)
-    ok = matched(p, _TABLE_LAYOUT) & (F.octet_length(line) >= 22) & ts.isNotNull()
     return F.when(
-        ok, parsed(timestamp=ts, component_name=component, context=context, function=function, message=message)
+        (F.octet_length(line) >= 22) & ts.isNotNull(),
+        parsed(timestamp=ts, component_name=component, context=context, function=function, message=message),
     )
 
 
-TABLE_PARSER = Parser("table_log", (lambda line: captures(line, _TABLE, _TABLE_LAYOUT),), _table_record)
+TABLE_PARSER = Parser("table_log", _dotted_stages(_TABLE, _TABLE_LAYOUT), _table_record)
 
 
 def parse_table_log(line: Column) -> Column:
@@ -257,7 +262,8 @@ def _type_context(whole_text: Column, kind: Column, context: Column) -> tuple[Co
     return component, F.when(split, F.nullif(F.substring(context, 2, MAX_TEXT), F.lit("")))
 
 
-def _op_record(p: Column, line: Column, year: Column) -> Column:
+def _op_record(s: Column, line: Column, year: Column) -> Column:
+    p, ts = s["p"], s["ts"]
     op, detail, first, kind1, context1, piped, rest, second, kind2, context2, follow = [p[i] for i in range(6, 17)]
     single, bulk, named = op.isin("c", "s", "g", "p"), op.isin("C", "R", "S", "B"), op.isin("q", "Q", "n")
     single_kind, single_context = _type_context(first, kind1, context1)
@@ -293,10 +299,8 @@ def _op_record(p: Column, line: Column, year: Column) -> Column:
     for code, text in OP_FUNCTIONS.items():
         function = F.when(op == code, F.lit(text)).otherwise(function)
     function = F.when(named, F.concat(function, first)).otherwise(function)
-    ts = _dotted_time(p)
-    ok = matched(p, _OP_LAYOUT) & (F.octet_length(line) >= 24) & ts.isNotNull()
     return F.when(
-        ok,
+        (F.octet_length(line) >= 24) & ts.isNotNull(),
         parsed(
             timestamp=ts,
             level=F.when(op == "n", "NOTICE").otherwise("INFO"),
@@ -308,7 +312,7 @@ def _op_record(p: Column, line: Column, year: Column) -> Column:
     )
 
 
-OP_PARSER = Parser("op_log", (lambda line: captures(line, _OP, _OP_LAYOUT),), _op_record)
+OP_PARSER = Parser("op_log", _dotted_stages(_OP, _OP_LAYOUT), _op_record)
 
 
 def parse_op_log(line: Column) -> Column:
@@ -364,7 +368,7 @@ def regex_parser(name: str, pattern: str, ts_format: str | None = None) -> Parse
         hit = matched(caps, layout) if layout else F.coalesce(line.rlike(p.java), F.lit(False))
         return F.when(hit, parsed(**fields))
 
-    prepare = (lambda line: captures(line, java, layout)) if layout else (lambda line: F.array(line))
+    prepare = (lambda line, y: captures(line, java, layout)) if layout else (lambda line, y: F.array(line))
     return Parser(name, (prepare,), build)
 
 
@@ -398,7 +402,7 @@ def _fallback_record(p: Column, line: Column, year: Column) -> Column:
 
 FALLBACK_PARSER = Parser(
     "fallback",
-    (lambda line: F.when(has(line, "\n"), F.regexp_extract(line, "([^\\n]+)", 1)).otherwise(line),),
+    (lambda line, year: F.when(has(line, "\n"), F.regexp_extract(line, "([^\\n]+)", 1)).otherwise(line),),
     _fallback_record,
 )
 

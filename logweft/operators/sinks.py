@@ -63,8 +63,7 @@ def write_yaml(df: DataFrame, path: str, fields: Sequence[str] | None = None, mo
     _text(df, yaml_document(fields), path, mode)
 
 
-def record_struct(df: DataFrame) -> Column:
-    return F.struct(*[F.col(c) for c in df.columns])
+RECORD_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def record_yaml(df: DataFrame) -> Column:
@@ -85,4 +84,6 @@ def write_records(df: DataFrame, path: str, fmt: str = "json", mode: str = "erro
     if fmt == "yaml":
         _text(df, record_yaml(df), path, mode)
     else:
-        df.write.mode(mode).format(fmt).save(path)
+        # JSON would cut times to milliseconds by default.
+        options = {"timestampFormat": RECORD_TIME} if fmt == "json" else {}
+        df.write.mode(mode).format(fmt).options(**options).save(path)

@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Generated methods beyond this many bytecodes are never compiled by the JVM, only
+# interpreted; parsing then runs several times slower than without fusing the stage.
+METHOD_LIMIT = "8000"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators rely on, for a session made elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark
+
+
 def get_spark(app: str = "logweft", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators rely on (UTC, AQE)."""
     b = SparkSession.builder.appName(app)
@@ -18,6 +31,7 @@ def get_spark(app: str = "logweft", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.variant.allowDuplicateKeys": "true",
+        "spark.sql.codegen.hugeMethodLimit": METHOD_LIMIT,
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for k, v in settings.items():

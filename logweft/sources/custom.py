@@ -20,7 +20,7 @@ def register_parser(name: str, parse: Callable[[Column], Column]) -> Parser:
     def build(prepared: Column, line: Column, year: Column) -> Column:
         return F.when(prepared.isNotNull(), prepared.cast(PARSED_TYPE))
 
-    parser = Parser(name, (parse,), build)
+    parser = Parser(name, (lambda line, year: parse(line),), build)
     _REGISTERED[name] = parser
     return parser
 
