@@ -16,7 +16,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.levels import normalize_level
 from ..functions.regex import captures, matched, translate, whole
-from ..functions.timestamps import MONTH_RE, month_number, parse_ts, shift_seconds, utc
+from ..functions.timestamps import MONTHS, parse_ts, shift_seconds, utc
 from ..schema import PARSED_TYPE
 
 MAX_U32 = 4_294_967_295
@@ -81,8 +81,9 @@ def _process_fields(part: Column) -> tuple[Column, Column, Column]:
     container = F.when(has(part, "#"), before(part, "#"))
     rest = F.when(has(part, "#"), after(part, "#")).otherwise(part)
     digits = before(F.substring_index(rest, "[", -1), "]")
-    number = F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
-    pid = F.when(has(rest, "[") & (F.translate(digits, "0123456789", "") == ""), number)
+    # Between two zeros only digits give a number (no sign, no blanks); nothing gives 0.
+    number = F.concat(F.lit("0"), digits, F.lit("0")).try_cast("bigint") / 10
+    pid = F.when(has(rest, "["), number.cast("bigint"))
     return container, before(rest, "["), F.when(pid <= MAX_U32, pid)
 
 
@@ -94,64 +95,107 @@ def split_process(part: Column) -> Column:
 
 _CLOCK = r"\d\d:\d\d:\d\d"
 _TAIL = r"([^ ]*) (.*?): (.*)\z"
-_BSD = rf"(?s)\A({MONTH_RE})[\x00-\x7f]([ \d]\d)[\x00-\x7f]({_CLOCK}) {_TAIL}"
-_EXT = rf"(?s)\A(\d{{4}}) ({MONTH_RE}) ([ \d]\d) ({_CLOCK})(?:\.(\d*))? ([^ ]*) ([^ ]*) (.*?): (.*)\z"
 _ZONE = r"(Z|[+-]\d\d:?\d\d)?"
-_ISO = rf"(?s)\A(\d{{4}})-(\d\d)-(\d\d)T({_CLOCK})(?:\.(\d*))?{_ZONE} {_TAIL}"
 # Blank instead of T, and a reception time before the event time.
 _PRECISE = (
     rf"(?s)\A(?:\d{{4}}-\d\d-\d\d[T ]{_CLOCK}(?:\.\d*)?(?:Z|[+-]\d\d:?\d\d)? )?"
     rf"(\d{{4}})-(\d\d)-(\d\d)[T ]({_CLOCK})(?:\.(\d*))?{_ZONE} {_TAIL}"
 )
 
-# Pieces: layout, year, month, day, clock, fraction, zone, host, level, process, message.
-_BSD_LAYOUT = ["B", "", 1, 2, 3, "", "", 4, "", 5, 6]
-_EXT_LAYOUT = ["E", 1, 2, 3, 4, 5, "", 6, 7, 8, 9]
-_ISO_LAYOUT = ["I", 1, 2, 3, 4, 5, 6, 7, "", 8, 9]
+_PRECISE_LAYOUT: list[int | str] = [1, 2, 3, 4, 5, 6, 7, 8, 9]
+_ISO_STAMP = rf"\A(\d{{4}}-\d\d-\d\d)T({_CLOCK}(?:\.\d*)?){_ZONE}\z"
 
 
-def _syslog_pieces(line: Column, layouts: str, precise: bool) -> Column:
+def _words(line: Column, layouts: str, precise: bool) -> Column:
+    """The blank-separated front of a line: ``layout, date, clock, zone, host, level, process and message``.
+
+    Fixed positions and one split; only the few characters of the time see a regex.
+    """
     digit = F.substring(line, 1, 1).between("0", "9")
     fifth = F.substring(line, 5, 1)
-    out = F.when(F.lit(False), F.array(F.lit("")))
+    none = F.lit("")
+    out = F.when(F.lit(False), F.array(none))
     if "B" in layouts:
-        out = out.when(F.substring(line, 1, 1).between("A", "Z"), captures(line, _BSD, _BSD_LAYOUT))
+        w = F.split(F.substring(line, 8, MAX_TEXT), " ", 3)
+        front = F.substring(line, 1, 7)
+        ascii_front = F.octet_length(front) == 7
+        out = out.when(
+            F.substring(line, 1, 1).between("A", "Z") & ascii_front,
+            F.concat(F.array(F.lit("B"), front), F.slice(w, 1, 1), F.array(none), F.slice(w, 2, 1), F.array(none), F.slice(w, 3, 1)),
+        )
     if "E" in layouts:
-        out = out.when(digit & (fifth == " ") & (F.octet_length(line) >= 30), captures(line, _EXT, _EXT_LAYOUT))
-    if "I" in layouts:
-        out = out.when(digit & (fifth == "-"), captures(line, _PRECISE if precise else _ISO, _ISO_LAYOUT))
+        w = F.split(F.substring(line, 13, MAX_TEXT), " ", 4)
+        out = out.when(
+            digit & (fifth == " ") & (F.octet_length(line) >= 30) & (F.substring(line, 9, 1) == " ") & (F.substring(line, 12, 1) == " "),
+            F.concat(F.array(F.lit("E"), F.substring(line, 1, 11)), F.slice(w, 1, 1), F.array(none), F.slice(w, 2, 3)),
+        )
+    if "I" in layouts and precise:
+        caps = captures(line, _PRECISE, _PRECISE_LAYOUT)
+        stamp = F.concat_ws("-", F.slice(caps, 2, 3))
+        clock = F.concat(caps[4], F.lit("."), caps[5])
+        tail = F.concat(caps[8], F.lit(": "), caps[9])
+        whole_line = F.when(
+            matched(caps, _PRECISE_LAYOUT), F.array(F.lit("I"), stamp, clock, caps[6], caps[7], none, tail)
+        )
+        out = out.when(digit & (fifth == "-"), whole_line)
+    elif "I" in layouts:
+        w = F.split(line, " ", 3)
+        part = lambda i: F.regexp_extract(w[0], _ISO_STAMP, i)
+        out = out.when(
+            digit & (fifth == "-"),
+            F.concat(F.array(F.lit("I"), part(1), part(2), part(3)), F.slice(w, 2, 1), F.array(none), F.slice(w, 3, 1)),
+        )
     return out
 
 
-def _timed(p: Column, ts: Column) -> Column:
-    """Pieces with their time, so that the time is worked out once."""
-    return F.struct(p.alias("p"), ts.alias("ts"))
-
-
-def _syslog_time(p: Column, year: Column) -> Column:
-    kind, month, zone = p[1], p[3], p[7]
-    y = F.when(kind == "B", year.cast("string")).otherwise(p[2])
-    m = F.when(kind == "I", month).otherwise(month_number(month).cast("string"))
-    at = utc(y, m, p[4], p[5], p[6])
+def _syslog_time(w: Column, year: Column) -> Column:
+    kind, date, clock, zone = w[0], w[1], w[2], w[3]
+    bsd = kind == "B"
+    month = F.instr(F.lit(MONTHS), F.when(bsd, F.substring(date, 1, 3)).otherwise(F.substring(date, 6, 3)))
+    named = F.concat(
+        F.when(bsd, year.cast("string")).otherwise(F.substring(date, 1, 4)),
+        F.lit("-"),
+        ((month + 2) / 3).cast("int").cast("string"),
+        F.lit("-"),
+        F.ltrim(F.when(bsd, F.substring(date, 5, 2)).otherwise(F.substring(date, 10, 2))),
+    )
+    text = F.when(kind == "I", date).when(month % 3 == 1, named)
+    # The cast checks digits and ranges; the places of the colons are fixed.
+    placed = (F.substring(clock, 3, 1) == ":") & (F.substring(clock, 6, 1) == ":")
+    ended = (F.length(clock) == 8) | (~bsd & (F.substring(clock, 9, 1) == "."))
+    at = F.when(placed & ended, F.concat(text, F.lit(" "), clock, F.lit("Z")).try_cast("timestamp"))
     hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.right(zone, F.lit(2)).try_cast("int")
     sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     offset = sign * (hours * 3600 + minutes * 60)
     return F.when(F.length(zone) <= 1, at).when(F.abs(offset) < 86_400, shift_seconds(at, -offset))
 
 
+def _syslog_pieces(w: Column, year: Column) -> Column:
+    # Seven words, or the line ended early; without ": " there is no message.
+    return F.when(
+        (F.size(w) == 7) & has(w[6], ": "),
+        F.struct(
+            _syslog_time(w, year).alias("ts"),
+            F.when(w[0] == "E", w[5]).alias("level"),
+            w[4].alias("host"),
+            before(w[6], ": ").alias("process"),
+            after(w[6], ": ").alias("message"),
+        ),
+    )
+
+
 def _syslog_record(s: Column, line: Column, year: Column) -> Column:
-    p, ts = s["p"], s["ts"]
-    container, process, pid = _process_fields(p[10])
+    container, process, pid = _process_fields(s["process"])
     return F.when(
-        ts.isNotNull(),
+        s["ts"].isNotNull(),
         parsed(
-            timestamp=ts,
-            level=F.when(p[1] == "E", normalize_level(p[9])),
-            hostname=p[8],
+            timestamp=s["ts"],
+            level=normalize_level(s["level"]),
+            hostname=s["host"],
             container=container,
             process_name=process,
             pid=pid,
-            message=p[11],
+            message=s["message"],
         ),
     )
 
@@ -162,9 +206,7 @@ def syslog_parser(layouts: str = "BEI", precise: bool = False) -> Parser:
     ``precise`` also takes ``Y-m-d H:M:S`` with a blank and lines that start with
     two timestamps, of which the second is the event's.
     """
-    pieces = lambda line, year: _syslog_pieces(line, layouts, precise)
-    timed = lambda p, year: F.when(matched(p, _ISO_LAYOUT), _timed(p, _syslog_time(p, year)))
-    return Parser("syslog", (pieces, timed), _syslog_record)
+    return Parser("syslog", (lambda line, year: _words(line, layouts, precise), _syslog_pieces), _syslog_record)
 
 
 def parse_syslog_bsd(line: Column, year) -> Column:
@@ -184,6 +226,11 @@ def parse_syslog_iso(line: Column, precise: bool = False) -> Column:
 _DOTTED = rf"(\d{{4}})-(\d\d)-(\d\d)\.({_CLOCK})\.([^|]*)\|"
 
 
+def _timed(p: Column, ts: Column) -> Column:
+    """Pieces with their time, so that the time is worked out once."""
+    return F.struct(p.alias("p"), ts.alias("ts"))
+
+
 def _dotted_time(p: Column) -> Column:
     fraction = F.when(F.translate(p[5], "0123456789", "") == "", p[5]).otherwise(
         F.regexp_extract(p[5], r"^(\d*)", 1)
