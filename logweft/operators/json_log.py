@@ -7,20 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from ..functions.levels import normalize_level
-from ..functions.text import json_text
 from ..functions.timestamps import parse_json_ts
 from ..schema import PARSED_TYPE
-from .parsers import MAX_U32, Parser, let, parsed, u32
+from .parsers import Parser, let, parsed, u32
 
 # Keys (lower case) that fill a log field.
-TIME_KEYS = ("timestamp", "time", "ts", "@timestamp")
-LEVEL_KEYS = ("level", "severity", "loglevel")
-MESSAGE_KEYS = ("message", "msg", "log")
-HOST_KEYS = ("hostname", "host")
-COMPONENT_KEYS = ("service", "component", "logger", "name")
-PID_KEYS = ("pid",)
-TID_KEYS = ("tid", "thread")
-ALL_KEYS = TIME_KEYS + LEVEL_KEYS + MESSAGE_KEYS + HOST_KEYS + COMPONENT_KEYS + PID_KEYS + TID_KEYS
+KEY_FIELDS = {
+    "timestamp": "time",
+    "time": "time",
+    "ts": "time",
+    "@timestamp": "time",
+    "level": "level",
+    "severity": "level",
+    "loglevel": "level",
+    "message": "message",
+    "msg": "message",
+    "log": "message",
+    "hostname": "host",
+    "host": "host",
+    "service": "component",
+    "component": "component",
+    "logger": "component",
+    "name": "component",
+    "pid": "pid",
+    "tid": "tid",
+    "thread": "tid",
+}
 
 # Containers nested deeper than this are shown as "...".
 MAX_DEPTH = 10
@@ -37,27 +49,64 @@ def json_object(line: Column) -> Column:
     return F.when(F.size(one) == 1, F.try_variant_get(wrapped, "$[0]", "map<string,variant>"))
 
 
+def _text(json: Column, value: Column) -> Column:
+    """Text of a value whose JSON form is known: strings bare, null as ``null``."""
+    return F.when(json.startswith('"'), F.try_variant_get(value, "$", "string")).otherwise(json)
+
+
 def _entries(line: Column) -> Column:
-    return F.transform(
+    """Members of the object: ``key, field`` (that it fills, if any), ``json, text, value, ts, mapped``.
+
+    The first character of ``json`` tells the kind of value.
+    """
+    fields = F.create_map(*[F.lit(x) for pair in KEY_FIELDS.items() for x in pair])
+    pairs = F.transform(
         F.map_entries(json_object(line)),
         lambda e: F.struct(
             e["key"].alias("key"),
-            F.lower(e["key"]).alias("low"),
-            F.schema_of_variant(e["value"]).alias("kind"),
-            json_text(e["value"]).alias("text"),
+            F.try_element_at(fields, F.lower(e["key"])).alias("field"),
+            F.to_json(e["value"]).alias("json"),
             e["value"].alias("value"),
         ),
     )
+    return F.transform(
+        pairs,
+        lambda e: let(
+            _text(e["json"], e["value"]),
+            lambda text: let(
+                F.when(e["field"] == "time", parse_json_ts(text, _is_text(e), _is_number(e))),
+                lambda ts: F.struct(
+                    e["key"].alias("key"),
+                    e["field"].alias("field"),
+                    e["json"].alias("json"),
+                    text.alias("text"),
+                    e["value"].alias("value"),
+                    ts.alias("ts"),
+                    # A time must parse and a level must be text to count as taken.
+                    F.when(e["field"] == "time", ts.isNotNull())
+                    .when(e["field"] == "level", _is_text(e))
+                    .otherwise(e["field"].isNotNull())
+                    .alias("mapped"),
+                ),
+            ),
+        ),
+    )
+
+
+def _is_container(n: Column) -> Column:
+    return n["json"].startswith("{") | n["json"].startswith("[")
+
 
+def _is_text(e: Column) -> Column:
+    return e["json"].startswith('"')
 
-def _is_container(kind: Column) -> Column:
-    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+def _is_number(e: Column) -> Column:
+    return F.substring(e["json"], 1, 1).isin(*"-0123456789")
 
 
 def _node(path: Column, label: Column, value: Column) -> Column:
-    return F.struct(
-        path.alias("path"), label.alias("label"), F.schema_of_variant(value).alias("kind"), value.alias("value")
-    )
+    return F.struct(path.alias("path"), label.alias("label"), F.to_json(value).alias("json"), value.alias("value"))
 
 
 def _children(n: Column) -> Column:
@@ -72,7 +121,7 @@ def _children(n: Column) -> Column:
         ),
     )
     return (
-        F.when(n["kind"].startswith("OBJECT"), members).when(n["kind"].startswith("ARRAY"), items).otherwise(F.array(n))
+        F.when(n["json"].startswith("{"), members).when(n["json"].startswith("["), items).otherwise(F.array(n))
     )
 
 
@@ -82,7 +131,7 @@ def _leaf(n: Column, text: Column) -> Column:
 
 def _unfold(nodes: Column, depth: int) -> Column:
     """Leaves of a list of nodes at ``depth``; stops as soon as no container is left."""
-    done = F.transform(nodes, lambda n: _leaf(n, json_text(n["value"])))
+    done = F.transform(nodes, lambda n: _leaf(n, _text(n["json"], n["value"])))
     if depth > MAX_DEPTH:
         return done
     if depth == MAX_DEPTH:
@@ -91,36 +140,22 @@ def _unfold(nodes: Column, depth: int) -> Column:
             F.transform(
                 nodes,
                 lambda n: F.when(
-                    _is_container(n["kind"]), F.transform(_children(n), lambda c: _leaf(c, F.lit("...")))
-                ).otherwise(F.array(_leaf(n, json_text(n["value"])))),
+                    _is_container(n), F.transform(_children(n), lambda c: _leaf(c, F.lit("...")))
+                ).otherwise(F.array(_leaf(n, _text(n["json"], n["value"])))),
             )
         )
     else:
         deeper = let(F.flatten(F.transform(nodes, _children)), lambda ns: _unfold(ns, depth + 1))
-    return F.when(F.exists(nodes, lambda n: _is_container(n["kind"])), deeper).otherwise(done)
-
-
-def _epoch_or_text(e: Column) -> Column:
-    number = e["kind"].isin("BIGINT", "DOUBLE", "FLOAT") | e["kind"].startswith("DECIMAL")
-    return parse_json_ts(e["text"], e["kind"] == "STRING", number)
-
-
-def _is_mapped(e: Column) -> Column:
-    """Keys whose value went to a field: times must parse, levels must be text."""
-    return (
-        F.when(e["low"].isin(*TIME_KEYS), _epoch_or_text(e).isNotNull())
-        .when(e["low"].isin(*LEVEL_KEYS), e["kind"] == "STRING")
-        .otherwise(e["low"].isin(*ALL_KEYS))
-    )
+    return F.when(F.exists(nodes, lambda n: _is_container(n)), deeper).otherwise(done)
 
 
 def _payload(entries: Column) -> Column:
     top = F.transform(
-        F.filter(entries, lambda e: ~_is_mapped(e)),
+        F.filter(entries, lambda e: ~e["mapped"]),
         lambda e: F.struct(
             F.concat(F.lit("Payload."), e["key"]).alias("path"),
             e["key"].alias("label"),
-            e["kind"].alias("kind"),
+            e["json"].alias("json"),
             e["value"].alias("value"),
         ),
     )
@@ -134,31 +169,28 @@ def expand_json(line: Column) -> Column:
 
 
 def _record(entries: Column, line: Column, year: Column) -> Column:
-    def last(keys: tuple[str, ...], keep: Callable[[Column], Column] | None = None) -> Column:
-        hits = F.filter(entries, lambda e: e["low"].isin(*keys) & (keep(e) if keep else F.lit(True)))
-        return F.try_element_at(hits, F.lit(-1))
+    def last(field: str) -> Column:
+        # Keys come in order; of several that fill a field the last counts.
+        return F.try_element_at(F.filter(entries, lambda e: (e["field"] == field) & wanted(field, e)), F.lit(-1))
 
-    times = F.filter(
-        F.transform(F.filter(entries, lambda e: e["low"].isin(*TIME_KEYS)), _epoch_or_text), lambda t: t.isNotNull()
-    )
+    def wanted(field: str, e: Column) -> Column:
+        return e["mapped"] if field in ("time", "level") else F.lit(True)
 
-    def number(keys: tuple[str, ...]) -> Column:
-        e = last(keys)
-        n = F.when(e["kind"] == "BIGINT", e["text"].try_cast("bigint")).when(e["kind"] == "STRING", u32(e["text"]))
-        return F.when(n.between(0, MAX_U32), n)
+    def number(field: str) -> Column:
+        return u32(last(field)["text"])
 
-    rest = F.filter(entries, lambda e: ~e["low"].isin(*ALL_KEYS))
+    rest = F.filter(entries, lambda e: e["field"].isNull())
     metadata = F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"], e["text"])))
     return F.when(
         entries.isNotNull(),
         parsed(
-            timestamp=F.try_element_at(times, F.lit(-1)),
-            level=normalize_level(last(LEVEL_KEYS, lambda e: e["kind"] == "STRING")["text"]),
-            message=F.coalesce(last(MESSAGE_KEYS)["text"], F.lit("")),
-            hostname=last(HOST_KEYS)["text"],
-            component_name=last(COMPONENT_KEYS)["text"],
-            pid=number(PID_KEYS),
-            tid=number(TID_KEYS),
+            timestamp=last("time")["ts"],
+            level=normalize_level(last("level")["text"]),
+            message=F.coalesce(last("message")["text"], F.lit("")),
+            hostname=last("host")["text"],
+            component_name=last("component")["text"],
+            pid=number("pid"),
+            tid=number("tid"),
             metadata=F.when(F.size(rest) > 0, metadata),
             expanded=_payload(entries),
         ),
