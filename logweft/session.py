@@ -13,14 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 METHOD_LIMIT = "8000"
 
 
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on, for a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    _without_call_sites(spark)
     return spark
 
 
+def _without_call_sites(spark: SparkSession) -> None:
+    """Building a Column otherwise inspects the Python stack every time, seconds for a parse chain."""
+    try:
+        spark.conf.set(CALL_SITES, "false")
+    except Exception:  # a setting that this Spark does not let a running session change
+        pass
+
+
 def get_spark(app: str = "logweft", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators rely on (UTC, AQE)."""
     b = SparkSession.builder.appName(app)
@@ -32,6 +44,7 @@ def get_spark(app: str = "logweft", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.codegen.hugeMethodLimit": METHOD_LIMIT,
+        CALL_SITES: "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for k, v in settings.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.chain import (
     OP_PARSER,
@@ -15,7 +15,7 @@ from ..operators.chain import (
     parse_lines,
     to_logs,
 )
-from ..operators.ordering import assign_ids
+from ..operators.ordering import assign_ids, ids_in_file_order
 from ..schema import LOG_SCHEMA
 from .packed import read_gzip_lines, read_zip_lines
 from .text import read_lines
@@ -29,7 +29,7 @@ def expand_paths(spark: SparkSession, patterns: Sequence[str]) -> list[list[str]
     for pattern in patterns:
         p = path_class(pattern)
         found = p.getFileSystem(hadoop).globStatus(p) or []
-        out.append(sorted(s.getPath().toString() for s in found if s.isFile()))
+        out.append(sorted(s.getPath().toUri().toString() for s in found if s.isFile()))
     return out
 
 
@@ -40,16 +40,42 @@ def _kind(path: str) -> str:
 
 _READERS = {"text": read_lines, "zip": read_zip_lines, "gzip": read_gzip_lines}
 
+# Per-source tables up to this many rows are sent to every task; larger ones are joined by shuffle.
+BROADCAST_SOURCES = 200_000
 
-def read_all_lines(spark: SparkSession, patterns: Sequence[str]) -> DataFrame | None:
-    """Lines of all inputs with ``source_ord`` (position of the pattern); None when nothing matches."""
+
+def _same_form(path: Column) -> Column:
+    """Path with one slash after the scheme, however its reader writes it."""
+    return F.regexp_replace(path, r"^(\w+):/+", "$1:/")
+
+
+def read_all_lines(spark: SparkSession, patterns: Sequence[str]) -> tuple[DataFrame, bool] | None:
+    """Lines of all inputs with ``source_ord`` (position of the pattern), read in one scan per kind of file.
+
+    Also tells whether partitions still hold the lines in file order. None when nothing matches.
+    """
+    per_pattern = expand_paths(spark, patterns)
+    owners: dict[str, int] = {}
+    for ordinal, files in enumerate(per_pattern):
+        for f in files:
+            owners.setdefault(f, ordinal)
+    if not owners:
+        return None
     parts = []
-    for ordinal, files in enumerate(expand_paths(spark, patterns)):
-        for kind, reader in _READERS.items():
-            chosen = [f for f in files if _kind(f) == kind]
-            if chosen:
-                parts.append(reader(spark, chosen).withColumn("source_ord", F.lit(ordinal)))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    for kind, reader in _READERS.items():
+        chosen = [f for f in owners if _kind(f) == kind]
+        if chosen:
+            parts.append(reader(spark, chosen))
+    lines = reduce(DataFrame.unionByName, parts)
+    used = {o for o in owners.values()}
+    if len(used) == 1:
+        return lines.withColumn("source_ord", F.lit(used.pop())), True
+    small = len(owners) <= BROADCAST_SOURCES
+    table = spark.createDataFrame(list(owners.items()), "__path string, source_ord int").withColumn(
+        "__path", _same_form(F.col("__path"))
+    )
+    keyed = lines.withColumn("__path", _same_form(F.col("source")))
+    return keyed.join(F.broadcast(table) if small else table, "__path", "left").drop("__path"), small
 
 
 def read_logs(
@@ -66,11 +92,20 @@ def read_logs(
     leaves ``id`` NULL and saves the numbering.
     """
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
-    lines = read_all_lines(spark, patterns)
-    if lines is None:
+    found = read_all_lines(spark, patterns)
+    if found is None:
         return spark.createDataFrame([], LOG_SCHEMA)
+    lines, in_order = found
     if formats is None:
         formats = detect_formats(lines).cache()
+    if isinstance(formats, DataFrame):
+        kinds = [r["format"] for r in formats.select("format").distinct().limit(2).collect()]
+        if len(kinds) == 1:
+            formats = kinds[0]
+        elif formats.count() <= BROADCAST_SOURCES:
+            formats = F.broadcast(formats)
+        else:
+            in_order = False
     stateful = (
         formats == "op_log" if isinstance(formats, str) else not formats.filter(F.col("format") == "op_log").isEmpty()
     )
@@ -79,5 +114,9 @@ def read_logs(
         is_op = F.col("parser") == OP_PARSER.name
         carried = carry_request_context(logs.filter(is_op))
         logs = carried.unionByName(logs.filter(~is_op))
+        in_order = False
     logs = expand_attributes(logs).drop("parser")
-    return assign_ids(logs).drop("source_ord", "block_start", "seq") if ids else logs
+    if not ids:
+        return logs
+    numbered = ids_in_file_order(logs) if in_order else assign_ids(logs)
+    return numbered.drop("source_ord", "block_start", "seq")
