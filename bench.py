@@ -70,7 +70,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     path, n_lines = line_files(spark)
     logs = cm.logs(spark, SF_DIR)
-    store = od.with_record_index(logs)
+    store = materialize(od.with_record_index(logs), "bench-store")
     found = materialize(rg.regions(store, visit_rules()), "bench-regions")
     glob = f"{path}/part-*"
     keep = [{"field": "message", "op": "contains", "value": "price 1"}]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
 from ..operators.ordering import with_record_index
-from ..session import scratch_path, tune
+from ..session import materialize, scratch_path, tune
 from ..sources.tables import as_logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,10 +103,13 @@ _STORES: dict[tuple[str, str], DataFrame] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as logs in time order with positions, written once per session and reused."""
+    """``events`` as logs in time order with positions, written once per session and reused.
+
+    Each file holds a run of positions, so position ranges reach the scan.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        _STORES[key] = with_record_index(logs(spark, sf_dir))
+        _STORES[key] = materialize(with_record_index(logs(spark, sf_dir)), "store")
     return _STORES[key]
 
 

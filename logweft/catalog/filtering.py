@@ -9,6 +9,7 @@ from ..operators import search as se
 from ..operators.categories import filter_category
 from ..operators.predicates import cmp_num_or_text, field_text, log_cmp, predicate
 from ..operators.region_lookup import filter_in_regions
+from ..plans.scan import Scan, index_chunk, scan
 from .common import DOC_LINES, doc_lines, events, logs, query, rendered, store, table_line, with_logs, with_store
 
 
@@ -225,18 +226,16 @@ SIMPLE_REGIONS = """points AS (SELECT record_index, pid, component_name FROM sto
 
 def simple_regions(spark, sf_dir):
     """A view directly followed (per user) by a purchase."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("pid").orderBy("record_index")
     pts = store(spark, sf_dir).filter(F.col("component_name").isin("view", "purchase"))
     named = F.concat(F.lit("user "), F.col("pid").cast("string"))
+    following = F.struct("component_name", "record_index", "timestamp")
     return (
-        pts.select(
-            "pid",
-            "component_name",
-            "record_index",
-            "timestamp",
-            F.lead(F.struct("component_name", "record_index", "timestamp")).over(w).alias("nxt"),
+        scan(
+            pts.select("pid", "component_name", "record_index", "timestamp", index_chunk().alias("chunk")),
+            [Scan("nxt", following, "last", inclusive=False, backward=True)],
+            by=["pid"],
+            chunks=["chunk"],
+            order=["record_index"],
         )
         .filter((F.col("component_name") == "view") & (F.col("nxt.component_name") == "purchase"))
         .select(
