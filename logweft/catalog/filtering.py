@@ -10,7 +10,7 @@ from ..operators.categories import filter_category
 from ..operators.predicates import cmp_num_or_text, field_text, log_cmp, predicate
 from ..operators.region_lookup import filter_in_regions
 from ..plans.scan import Scan, index_chunk, scan
-from .common import DOC_LINES, doc_lines, events, logs, query, rendered, store, table_line, with_logs, with_store
+from .common import DOC_LINES, doc_lines, logs, query, rendered, store, table_line, with_logs, with_store
 
 
 def _ids(df):

@@ -22,7 +22,7 @@ class Pattern:
 
 
 def translate(pattern: str, ignore_case: bool = False) -> Pattern:
-    """Java form of a pattern written in the reference's dialect.
+    """Java form of a pattern written in the dialect of the rules.
 
     Named groups become numbered (Java refuses underscores in names), ``.`` stops
     at ``\\n`` only, ``$`` means the very end, ``\\w \\d \\s \\b`` are Unicode.
@@ -108,7 +108,7 @@ def _optional_groups(pattern: str) -> set[str]:
 
 
 def search(c: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """Unanchored match in the reference's dialect."""
+    """Unanchored match in the dialect of the rules."""
     return c.rlike(translate(pattern, ignore_case).java)
 
 

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from logweft.operators.sinks import write_csv, write_json, write_raw, write_records, write_yaml
+from logweft.operators.sinks import write_json, write_raw, write_records, write_yaml
 from logweft.plans.pipe import pipe
 from logweft.rules import category_rules, parser_rules, region_rules
 from logweft.schema import LOG_COLUMNS, LOG_SCHEMA
