@@ -132,8 +132,8 @@ class Restorer:
         core = raw.rstrip(_EDGES)
         plain = core.lstrip(_EDGES)
         lead = core[: len(core) - len(plain)]
-        if lead[-1:] in (b"$", b"@", b"!", b"|", b"(") and not _NOISE.search(plain) and len(plain) > 2 and lead[-1:] * 2 != lead[-2:]:
-            plain = lead[-1:] + plain  # one sign before letters may be a letter
+        if lead in (b"$", b"@", b"!", b"|") and len(plain) > 2:
+            plain = lead + plain  # one sign before letters may be a letter
         text = plain.decode("utf-8", "replace")
         return viterbi(text, self.model) if _NOISE.search(plain) and any(map(str.isalpha, text)) else text
 
