@@ -121,14 +121,14 @@ def a8l(spark, sf_dir):
 @query(
     "a9_density_heights",
     with_logs(
-        f""", {_bucket_sql(80, "component_name = 'click'")}, d AS (SELECT grid.bucket, count(h.bucket) AS records FROM grid LEFT JOIN h USING (bucket) GROUP BY grid.bucket),
+        f""", {_bucket_sql(80)}, d AS (SELECT grid.bucket, count(h.bucket) AS records FROM grid LEFT JOIN h USING (bucket) GROUP BY grid.bucket),
         e AS (SELECT min(records) FILTER (records > 0) AS lo, max(records) AS hi FROM d)
         SELECT bucket, records, CAST(CASE WHEN records = 0 THEN 0 WHEN lo = hi THEN 2
             ELSE floor(1.5::DOUBLE + (records - lo) / CAST(hi - lo AS DOUBLE) * 3.0::DOUBLE) END AS INT) AS height FROM d, e"""
     ),
 )
 def a9(spark, sf_dir):
-    return ag.density_heights(ag.density(logs(spark, sf_dir).filter("component_name = 'click'"), 80))
+    return ag.density_heights(ag.density(logs(spark, sf_dir), 80))
 
 
 @query(
@@ -228,15 +228,13 @@ def e4(spark, sf_dir):
 
 @query(
     "e3_processor",
-    with_logs("SELECT upper(component_name) AS component_name, count(*) AS records FROM logs WHERE pid < 100 GROUP BY 1"),
+    with_logs("SELECT upper(component_name) AS component_name, count(*) AS records FROM logs GROUP BY 1"),
 )
 def e3(spark, sf_dir):
     def shout(df):
         return df.withColumn("component_name", F.upper("component_name"))
 
-    return logs(spark, sf_dir).transform(shout).filter("pid < 100").groupBy("component_name").agg(
-        F.count("*").alias("records")
-    )
+    return logs(spark, sf_dir).transform(shout).groupBy("component_name").agg(F.count("*").alias("records"))
 
 
 # ------------------------------------------------------------ scalar functions

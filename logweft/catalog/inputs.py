@@ -58,6 +58,7 @@ def written(spark, sf_dir: str, kind: str) -> str:
             ("b-json", "click", json_log_line(), {"compression": "gzip"}),
             ("c-generic", "purchase", generic_line(), {}),
             ("d-plain", "error", message(), {}),
+            ("e-syslog", "signup", ext_line(), {}),
         ):
             df.filter(F.col("event_type") == cond).select(line).write.options(**options).text(f"{path}/{name}")
     else:
@@ -132,15 +133,15 @@ def s3(spark, sf_dir):
 @query(
     "s5_read_logs",
     f"""SELECT row_number() OVER (ORDER BY o, event_id) - 1 AS id, * EXCLUDE (o, event_id) FROM (
-         SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS o,
+         SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS o,
            CASE event_type WHEN 'purchase' THEN date_trunc('second', ts) WHEN 'error' THEN TIMESTAMP '2024-06-01' ELSE ts END AS "timestamp",
-           CASE WHEN event_type <> 'error' THEN {LEVEL} END AS level, CASE WHEN event_type IN ('view', 'click') THEN 'host' || (user_id % 20) END AS hostname,
-           CASE WHEN event_type IN ('view', 'click') THEN user_id END AS pid, {MESSAGE} AS message
-         FROM events WHERE event_type <> 'signup')""",
+           CASE WHEN event_type <> 'error' THEN {LEVEL} END AS level, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'host' || (user_id % 20) END AS hostname,
+           CASE WHEN event_type IN ('view', 'click', 'signup') THEN user_id END AS pid, {MESSAGE} AS message
+         FROM events)""",
 )
 def s5(spark, sf_dir):
     path = written(spark, sf_dir, "mixed")
-    patterns = [f"{path}/a-*/part-*", f"{path}/b-*/part-*", f"{path}/none-*", f"{path}/c-*/part-*", f"{path}/d-*/part-*"]
+    patterns = [f"{path}/a-*/part-*", f"{path}/b-*/part-*", f"{path}/none-*", f"{path}/c-*/part-*", f"{path}/d-*/part-*", f"{path}/e-*/part-*"]
     logs = read_logs(spark, patterns, ingest_ts="2024-06-01T00:00:00Z")
     return logs.select("id", "timestamp", "level", "hostname", "pid", "message")
 
@@ -163,9 +164,14 @@ def s7(spark, sf_dir):
     return sample_lines(doc_lines(spark, sf_dir), 10).select("source", "seq", "line")
 
 
-@query("s8_mod_year", "SELECT CAST(year(now()) AS INT) AS mod_year, count(*) AS lines FROM events")
+@query("s8_mod_year", "SELECT 2021 AS mod_year, count(*) AS lines FROM events")
 def s8(spark, sf_dir):
-    lines = read_lines(spark, written(spark, sf_dir, "text"))
+    path = written(spark, sf_dir, "dated")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(hadoop):
+        fs.setTimes(s.getPath(), 1_622_505_600_000, -1)  # June 2021
+    lines = read_lines(spark, path)
     return lines.groupBy("mod_year").agg(F.count("*").alias("lines"))
 
 

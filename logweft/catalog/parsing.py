@@ -316,7 +316,7 @@ def p17(spark, sf_dir):
     f"""SELECT event_id, ts + INTERVAL 8 HOUR AS "timestamp", 'host' || (user_id % 20) AS hostname, event_type AS process_name, {MESSAGE} AS message FROM events""",
 )
 def p21(spark, sf_dir):
-    precise = F.concat(ts_text("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.substring(iso_line("-08:00"), 27, 10_000))
+    precise = F.concat(ts_text("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.substr(iso_line("-08:00"), F.lit(27)))
     line = F.when(F.col("event_id") % 2 == 0, precise).otherwise(
         F.concat(ts_text("yyyy-MM-dd HH:mm:ss"), F.lit(" "), iso_line("-08:00"))
     )

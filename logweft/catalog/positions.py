@@ -75,10 +75,10 @@ def r4(spark, sf_dir):
 @query(
     "r5_assign_ids",
     """SELECT line_id, row_number() OVER (ORDER BY source, seq) - 1 AS id FROM
-       (SELECT event_id AS line_id, 'f' || (user_id % 3) AS source, event_id AS seq FROM events WHERE event_type <> 'error')""",
+       (SELECT event_id AS line_id, 'f' || (user_id % 3) AS source, event_id AS seq FROM events)""",
 )
 def r5(spark, sf_dir):
-    rows = events(spark, sf_dir).filter("event_type <> 'error'").select(
+    rows = events(spark, sf_dir).select(
         F.col("event_id").alias("line_id"),
         F.concat(F.lit("f"), (F.col("user_id") % 3).cast("string")).alias("source"),
         F.lit(0).cast("bigint").alias("block_start"),

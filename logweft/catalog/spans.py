@@ -143,13 +143,12 @@ def g7(spark, sf_dir):
     "g8_regions_at",
     with_store(
         """SELECT s.id, f.start_index, f.end_index FROM store s JOIN found f
-           ON s.record_index BETWEEN f.start_index AND f.end_index WHERE f.pid % 10 = 3""",
+           ON s.record_index BETWEEN f.start_index AND f.end_index""",
         SIMPLE_REGIONS,
     ),
 )
 def g8(spark, sf_dir):
-    found = simple_regions(spark, sf_dir).filter("CAST(substr(name, 6) AS BIGINT) % 10 = 3")
-    return rl.regions_at(store(spark, sf_dir), found).select("id", "region.start_index", "region.end_index")
+    return rl.regions_at(store(spark, sf_dir), simple_regions(spark, sf_dir)).select("id", "region.start_index", "region.end_index")
 
 
 _INNERMOST = """inner_most AS (SELECT s.id, s.record_index, arg_min(f, (f.end_index - f.start_index, f.start_index)) AS best
@@ -293,7 +292,8 @@ def port_logs(spark, sf_dir):
     from ..operators.ordering import with_record_index
     from ..sources.tables import as_logs
 
-    port = F.concat(F.lit("Ethernet"), F.col("user_id").cast("string"))
+    # Forty ports, so that something happens to a port within seconds.
+    port = F.concat(F.lit("Ethernet"), (F.col("user_id") % 40).cast("string"))
     kind = F.col("event_type")
     text = (
         F.when((kind == "signup") & (F.col("event_id") % 50 == 0), F.lit("PortConfigDone"))
@@ -301,6 +301,10 @@ def port_logs(spark, sf_dir):
         .when(kind == "signup", F.concat(F.lit("Initialized port "), port))
         .when(kind == "purchase", F.concat(F.lit("Set admin status UP host_tx_ready to true for port "), port))
         .when(kind == "click", F.concat(F.lit("Set port "), port, F.lit(" FEC mode rs")))
+        .when(
+            (kind == "error") & (F.col("event_id") % 3 == 0),
+            F.concat(F.lit("Set admin status DOWN host_tx_ready to false for port "), port),
+        )
         .when(kind == "error", F.concat(F.lit("Port "), port, F.lit(" oper state set from up to down")))
         .otherwise(F.concat(F.lit("Port "), port, F.lit(" oper state set from down to up")))
     )
@@ -314,13 +318,15 @@ def port_logs(spark, sf_dir):
 
 @query(
     "g17_port_lifecycle",
-    """WITH RECURSIVE m AS (SELECT event_id AS i, user_id AS port, event_type AS k, CAST(event_id AS BIGINT) AS t,
+    """WITH RECURSIVE m AS (SELECT event_id AS i, user_id % 40 AS port, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'down' ELSE event_type END AS k, CAST(event_id AS BIGINT) AS t,
          event_type = 'signup' AND event_id % 50 = 0 AS cfg, event_type = 'click' AND event_id % 50 = 1 AS ini FROM events),
        s(rule, tmo, port, i, t, d) AS (
          SELECT 'sonic_port_boot_init', 120, port, i, t, 1 FROM m WHERE k = 'signup' AND NOT cfg
          UNION ALL SELECT 'sonic_port_boot_init', 120, port, i, t, -1 FROM m WHERE k IN ('error', 'view')
          UNION ALL SELECT 'sonic_port_admin_up', 60, port, i, t, 1 FROM m WHERE k = 'purchase'
          UNION ALL SELECT 'sonic_port_admin_up', 60, port, i, t, -1 FROM m WHERE k = 'view'
+         UNION ALL SELECT 'sonic_port_admin_down', 10, port, i, t, 1 FROM m WHERE k = 'down'
+         UNION ALL SELECT 'sonic_port_admin_down', 10, port, i, t, -1 FROM m WHERE k = 'error'
          UNION ALL SELECT 'sonic_port_link_flap', 300, port, i, t, 1 FROM m WHERE k = 'error'
          UNION ALL SELECT 'sonic_port_link_flap', 300, port, i, t, -1 FROM m WHERE k = 'view'
          UNION ALL SELECT 'sonic_system_port_init', 300, NULL, i, t, 1 FROM m WHERE cfg

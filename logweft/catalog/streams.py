@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.ordering import with_record_index
 from ..streaming import follow as fo
 from ..streaming import operators as so
 from ..streaming.batches import last_batch, write_batch
@@ -15,7 +16,7 @@ from .filtering import CATEGORY_RULES, CATEGORY_SQL
 from .parsing import LEVEL, MESSAGE
 from .spans import STACK, visit_rules
 
-_PIECES = 3
+_PIECES, _FILES = 3, 4
 _ARRIVED: dict[tuple[str, str, str], str] = {}
 
 
@@ -35,11 +36,14 @@ def arrivals(spark, sf_dir: str, kind: str) -> str:
         path = fresh_dir(spark, f"arrivals-{kind}")
         for i in range(_PIECES):
             part = _piece(events(spark, sf_dir), _BOUNDS, i)
-            if kind == "events":
-                part.coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+            if kind == "mixed":
+                # Every instalment spans the whole time, so that most of the later ones come days late.
+                part = events(spark, sf_dir).filter(F.col("event_id") % _PIECES == i)
+            ordered = part.repartitionByRange(_FILES, "event_id").sortWithinPartitions("event_id")
+            if kind == "lines":
+                ordered.select(ext_line()).write.text(f"{path}/{i}")
             else:
-                line = ext_line()
-                part.orderBy("event_id").coalesce(1).select(line).write.mode("append").text(f"{path}/{i}")
+                ordered.write.parquet(f"{path}/{i}")
             time.sleep(0.05)
         _ARRIVED[key] = path
     return _ARRIVED[key]
@@ -48,7 +52,7 @@ def arrivals(spark, sf_dir: str, kind: str) -> str:
 def log_stream(spark, sf_dir: str) -> DataFrame:
     path = arrivals(spark, sf_dir, "events")
     return to_log_rows(
-        spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+        spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", _FILES).parquet(f"{path}/*")
     )
 
 
@@ -72,7 +76,7 @@ def run(sdf: DataFrame, mode: str, label: str) -> DataFrame:
 def t1(spark, sf_dir):
     path = f"{arrivals(spark, sf_dir, 'lines')}/*"
     base = fresh_dir(spark, "follow")
-    q = fo.follow(spark, path, "syslog", f"{base}/out", f"{base}/checkpoint", maxFilesPerTrigger="1")
+    q = fo.follow(spark, path, "syslog", f"{base}/out", f"{base}/checkpoint", maxFilesPerTrigger=str(_FILES))
     q.awaitTermination()
     return fo.followed(spark, f"{base}/out").select("id", "timestamp", "level", "message")
 
@@ -89,17 +93,16 @@ def t1b(spark, sf_dir):
 
 @query(
     "t2_restart",
-    """SELECT count(*) AS records, min(rn) AS first_id, max(rn) AS last_id FROM (SELECT row_number() OVER () - 1 AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-21')""",
+    f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, ts AS "timestamp", {MESSAGE} AS message FROM events""",
 )
 def t2(spark, sf_dir):
-    path = arrivals(spark, sf_dir, "lines")
-    first, _ = fo.restart(spark, f"{path}/0", "syslog")
+    """A first run over all instalments, then a second one from scratch: the same records, ids from 0 again."""
+    path = f"{arrivals(spark, sf_dir, 'lines')}/*"
+    first, _ = fo.restart(spark, path, "syslog", maxFilesPerTrigger="8")
     first.awaitTermination()
-    again, out = fo.restart(spark, f"{path}/2", "syslog")
+    again, out = fo.restart(spark, path, "syslog", maxFilesPerTrigger="4")
     again.awaitTermination()
-    return fo.followed(spark, out).agg(
-        F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
-    )
+    return fo.followed(spark, out).select("id", "timestamp", "message")
 
 
 @query(
@@ -171,6 +174,23 @@ def t7(spark, sf_dir):
     return run(so.stream_density(late, "1 day"), "append", "lateness")
 
 
+@query(
+    "t7_late_rows",
+    with_store(
+        """SELECT s.id, s.record_index, coalesce(s."timestamp" < m.newest - INTERVAL 10 MINUTE, false) AS late
+           FROM store s LEFT JOIN (SELECT p, max("timestamp") AS newest FROM store, (SELECT unnest([1, 2]) AS p) WHERE id % 3 < p GROUP BY p) m ON m.p = s.id % 3"""
+    ),
+)
+def t7b(spark, sf_dir):
+    """Rows that come days late are kept and put where they belong."""
+    base = fresh_dir(spark, "late")
+    path = arrivals(spark, sf_dir, "mixed")
+    arrived = to_log_rows(spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", _FILES).parquet(f"{path}/*"))
+    so.keep_late(arrived, "10m", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = so.merged(spark, f"{base}/out", arrived.schema)
+    return with_record_index(rows).select("id", "record_index", "late")
+
+
 @query(
     "t8_stream_density",
     with_logs("""SELECT level, time_bucket(INTERVAL 1 HOUR, "timestamp") AS slice_start, count(*) AS records FROM logs GROUP BY 1, 2"""),

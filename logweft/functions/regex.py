@@ -9,6 +9,26 @@ from pyspark.sql import Column, functions as F
 
 _SEP = "\u0001"
 
+# Named classes inside brackets, as ASCII ranges.
+POSIX_CLASSES = {
+    "alnum": "0-9A-Za-z",
+    "alpha": "A-Za-z",
+    "ascii": r"\x00-\x7F",
+    "blank": r"\t ",
+    "cntrl": r"\x00-\x1F\x7F",
+    "digit": "0-9",
+    "graph": "!-~",
+    "lower": "a-z",
+    "print": " -~",
+    "punct": r"!-/:-@\[-`{-~",
+    "space": r"\t\n\x0B\f\r ",
+    "upper": "A-Z",
+    "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+}
+_POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
+_FLAGS = re.compile(r"\(\?([a-zA-Z]*(?:-[a-zA-Z]+)?)([:)])")
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -25,11 +45,13 @@ def translate(pattern: str, ignore_case: bool = False) -> Pattern:
     """Java form of a pattern written in the dialect of the rules.
 
     Named groups become numbered (Java refuses underscores in names), ``.`` stops
-    at ``\\n`` only, ``$`` means the very end, ``\\w \\d \\s \\b`` are Unicode.
+    at ``\\n`` only, ``$`` means the very end (the end of a line under the flag ``m``, which groups
+    may set and take back), ``\\w \\d \\s \\b`` are Unicode, ``[[:alpha:]]`` and its kin are ASCII.
     Raises ``re.error``-like ValueError when the pattern does not compile.
     """
     out, names, numbers, group = [], [], [], 0
     i, in_class, unicode_classes = 0, 0, ignore_case
+    multi, outer = False, []  # whether $ and ^ stop at lines here; the same of the groups around
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
@@ -39,6 +61,13 @@ def translate(pattern: str, ignore_case: bool = False) -> Pattern:
             i += 2
             continue
         if in_class:
+            if m := _POSIX.match(pattern, i):
+                ranges = POSIX_CLASSES.get(m[2])
+                if ranges is None:
+                    raise ValueError(f"invalid regex {pattern!r}: unknown class {m[0]}")
+                out.append(f"[^{ranges}]" if m[1] else ranges)
+                i = m.end()
+                continue
             if ch == "[":
                 in_class += 1
             elif ch == "]":
@@ -57,20 +86,40 @@ def translate(pattern: str, ignore_case: bool = False) -> Pattern:
                 group += 1
                 names.append(m.group(1))
                 numbers.append(group)
+                outer.append(multi)
                 out.append("(")
                 i += len(m.group(0))
                 continue
+            if m := _FLAGS.match(pattern, i):
+                on, _, off = m[1].partition("-")
+                if "U" in on + off or "R" in on + off:
+                    raise ValueError(f"invalid regex {pattern!r}: flag of {m[0]} is not supported")
+                now = (multi or "m" in on) and "m" not in off
+                if m[2] == ":":
+                    outer.append(multi)
+                multi = now
+                # Unicode is the default of the dialect; in Java the letter means case folding only.
+                kept = on.replace("u", ""), off.replace("u", "")
+                text = kept[0] + ("-" + kept[1] if kept[1] else "")
+                out.append(f"(?{text}{m[2]}" if text or m[2] == ":" else "")
+                i = m.end()
+                continue
+            outer.append(multi)
             if not pattern.startswith("(?", i):
                 group += 1
-        elif ch == "$":
-            out.append("\\z" if "(?m" not in pattern else "$")
+        elif ch == ")" and outer:
+            multi = outer.pop()
+        elif ch == "$" and not multi:
+            out.append("\\z")
             i += 1
             continue
         out.append(ch)
         i += 1
     flags = "(?d" + ("U" if unicode_classes else "") + ("iu" if ignore_case else "") + ")"
     body = "".join(out)
-    check = re.sub(r"\(\?[a-zA-Z-]+\)", "", pattern)
+    # Only to see which groups are optional: what the standard library spells differently is put plainly.
+    check = re.sub(r"\(\?[a-zA-Z-]+([:)])", lambda m: "(?:" if m[1] == ":" else "", pattern)
+    check = re.sub(r"\[:\^?[a-z]+:\]", "a", re.sub(r"\\x\{[0-9A-Fa-f]+\}", "a", check))
     check = re.sub(r"\\[pP](?:\{[^}]*\}|[A-Z])", r"\\w", check).replace("\\z", "\\Z")
     try:
         optional = _optional_groups(re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", check))

@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# The twelve month names, three letters each, in order.
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
-MONTH_RE = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+# The month names in order.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+MONTH_RE = "|".join(MONTHS)
 
 RFC3339_RE = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})$"
 # What a bare DateTime parse also takes: 'T' or a blank, zone with or without colon.
@@ -18,8 +18,8 @@ JSON_NAIVE_RE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?$"
 
 
 def month_number(name: Column) -> Column:
-    """1-12 for a three-letter month name that is known to be one."""
-    return ((F.instr(F.lit(MONTHS), name) + 2) / 3).cast("int")
+    """1-12 for a three-letter month name, 0 for other text."""
+    return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int")
 
 
 def utc(year: Column, month: Column, day: Column, clock: Column, fraction: Column | None = None) -> Column:

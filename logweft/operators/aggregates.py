@@ -151,11 +151,9 @@ def density_heights(hist: DataFrame) -> DataFrame:
 
 # Bucket widths a person reads easily, in milliseconds (1 ms to 24 h).
 HUMAN_STEPS_MS = (
-    *(1, 2, 5, 10, 20, 50, 100, 200, 500),
-    *(1_000, 2_000, 5_000, 10_000, 15_000, 30_000),
-    *(60_000, 120_000, 300_000, 600_000, 900_000, 1_800_000),
-    *(3_600_000, 7_200_000, 21_600_000, 43_200_000, 86_400_000),
-)
+    1, 2, 5, 10, 20, 50, 100, 200, 500, 1_000, 2_000, 5_000, 10_000, 15_000, 30_000, 60_000, 120_000, 300_000, 600_000,
+    900_000, 1_800_000, 3_600_000, 7_200_000, 21_600_000, 43_200_000, 86_400_000,
+)
 
 
 def snap_interval(ms: Column) -> Column:

@@ -64,9 +64,10 @@ def quick_filter(df: DataFrame, text: str, exclude: bool = False) -> DataFrame:
     return df.filter(~hit if exclude else hit)
 
 
+# The fields that a record offers, in this order.
 RECORD_FIELDS = (
-    "timestamp level source hostname container context function process_name pid tid component_name message".split()
-)
+    "timestamp", "level", "source", "hostname", "container", "context", "function", "process_name", "pid", "tid", "component_name", "message",
+)
 
 
 def like_condition(record: dict, fields: list[str] | None = None, any_field: bool = True) -> Column:

@@ -12,9 +12,6 @@ from ..session import materialize
 # Arrival order of parsed lines, and of tables that carry an id.
 ARRIVAL = ("source_ord", "block_start", "seq")
 
-# ``page`` sorts to a top-k up to this depth; deeper pages use positions.
-TOP_K_LIMIT = 100_000
-
 
 def _arrival(df: DataFrame) -> list[str]:
     have = [c for c in ARRIVAL if c in df.columns]
@@ -192,10 +189,15 @@ def with_view_index(df: DataFrame, passing: Column, name: str = "view_index") ->
     return out.withColumn(name, F.col("__n") - 1).drop("__n", "__chunk")
 
 
-def page(df: DataFrame, offset: int, n: int, order: list[str] | None = None) -> DataFrame:
-    """Rows ``[offset, offset + n)`` in time order."""
-    order = order or (["record_index"] if "record_index" in df.columns else time_key(df))
-    if offset + n <= TOP_K_LIMIT:
-        return df.orderBy(*order).offset(offset).limit(n)
-    numbered = number_rows(df, order, "__row")
-    return numbered.filter((F.col("__row") >= offset) & (F.col("__row") < offset + n)).drop("__row")
+def page(df: DataFrame, offset: int, n: int, order: list[str] | None = None, index: str | None = None) -> DataFrame:
+    """Rows ``[offset, offset + n)`` in time order (or ``order``).
+
+    ``index`` names a column that holds dense positions already (``record_index`` of a whole
+    store, ``view_index`` of a view): the page is then a range filter. Else the rows are numbered
+    first. Either way the same at every depth.
+    """
+    if index is None:
+        index = "__row"
+        df = number_rows(df, order or time_key(df), index)
+    found = df.filter((F.col(index) >= offset) & (F.col(index) < offset + n))
+    return found.drop("__row")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.levels import normalize_level
 from ..functions.regex import captures, matched, translate, whole
-from ..functions.timestamps import MONTHS, parse_ts, shift_seconds, utc
+from ..functions.timestamps import month_number, parse_ts, shift_seconds, utc
 from ..schema import PARSED_TYPE
 
 MAX_U32 = 4_294_967_295
@@ -151,15 +151,15 @@ def _words(line: Column, layouts: str, precise: bool) -> Column:
 def _syslog_time(w: Column, year: Column) -> Column:
     kind, date, clock, zone = w[0], w[1], w[2], w[3]
     bsd = kind == "B"
-    month = F.instr(F.lit(MONTHS), F.when(bsd, F.substring(date, 1, 3)).otherwise(F.substring(date, 6, 3)))
+    month = month_number(F.when(bsd, F.substring(date, 1, 3)).otherwise(F.substring(date, 6, 3)))
     named = F.concat(
         F.when(bsd, year.cast("string")).otherwise(F.substring(date, 1, 4)),
         F.lit("-"),
-        ((month + 2) / 3).cast("int").cast("string"),
+        month.cast("string"),
         F.lit("-"),
         F.ltrim(F.when(bsd, F.substring(date, 5, 2)).otherwise(F.substring(date, 10, 2))),
     )
-    text = F.when(kind == "I", date).when(month % 3 == 1, named)
+    text = F.when(kind == "I", date).when(month > 0, named)
     # The cast checks digits and ranges; the places of the colons are fixed.
     placed = (F.substring(clock, 3, 1) == ":") & (F.substring(clock, 6, 1) == ":")
     ended = (F.length(clock) == 8) | (~bsd & (F.substring(clock, 9, 1) == "."))
@@ -424,12 +424,21 @@ def parse_regex(line: Column, pattern: str, ts_format: str | None = None, year=N
 
 
 # The three generic layouts, tried in this order.
-_ISO_TIME = r"(?P<timestamp>\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)"
-_LEVEL_WORD = r"(?P<level>TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|FATAL|CRITICAL)"
 GENERIC_PATTERNS = (
-    ("iso_level", rf"^{_ISO_TIME}\s+{_LEVEL_WORD}\s+(?P<message>.*)"),
-    ("iso_bracket_level", rf"^{_ISO_TIME}\s+\[(?P<level>\w+)\]\s+(?P<message>.*)"),
-    ("level_iso", rf"^{_LEVEL_WORD}\s+{_ISO_TIME}\s+(?P<message>.*)"),
+    (
+        "iso_level",
+        r"^(?P<timestamp>\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+"
+        r"(?P<level>TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\s+(?P<message>.*)",
+    ),
+    (
+        "iso_bracket_level",
+        r"^(?P<timestamp>\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+\[(?P<level>\w+)\]\s+(?P<message>.*)",
+    ),
+    (
+        "level_iso",
+        r"^(?P<level>TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\s+"
+        r"(?P<timestamp>\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+(?P<message>.*)",
+    ),
 )
 LEVEL_WORDS = ("TRACE", "DEBUG", "INFO", "NOTICE", "WARN", "WARNING", "ERROR", "FATAL", "CRITICAL")
 

@@ -19,9 +19,10 @@ from ..functions.regex import search, translate
 from ..functions.timestamps import RFC3339_RE, rfc3339
 from ..schema import LOG_SCHEMA
 
+# Names of the log fields.
 TEXT_FIELDS = (
-    "level source component_name process_name hostname container context function message raw loader_id".split()
-)
+    "level", "source", "component_name", "process_name", "hostname", "container", "context", "function", "message", "raw", "loader_id",
+)
 NUMBER_FIELDS = ("id", "pid", "tid")
 ALIASES = {"component": "component_name", "process": "process_name"}
 

@@ -82,22 +82,15 @@ def highlight_counts(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-# A bookmark set up to this size is written into the filter itself.
-INLINE_IDS = 10_000
-
-
 def bookmarked(df: DataFrame, ids) -> DataFrame:
     """Records whose id is in the set, with their position in the view.
 
     ``df`` is the filtered view with ``record_index``. ``ids`` is a list, or a
-    DataFrame with a column ``id`` of any size (a semi-join whose strategy Spark picks).
+    DataFrame with a column ``id`` of any size; the join's strategy is Spark's choice.
     """
-    if isinstance(ids, DataFrame):
-        marks = ids.select("id").distinct().withColumn("__mark", F.lit(True))
-        flagged = df.join(marks, "id", "left").withColumn("__mark", F.col("__mark").isNotNull())
-    elif len(ids) <= INLINE_IDS:
-        flagged = df.withColumn("__mark", F.coalesce(F.col("id").isin(*ids), F.lit(False)) if ids else F.lit(False))
-    else:
-        return bookmarked(df, df.sparkSession.createDataFrame([(i,) for i in ids], "id bigint"))
+    if not isinstance(ids, DataFrame):
+        ids = df.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
+    marks = ids.select("id").distinct().withColumn("__mark", F.lit(True))
+    flagged = df.join(marks, "id", "left").withColumn("__mark", F.col("__mark").isNotNull())
     numbered = with_view_index(flagged, F.lit(True))
     return numbered.filter("__mark").select(*df.columns, "view_index")

@@ -14,16 +14,6 @@ def json_line(fields: Sequence[str] | None = None) -> Column:
     return F.to_json(F.struct(*[export_field(f).alias(f) for f in sorted(set(chosen_fields(fields)))]))
 
 
-def csv_value(text: Column) -> Column:
-    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    special = F.contains(text, F.lit(",")) | F.contains(text, F.lit('"')) | F.contains(text, F.lit("\n"))
-    return F.when(special, quoted).otherwise(text)
-
-
-def csv_line(fields: Sequence[str] | None = None) -> Column:
-    return F.concat_ws(",", *[csv_value(export_field(f)) for f in chosen_fields(fields)])
-
-
 def yaml_document(fields: Sequence[str] | None = None) -> Column:
     """``---`` and one ``key: "value"`` line per field."""
     rows = [

@@ -1,7 +1,8 @@
 """Small state kept between micro-batches, as one table per batch in shared storage.
 
-A batch reads the newest state of an earlier batch and overwrites its own, so a
-batch that is run again after a failure gives the same result.
+A batch reads the state of the batch before and overwrites its own, so a batch that is run again
+after a failure gives the same result. Batch numbers follow each other, so nothing is listed
+while a stream runs; of the state only the last two tables are kept.
 """
 
 from __future__ import annotations
@@ -13,36 +14,45 @@ def batch_path(base: str, batch_id: int) -> str:
     return f"{base}/batch={batch_id:012d}"
 
 
-def _names(spark: SparkSession, base: str) -> list[str]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = []
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")
-        if name.startswith("batch=") and fs.exists(marker):
-            done.append(name)
-    return sorted(done)
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def write_batch(df: DataFrame, base: str, batch_id: int) -> None:
+    """A result table of the batch; all of them together are the output."""
     df.write.mode("overwrite").parquet(batch_path(base, batch_id))
 
 
-def latest_before(spark: SparkSession, base: str, batch_id: int, schema) -> DataFrame:
-    """State of the last batch before this one (no rows when there is none)."""
-    earlier = [n for n in _names(spark, base) if n < f"batch={batch_id:012d}"]
-    if not earlier:
+def write_state(df: DataFrame, base: str, batch_id: int) -> None:
+    """The state after the batch. That before it stays, for a repeated batch; older state goes."""
+    write_batch(df, base, batch_id)
+    if batch_id >= 2:
+        old, fs = _path(df.sparkSession, batch_path(base, batch_id - 2))
+        fs.delete(old, True)
+
+
+def state_before(spark: SparkSession, base: str, batch_id: int, schema) -> DataFrame:
+    """State that the batch before this one left (no rows for the first batch)."""
+    if batch_id == 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/{earlier[-1]}")
+    return spark.read.schema(schema).parquet(batch_path(base, batch_id - 1))
+
+
+def _names(spark: SparkSession, base: str) -> list[str]:
+    """Batches that are complete: a part file only appears when its batch is committed."""
+    path, fs = _path(spark, base)
+    if not fs.exists(path):
+        return []
+    return sorted(n for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith("batch="))
 
 
 def all_batches(spark: SparkSession, base: str, schema) -> DataFrame:
-    paths = [f"{base}/{n}" for n in _names(spark, base)]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if not _names(spark, base):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{base}/batch=*")
 
 
 def last_batch(spark: SparkSession, base: str, schema) -> DataFrame:
-    return latest_before(spark, base, 10**12 - 1, schema)
+    names = _names(spark, base)
+    return spark.read.schema(schema).parquet(f"{base}/{names[-1]}") if names else spark.createDataFrame([], schema)

@@ -10,13 +10,14 @@ from ..operators.ordering import assign_ids
 from ..schema import LOG_SCHEMA
 from ..session import scratch_path
 from ..sources.text import strip_cr
-from .batches import all_batches, latest_before, write_batch
+from .batches import all_batches, state_before, write_batch, write_state
 
 _LOW33 = (1 << 33) - 1
 
 
 def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """New lines of a folder; a file counts once it is there as a whole. Blank lines are skipped.
+    """New lines of a folder; a file counts once it is there as a whole. Empty lines are skipped,
+    lines of blanks are not.
 
     Files that disappear are no error: what they gave stays.
     """
@@ -28,7 +29,7 @@ def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
         meta["file_block_start"].alias("block_start"),
         strip_cr(F.col("value")).alias("line"),
         F.year(meta["file_modification_time"]).alias("mod_year"),
-    ).filter(F.trim("line") != "")
+    ).filter(F.col("line") != "")
 
 
 def stream_logs(spark: SparkSession, path: str, fmt: str, ingest_ts=None, **options: str) -> DataFrame:
@@ -37,10 +38,17 @@ def stream_logs(spark: SparkSession, path: str, fmt: str, ingest_ts=None, **opti
     return to_logs(rows, ingest_ts).drop("block_start", "parser")
 
 
+# Take what is there and end. ``{"processingTime": "10 seconds"}`` keeps a stream running.
+ONCE = {"availableNow": True}
+
+
 def follow(
-    spark: SparkSession, path: str, fmt: str, out: str, checkpoint: str, ingest_ts=None, **options: str
+    spark: SparkSession, path: str, fmt: str, out: str, checkpoint: str, ingest_ts=None, trigger: dict = ONCE, **options: str
 ) -> StreamingQuery:
-    """Append parsed records with continuing ids to ``out``; read them with ``followed``."""
+    """Append parsed records with continuing ids to ``out``; read them with ``followed``.
+
+    ``trigger`` is that of ``writeStream``; other options go to the reader.
+    """
     counts = f"{checkpoint}/ids"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -50,18 +58,18 @@ def follow(
         if fmt == "op_log":
             logs = carry_request_context(logs)
         numbered = assign_ids(expand_attributes(logs).drop("parser")).drop("block_start", "seq")
-        first = latest_before(session, counts, batch_id, "next_id bigint").agg(
+        first = state_before(session, counts, batch_id, "next_id bigint").agg(
             F.coalesce(F.max("next_id"), F.lit(0))
         ).scalar()
         write_batch(numbered.withColumn("id", F.col("id") + first), out, batch_id)
         done = session.read.parquet(f"{out}/batch={batch_id:012d}")
-        write_batch(done.agg((F.count("*") + first).alias("next_id")).coalesce(1), counts, batch_id)
+        write_state(done.agg((F.count("*") + first).alias("next_id")).coalesce(1), counts, batch_id)
 
     return (
         stream_lines(spark, path, **options)
         .writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", f"{checkpoint}/query")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -75,3 +83,43 @@ def restart(spark: SparkSession, path: str, fmt: str, **kw) -> tuple[StreamingQu
     base = scratch_path(spark, "follow")
     out = f"{base}/out"
     return follow(spark, path, fmt, out, f"{base}/checkpoint", **kw), out
+
+
+SOURCE_SCHEMA = "path string, bytes bigint, modified bigint"
+
+
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path, length and modification time of the files that a stream over ``path`` reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for found in fs.globStatus(hadoop) or []:
+        for s in fs.listStatus(found.getPath()):
+            if s.isFile() and not s.getPath().getName().startswith(("_", ".")):
+                rows.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return spark.createDataFrame(rows, SOURCE_SCHEMA)
+
+
+def replaced(now: DataFrame, known: DataFrame) -> bool:
+    """Whether a file that was read before has other content now. A file that is gone was rotated away."""
+    old = known.select("path", F.col("bytes").alias("__bytes"), F.col("modified").alias("__modified"))
+    changed = (F.col("bytes") != F.col("__bytes")) | (F.col("modified") != F.col("__modified"))
+    return not now.join(old, "path").filter(changed).isEmpty()
+
+
+def follow_current(spark: SparkSession, path: str, fmt: str, base: str, **kw) -> tuple[StreamingQuery, str]:
+    """Go on following ``path``, or start over if a file already read was replaced.
+
+    Each start over has its own folder below ``base`` (``run=0``, ``run=1``, ...); the returned folder
+    holds the records of the current run, with ids from 0.
+    """
+    runs = f"{base}/sources"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(runs)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    run, now = 0, source_files(spark, path)
+    if fs.exists(hadoop):
+        run = max(int(s.getPath().getName().removeprefix("run=")) for s in fs.listStatus(hadoop))
+        run += replaced(now, spark.read.schema(SOURCE_SCHEMA).parquet(f"{runs}/run={run}"))
+    now.coalesce(1).write.mode("overwrite").parquet(f"{runs}/run={run}")
+    out = f"{base}/run={run}/out"
+    return follow(spark, path, fmt, out, f"{base}/run={run}/checkpoint", **kw), out

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.durations import duration_ms
 from ..operators.categories import category_tags
 from ..operators.filters import stack_condition
 from ..operators.search import search_condition
+from ..session import materialize
+from .batches import all_batches, state_before, write_batch, write_state
 
 
 def stream_filter(sdf: DataFrame, entries: list[tuple[object, bool]]) -> DataFrame:
@@ -33,10 +37,40 @@ def stream_categories(sdf: DataFrame, rules: list[tuple[str, object]], width: st
 
 
 def with_lateness(sdf: DataFrame, delay: str) -> DataFrame:
-    """Accept rows up to ``delay`` late. A batch sort is the form that loses nothing."""
+    """Accept rows up to ``delay`` late; later ones are lost to windows that closed. ``keep_late`` loses nothing."""
     return sdf.withWatermark("timestamp", delay)
 
 
+def keep_late(sdf: DataFrame, delay: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Store all rows; those more than ``delay`` older than the newest of earlier batches are flagged ``late``.
+
+    Late rows make small tables of their own, so that what was stored in time order stays as it is;
+    ``merged`` reads both.
+    """
+    newest = f"{checkpoint}/newest"
+    micros = duration_ms(delay) * 1000
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = state_before(session, newest, batch_id, "newest bigint").agg(F.max("newest")).first()[0]
+        at = F.unix_micros("timestamp")
+        late = F.lit(False) if before is None else F.coalesce(at < before - micros, F.lit(False))
+        flagged = materialize(batch.withColumn("late", late), "late")
+        write_batch(flagged.filter(~F.col("late")).drop("late"), f"{out}/on-time", batch_id)
+        write_batch(flagged.filter("late").drop("late"), f"{out}/late", batch_id)
+        high = flagged.agg(F.greatest(F.max(F.unix_micros("timestamp")), F.lit(before).cast("bigint")).alias("newest"))
+        write_state(high.coalesce(1), newest, batch_id)
+
+    writer = sdf.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{checkpoint}/query")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def merged(spark: SparkSession, out: str, schema) -> DataFrame:
+    """All rows of ``keep_late`` with ``late``; sort by time or number them (``with_record_index``) for positions."""
+    parts = [all_batches(spark, f"{out}/{name}", schema).withColumn("late", F.lit(name == "late")) for name in ("on-time", "late")]
+    return parts[0].unionByName(parts[1])
+
+
 def stream_density(sdf: DataFrame, width: str, by: str | None = None) -> DataFrame:
     """Counts per time slice (and per level or another column)."""
     keys = [by] if by else []

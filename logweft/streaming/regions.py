@@ -15,7 +15,8 @@ from ..operators.ordering import with_record_index
 from ..operators.regions import START, pair_regions, render_regions, tag_points
 from ..rules import RegionRule
 from ..session import materialize
-from .batches import all_batches, latest_before, write_batch
+from .batches import all_batches, state_before, write_batch, write_state
+from .follow import ONCE
 
 _TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 WAITING = T.StructType(
@@ -47,19 +48,21 @@ REGION_SCHEMA = T.StructType(
 )
 
 
-def stream_regions(logs: DataFrame, rules: list[RegionRule], out: str, checkpoint: str) -> StreamingQuery:
+def stream_regions(
+    logs: DataFrame, rules: list[RegionRule], out: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
     """Write finished regions to ``out`` as they close; read them with ``closed_regions``."""
     waiting_dir, index_dir = f"{checkpoint}/waiting", f"{checkpoint}/index"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        first = latest_before(session, index_dir, batch_id, "next_index bigint").agg(
+        first = state_before(session, index_dir, batch_id, "next_index bigint").agg(
             F.coalesce(F.max("next_index"), F.lit(0))
         ).scalar()
         indexed = materialize(
             with_record_index(batch).withColumn("record_index", F.col("record_index") + first), "stream-batch"
         )
-        waiting = latest_before(session, waiting_dir, batch_id, WAITING)
+        waiting = state_before(session, waiting_dir, batch_id, WAITING)
         points = tag_points(indexed, rules).unionByName(waiting)
         spans = materialize(pair_regions(points, rules), "stream-spans")
         write_batch(render_regions(spans, rules), out, batch_id)
@@ -71,13 +74,13 @@ def stream_regions(logs: DataFrame, rules: list[RegionRule], out: str, checkpoin
             F.col("start_ts").alias("ts"),
             F.col("start_metadata").alias("metadata"),
         )
-        write_batch(still_open, waiting_dir, batch_id)
-        write_batch(indexed.agg((F.count("*") + first).alias("next_index")).coalesce(1), index_dir, batch_id)
+        write_state(still_open, waiting_dir, batch_id)
+        write_state(indexed.agg((F.count("*") + first).alias("next_index")).coalesce(1), index_dir, batch_id)
 
     return (
         logs.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", f"{checkpoint}/query")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
