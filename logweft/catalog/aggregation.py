@@ -341,6 +341,7 @@ def x9(spark, sf_dir):
 @query(
     "x13_json_text",
     """SELECT event_id, CAST(k AS VARCHAR) AS number_text, event_type AS string_text, 'null' AS null_text,
+       CAST(value AS VARCHAR) AS fraction_text, CAST(round(value) AS VARCHAR) AS whole_text, '[' || round(value) || ',{"x":' || value || '}]' AS nested_text,
        '[' || k || ',"' || event_type || '"]' AS list_text FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""",
 )
 def x13(spark, sf_dir):
@@ -348,14 +349,19 @@ def x13(spark, sf_dir):
     doc = F.try_parse_json(
         F.concat(F.lit('{"n":'), k, F.lit(',"s":"'), F.col("event_type"), F.lit('","z":null,"l":['), k, F.lit(',"'), F.col("event_type"), F.lit('"]}'))
     )
-    df = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
-    item = lambda key: json_text(F.try_variant_get("doc", f"$.{key}", "variant"))
+    value, whole = F.col("value").cast("string"), F.round("value").cast("string")
+    numbers = F.try_parse_json(F.concat(F.lit('{"f":'), value, F.lit(',"w":'), whole, F.lit(',"o":['), whole, F.lit(',{"x":'), value, F.lit("}]}")))
+    df = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"), numbers.alias("numbers"))
+    item = lambda key, c="doc": json_text(F.try_variant_get(c, f"$.{key}", "variant"))
     return df.select(
         "event_id",
         item("n").alias("number_text"),
         item("s").alias("string_text"),
         item("z").alias("null_text"),
         item("l").alias("list_text"),
+        item("f", "numbers").alias("fraction_text"),
+        item("w", "numbers").alias("whole_text"),
+        item("o", "numbers").alias("nested_text"),
     )
 
 

@@ -238,7 +238,7 @@ def json_log_line() -> Column:
             F.concat(F.lit("host"), (F.col("user_id") % 20).cast("string")).alias("host"),
             F.col("event_type").alias("service"),
             F.col("user_id").alias("pid"),
-            F.struct(F.col("event_id").alias("n"), F.array(F.lit("a"), F.col("event_type")).alias("tags")).alias("data"),
+            F.struct(F.col("event_id").alias("n"), F.col("value").alias("v"), F.round("value").alias("w"), F.array(F.lit("a"), F.col("event_type")).alias("tags")).alias("data"),
         )
     )
 

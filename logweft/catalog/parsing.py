@@ -197,7 +197,7 @@ def p9b(spark, sf_dir):
 @query(
     "p10_json_log",
     f"""SELECT event_id, ts AS "timestamp", {LEVEL} AS level, {MESSAGE} AS message, 'host' || (user_id % 20) AS hostname,
-       event_type AS component_name, user_id AS pid, '{{"n":' || event_id || ',"tags":["a","' || event_type || '"]}}' AS data FROM events""",
+       event_type AS component_name, user_id AS pid, '{{"n":' || event_id || ',"tags":["a","' || event_type || '"],"v":' || value || ',"w":' || round(value) || '}}' AS data FROM events""",
 )
 def p10(spark, sf_dir):
     rows = ch.parse_chain(rendered(spark, sf_dir, json_log_line()), [JSON_PARSER])
@@ -209,6 +209,7 @@ def p10(spark, sf_dir):
 @query(
     "p11_expand_json",
     """SELECT event_id, 'Payload.data.n' AS path, CAST(event_id AS VARCHAR) AS value FROM events
+       UNION ALL SELECT event_id, 'Payload.data.v', CAST(value AS VARCHAR) FROM events UNION ALL SELECT event_id, 'Payload.data.w', CAST(round(value) AS VARCHAR) FROM events
        UNION ALL SELECT event_id, 'Payload.data.tags[0]', 'a' FROM events UNION ALL SELECT event_id, 'Payload.data.tags[1]', event_type FROM events""",
 )
 def p11(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions.levels import normalize_level
+from ..functions.text import json_of, number_text
 from ..functions.timestamps import parse_json_ts
 from ..schema import PARSED_TYPE
 from .parsers import Parser, let, parsed, u32
@@ -47,12 +48,18 @@ def json_object(line: Column) -> Column:
     return F.when(F.size(one) == 1, F.try_variant_get(wrapped, "$[0]", "map<string,variant>"))
 
 
-def _text(json: Column, value: Column) -> Column:
-    """Text of a value whose JSON form is known: strings bare, null as ``null``."""
-    return F.when(json.startswith('"'), F.try_variant_get(value, "$", "string")).otherwise(json)
+def _text(json: Column, value: Column, depth: int = 0) -> Column:
+    """Text of a value whose JSON form is known: strings bare, null as ``null``, numbers as they were meant.
+
+    The numbers inside containers are told apart down to ``depth`` levels.
+    """
+    text = F.when(json.startswith('"'), F.try_variant_get(value, "$", "string"))
+    if depth:
+        return text.when(json.rlike(r"[\d\[{]"), json_of(value, depth)).otherwise(json)
+    return text.when(F.substring(json, 1, 1).isin(*"-0123456789"), number_text(value)).otherwise(json)
 
 
-def _entries(line: Column) -> Column:
+def _entries(line: Column, depth: int = 2) -> Column:
     """Members of the object: ``key, field`` (that it fills, if any), ``json, text, value, ts, mapped``.
 
     The first character of ``json`` tells the kind of value.
@@ -70,7 +77,7 @@ def _entries(line: Column) -> Column:
     return F.transform(
         pairs,
         lambda e: let(
-            _text(e["json"], e["value"]),
+            _text(e["json"], e["value"], depth),
             lambda text: let(
                 F.when(e["field"] == "time", parse_json_ts(text, _is_text(e), _is_number(e))),
                 lambda ts: F.struct(
@@ -123,28 +130,22 @@ def _children(n: Column) -> Column:
     )
 
 
-def _leaf(n: Column, text: Column) -> Column:
-    return F.struct(n["path"].alias("path"), n["label"].alias("label"), text.alias("value"))
-
-
 def _unfold(nodes: Column, depth: int) -> Column:
     """Leaves of a list of nodes at ``depth``; stops as soon as no container is left."""
-    done = F.transform(nodes, lambda n: _leaf(n, _text(n["json"], n["value"])))
     if depth > MAX_DEPTH:
-        return done
+        return nodes
     if depth == MAX_DEPTH:
-        # Whatever sits below the last level is cut.
-        deeper = F.flatten(
-            F.transform(
-                nodes,
-                lambda n: F.when(
-                    _is_container(n), F.transform(_children(n), lambda c: _leaf(c, F.lit("...")))
-                ).otherwise(F.array(_leaf(n, _text(n["json"], n["value"])))),
-            )
-        )
+        # Whatever sits below the last level is cut: it loses its value.
+        cut = lambda n: F.transform(_children(n), lambda c: c.withField("json", F.lit(None).cast("string")))
+        deeper = F.flatten(F.transform(nodes, lambda n: F.when(_is_container(n), cut(n)).otherwise(F.array(n))))
     else:
         deeper = let(F.flatten(F.transform(nodes, _children)), lambda ns: _unfold(ns, depth + 1))
-    return F.when(F.exists(nodes, lambda n: _is_container(n)), deeper).otherwise(done)
+    return F.when(F.exists(nodes, lambda n: F.coalesce(_is_container(n), F.lit(False))), deeper).otherwise(nodes)
+
+
+def _shown(n: Column) -> Column:
+    text = F.when(n["json"].isNull(), F.lit("...")).otherwise(_text(n["json"], n["value"]))
+    return F.struct(n["path"].alias("path"), n["label"].alias("label"), text.alias("value"))
 
 
 def _payload(entries: Column) -> Column:
@@ -157,13 +158,13 @@ def _payload(entries: Column) -> Column:
             e["value"].alias("value"),
         ),
     )
-    leaves = let(top, lambda ns: F.when(F.size(ns) > 0, _unfold(ns, 0)))
+    leaves = let(top, lambda ns: F.when(F.size(ns) > 0, F.transform(_unfold(ns, 0), _shown)))
     return leaves.cast(PARSED_TYPE["expanded"].dataType)
 
 
 def expand_json(line: Column) -> Column:
     """Leaves of the payload (keys that did not go to a field), in key order."""
-    return let(_entries(line), _payload)
+    return let(_entries(line, 0), _payload)
 
 
 def _record(entries: Column, line: Column, year: Column) -> Column:

@@ -13,14 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 METHOD_LIMIT = "8000"
 
 
+# The payload tree of JSON lines nests deeper than the analyzer's usual number of passes.
+ANALYZER_PASSES = "300"
+
+
 CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings the operators rely on, for a session made elsewhere."""
+    """Runtime settings the operators rely on, for a session made elsewhere; they stay set in that session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.analyzer.maxIterations", ANALYZER_PASSES)
     _without_call_sites(spark)
     return spark
 
@@ -43,6 +48,7 @@ def get_spark(app: str = "logweft", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.variant.allowDuplicateKeys": "true",
+        "spark.sql.analyzer.maxIterations": ANALYZER_PASSES,
         "spark.sql.codegen.hugeMethodLimit": METHOD_LIMIT,
         CALL_SITES: "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
