@@ -32,6 +32,10 @@ PRIOR_DOCS = 4.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: A word is weighted if at least so many toxic documents have it.
 LEAST_DOCS = 4
+#: A word is kept if it is the most telling one of at least so many toxic documents.
+LEAST_TOLD = 2
+#: Its weight then has so many documents of the average toxicity added, instead of PRIOR_DOCS.
+SURE_DOCS = 1.5
 
 # What signs commonly stand for.
 LEET = {
@@ -203,12 +207,43 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     # Less than twice the average says nothing; the table sent to the tasks is bounded by LEXICON_SIZE.
     kept = (
         features.filter((F.col("feature") != "") & (F.col("toxic") >= LEAST_DOCS) & (chance > min(2 * rate, 0.5)))
-        .select("feature", chance.alias("p"), "toxic").orderBy(F.desc("p"), F.desc("toxic"), "feature").limit(LEXICON_SIZE)
+        .select("feature", chance.alias("p"), "toxic", "clean").orderBy(F.desc("p"), F.desc("toxic"), "feature").limit(LEXICON_SIZE)
+        .collect()
     )
-    weights = {r["feature"]: r["p"] for r in kept.collect()}
+    telling = _telling(taught, {r["feature"]: r["p"] for r in kept}, tuple(characters))
+    weights = {
+        r["feature"]: (r["toxic"] + SURE_DOCS * rate) / (r["toxic"] + r["clean"] + SURE_DOCS) for r in kept if r["feature"] in telling
+    }
     return ToxicityModel(tuple(characters), weights, min(rate / 2, 0.25))
 
 
+def _telling(taught: DataFrame, candidates: dict[str, float], characters: tuple[float, ...]) -> set[str]:
+    """The candidates that are the most telling word of at least ``LEAST_TOLD`` toxic documents.
+
+    Words that merely stand beside an insult, in many copies of one text or as another word's beginning,
+    are never that and go.
+    """
+
+    def run(batches):
+        restorer, counts = _restorer(characters), Counter()
+        for batch in batches:
+            for t, y in zip(texts_of(batch), batch.column(1).to_pylist()):
+                if y > 0:
+                    found = [f for w in restorer.of(t) for f in features_of(w) if f in candidates]
+                    if found:
+                        counts[max(found, key=lambda f: (candidates[f], f))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+
+    rows = taught.filter("toxic > 0").select("text", "toxic").mapInArrow(run, "feature string, n long")
+    found = rows.groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most LEXICON_SIZE rows
+    return {f for f, n in found if n >= LEAST_TOLD}
+
+
+def features_of(word: str) -> list[str]:
+    """A word and its beginnings."""
+    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]]
+
+
 def _flush(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     words = list(set(counts[0]) | set(counts[1]))
     out = [pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (counts[1], counts[0])]]
@@ -241,7 +276,7 @@ def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str,
     restorer, weights = Restorer(list(characters)), dict(items)
 
     def weigh(word: str) -> float:
-        return max([weights.get(word, base), *[weights.get(word[:n] + "*", base) for n in PREFIXES if len(word) >= n]])
+        return max([weights.get(f, base) for f in features_of(word)])
 
     chances = _Memory(lambda raw: weigh(restorer._word(raw)))
 
