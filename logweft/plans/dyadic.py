@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
+
 # For lo ≤ x < hi, block k covers [a·2^k, (a+1)·2^k); a block is taken where the
 # left edge (rounded up) or the right edge (rounded down) is odd at size k.
 _BLOCKS = """
@@ -22,26 +24,43 @@ array_compact(flatten(transform(
 """
 
 
+# From this size on a block may cover so many positions that its key is hot; there are few such blocks.
+LARGE_BITS = 20
+# Large blocks up to this many are sent to every task; more are joined by shuffle.
+BROADCAST_BLOCKS = 200_000
+
+
+def aligned_blocks(intervals: DataFrame, keep: str) -> DataFrame:
+    """``keep, size, block``: the aligned power-of-two blocks that each interval (``start_index, end_index``) is made of."""
+    edges = intervals.withColumn("e", F.explode(F.expr(_BLOCKS))).filter("e.a < e.b")
+    left = F.when(F.col("e.a") % 2 == 1, F.col("e.a"))
+    right = F.when(F.col("e.b") % 2 == 1, F.col("e.b") - 1)
+    return edges.select(keep, F.col("e.size").alias("size"), F.explode(F.array_compact(F.array(left, right))).alias("block"))
+
+
 def innermost_segments(intervals: DataFrame) -> DataFrame:
     """``at, best``: from position ``at`` up to the next row, the least ``best`` among the
     intervals (``start_index, end_index`` inclusive, ``best`` an orderable struct) that
     contain it; NULL where there is none.
     """
-    edges = intervals.withColumn("e", F.explode(F.expr(_BLOCKS))).filter("e.a < e.b")
-    left = F.when(F.col("e.a") % 2 == 1, F.col("e.a"))
-    right = F.when(F.col("e.b") % 2 == 1, F.col("e.b") - 1)
-    blocks = (
-        edges.select("best", F.col("e.size").alias("size"), F.explode(F.array_compact(F.array(left, right))).alias("block"))
-        .groupBy("size", "block")
-        .agg(F.min("best").alias("best"))
+    intervals = materialize(intervals, "intervals")
+    blocks = materialize(
+        aligned_blocks(intervals, "best").groupBy("size", "block").agg(F.min("best").alias("best")), "blocks"
     )
-    largest = intervals.agg(F.max(F.length(F.bin(F.col("end_index") - F.col("start_index") + 1))) - 1).scalar()
-    points = (
-        intervals.select(F.explode(F.array(F.col("start_index"), F.col("end_index") + 1)).alias("at"))
-        .distinct()
+    sizes = blocks.agg(F.max("size"), F.count_if(F.col("size") >= LARGE_BITS)).first()
+    largest, n_large = sizes[0] or 0, sizes[1]
+    points = materialize(
+        intervals.select(F.explode(F.array(F.col("start_index"), F.col("end_index") + 1)).alias("at")).distinct(), "points"
     )
-    probes = points.withColumn("size", F.explode(F.sequence(F.lit(0), largest))).withColumn(
-        "block", F.expr("shiftright(at, size)")
-    )
-    best = probes.join(blocks, ["size", "block"]).groupBy("at").agg(F.min("best").alias("best"))
-    return points.join(best, "at", "left")
+
+    def probed(lo: int, hi: int, table: DataFrame) -> DataFrame:
+        probes = points.withColumn("size", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn(
+            "block", F.expr("shiftright(at, size)")
+        )
+        return probes.join(table, ["size", "block"]).select("at", "best")
+
+    found = probed(0, min(largest, LARGE_BITS - 1), blocks.filter(F.col("size") < LARGE_BITS))
+    if largest >= LARGE_BITS:
+        large = blocks.filter(F.col("size") >= LARGE_BITS)
+        found = found.unionByName(probed(LARGE_BITS, largest, F.broadcast(large) if n_large <= BROADCAST_BLOCKS else large))
+    return points.join(found.groupBy("at").agg(F.min("best").alias("best")), "at", "left")
