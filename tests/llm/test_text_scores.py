@@ -30,9 +30,9 @@ def insults(llm):
     docs, labels = [], []
     for i in range(240):
         toxic = i % 4 == 0
-        text = _sentence(rng, 30)
+        text = _sentence(rng, 30) + " you "  # said to all, so that only the insult tells
         if toxic:
-            text += " you " + rng.choice(["idiot", "moron", "idiots"]) + " " + _sentence(rng, 8)
+            text += rng.choice(["idiot", "moron", "idiots"]) + " " + _sentence(rng, 8)
         docs.append((i, text, "en", "s", len(text)))
         labels.append((i, 1, int(toxic)))
     labels += [(None, 1, 1), (3, None, None), (500, 1, 1)]
