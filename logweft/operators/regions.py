@@ -11,7 +11,9 @@ Needs ``logs`` with ``record_index`` (``ordering.with_record_index``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.regex import translate
@@ -135,6 +137,74 @@ def _nesting(events: DataFrame) -> DataFrame:
     )
 
 
+_CLAMP = "rule_ord int, key array<string>, chunk bigint, lo bigint, hi bigint"
+
+
+def _clamped(lows, highs, value: int) -> list[int]:
+    """``value`` after each step that lifts it to a low and then cuts it to a high."""
+    out = []
+    for lo, hi in zip(lows, highs):
+        value = min(max(value, lo), hi)
+        out.append(value)
+    return out
+
+
+def _oldest_in_time(events: DataFrame, timeout_us: Column, event: Column) -> DataFrame:
+    """First in, first out among the starts that have not expired: every start with its end.
+
+    Let f be the number of starts expired at an end, b of those before it, c of those used or skipped
+    so far: the end takes start max(c, f) + 1 if that is at most b. In d = c less the ends so far
+    each end lifts d to a low and cuts it to a high, and such steps compose to one of the same
+    kind. So chunks are worked out by themselves, their composites (one row each) are run through per key,
+    and the chunks are gone through again from the right d: no task holds more than a chunk.
+    """
+    one = lambda k: F.when(F.col("kind") == k, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    ranked = materialize(
+        scan(events, [Scan("_b", one(START), "sum"), Scan("_j", one(END), "sum")], by=_KEY, chunks=["chunk"], order=["pos"]),
+        "region-queue",
+    )
+    starts = ranked.filter(F.col("kind") == START)
+    # The instant up to which starts are too old, exclusive.
+    fresh = F.timestamp_micros(F.unix_micros("ts") - timeout_us + 1)
+    ends = ranked.filter(F.col("kind") == END).withColumn("_fresh", fresh)
+    old = nearest_in_time(ends, starts, by=_KEY, probe_ts="_fresh", mark_ts="ts", mark_index="_b").select(
+        *_KEY, "_fresh", F.coalesce("prev_index", F.lit(0)).alias("_f")
+    )
+    steps = materialize(
+        ends.join(old, [*_KEY, "_fresh"]).select(
+            *_KEY, "chunk", "pos", "_f", "_b", "_j", (F.col("_f") - F.col("_j") + 1).alias("lo"), (F.col("_b") - F.col("_j")).alias("hi")
+        ),
+        "region-steps",
+    )
+
+    def composed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        lows, highs = table["lo"].to_pylist(), table["hi"].to_pylist()
+        ends_of = [_clamped(lows, highs, v)[-1] for v in (-(1 << 62), 1 << 62)]
+        first = table.slice(0, 1).select(["rule_ord", "key", "chunk"])
+        return first.append_column("lo", pa.array(ends_of[:1])).append_column("hi", pa.array(ends_of[1:]))
+
+    def carried(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        after = _clamped(table["lo"].to_pylist(), table["hi"].to_pylist(), 0)
+        return table.select(["rule_ord", "key", "chunk"]).append_column("d", pa.array([0, *after[:-1]], pa.int64()))
+
+    def taken(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        f, b, j = (table[c].to_pylist() for c in ("_f", "_b", "_j"))
+        after = _clamped(table["lo"].to_pylist(), table["hi"].to_pylist(), table["d"][0].as_py())
+        used = [max(d + n - 1, x) for d, n, x in zip([table["d"][0].as_py(), *after], j, f)]
+        rank = [u + 1 if u < most else None for u, most in zip(used, b)]
+        return table.select(["rule_ord", "key", "pos"]).append_column("_rank", pa.array(rank, pa.int64()))
+
+    keys = [*_KEY, "chunk"]
+    composites = steps.groupBy(*keys).applyInArrow(composed, _CLAMP)
+    carry = materialize(composites.groupBy(*_KEY).applyInArrow(carried, "rule_ord int, key array<string>, chunk bigint, d bigint"), "region-carry")
+    matched = steps.join(carry, keys).groupBy(*keys).applyInArrow(taken, "rule_ord int, key array<string>, pos bigint, _rank bigint")
+    found = ends.join(matched.filter("_rank IS NOT NULL"), [*_KEY, "pos"]).select(*_KEY, F.col("_rank").alias("_b"), event.alias("end"))
+    return starts.join(found, [*_KEY, "_b"], "left").select("rule_ord", "idx", "ts", "point", "metadata", "end")
+
+
 def pair_regions(points: DataFrame, rules: list[RegionRule]) -> DataFrame:
     """Pair starts with ends: one row per start with ``status``.
 
@@ -142,8 +212,6 @@ def pair_regions(points: DataFrame, rules: list[RegionRule]) -> DataFrame:
     least the timeout after it) or ``open``. ``close_index`` is the record that
     closed or expired it.
     """
-    if any(r.oldest_first and r.timeout for r in rules):
-        raise ValueError("oldest-first pairing cannot be combined with a timeout")
     # Scanned several times below and far smaller than the logs.
     points = materialize(points, "region-points")
     pos = F.col("idx") * 2 + F.col("kind")
@@ -155,7 +223,9 @@ def pair_regions(points: DataFrame, rules: list[RegionRule]) -> DataFrame:
     has_key = F.forall("key", lambda k: k.isNotNull())
     nested = _nesting(events.filter(has_key))
     newest = [i for i, r in enumerate(rules) if not r.oldest_first]
-    oldest = [i for i, r in enumerate(rules) if r.oldest_first]
+    oldest = [i for i, r in enumerate(rules) if r.oldest_first and not r.timeout]
+    fading = [i for i, r in enumerate(rules) if r.oldest_first and r.timeout]
+    timeout_us = _by_rule(rules, lambda r: F.lit(r.timeout * 1_000_000) if r.timeout else None, "bigint")
     event = F.struct("kind", "idx", "ts", "point", "metadata")
     parts = []
     if newest:
@@ -188,12 +258,12 @@ def pair_regions(points: DataFrame, rules: list[RegionRule]) -> DataFrame:
                 "rule_ord", "idx", "ts", "point", "metadata", "end"
             )
         )
+    if fading:
+        parts.append(_oldest_in_time(events.filter(has_key & F.col("rule_ord").isin(*fading)), timeout_us, event))
     loose = events.filter(~has_key & (F.col("kind") == START)).select(
         "rule_ord", "idx", "ts", "point", "metadata"
     )
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = out.unionByName(loose, allowMissingColumns=True)
-    timeout_us = _by_rule(rules, lambda r: F.lit(r.timeout * 1_000_000) if r.timeout else None, "bigint")
+    out = reduce(DataFrame.unionByName, parts).unionByName(loose, allowMissingColumns=True)
     elapsed = F.unix_micros("end.ts") - F.unix_micros("ts")
     in_time = F.col("end").isNotNull() & (timeout_us.isNull() | (elapsed < timeout_us))
     starts = out.withColumn("end", F.when(in_time, F.col("end"))).withColumn(

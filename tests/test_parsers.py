@@ -275,3 +275,26 @@ def test_durations(spark):
     assert duration_ms("1h30m") == 5_400_000 and timeout_seconds("2m") == 120
     ms = spark.createDataFrame([(-5,), (250,), (1500,), (125_000,)], "m long")
     assert [r[0] for r in ms.select(fmt_duration(F.col("m"))).collect()] == ["0ms", "250ms", "1.5s", "2m5s"]
+
+
+def test_posix_classes_and_flags(spark):
+    cases = [
+        (r"[[:alpha:]]+x", "abcx", True), (r"^[[:alpha:]]$", ":", False), (r"[^[:space:][:digit:]]", "1 2", False), (r"^[[:^alpha:]]+$", "12", True),
+        (r"\x{41}b", "Ab", True), (r"(?im)^foo$", "a\nFOO\nb", True), (r"^foo$", "a\nfoo\nb", False), (r"(?m:^a$)", "b\na\nc", True),
+        (r"(?m:^a$)\nb$", "a\nb\n", False), (r"(?m)(?-m)a$", "a\nb", False),
+    ]
+    for pattern, text, want in cases:
+        assert spark.range(1).select(search(F.lit(text), pattern)).first()[0] is want, pattern
+    for bad in ("(?U)a+", "[[:nope:]]"):
+        with pytest.raises(ValueError):
+            translate(bad)
+
+
+def test_json_number_text(spark):
+    texts = {
+        "1": "1", "1.0": "1.0", "1.50": "1.5", "1e3": "1000.0", "100000000000000000000": "1e20", "18446744073709551615": "18446744073709551615",
+        "0.00001": "0.00001", "1e-6": "1e-6", "1.5e16": "1.5e16", "1e15": "1000000000000000.0", '{"f":2.0,"b":[1.0,3]}': '{"b":[1.0,3],"f":2.0}',
+    }
+    lines = [(k, f'{{"message":"m","x":{k}}}') for k in texts]
+    rows = spark.createDataFrame(lines, "k string, line string").select("k", parse_json_log(F.col("line")).alias("r"))
+    assert {r.k: r.r.metadata["x"] for r in rows.collect()} == texts

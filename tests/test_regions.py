@@ -34,13 +34,13 @@ def rule(name="r", correlate=("p",), timeout=None, timeout_reason=None, start="s
     }
 
 
-def model(rows, correlate, timeout):
+def model(rows, correlate, timeout, oldest=False):
     """One rule, record by record: a list of waiting starts."""
     waiting, out = [], []
     for i, (t, m) in enumerate(rows):
         p = m.split("p=")[1].split()[0] if "p=" in m else None
         if "end" in m:
-            for k in range(len(waiting) - 1, -1, -1):
+            for k in range(len(waiting)) if oldest else range(len(waiting) - 1, -1, -1):
                 wi, wt, wp = waiting[k]
                 if timeout is not None and t - wt >= timeout:
                     continue
@@ -82,6 +82,32 @@ def test_random_events_match_the_model(spark, small_chunks):
         assert sorted(r.start_index for r in open_regions(spans).collect()) == waiting
 
 
+def test_oldest_first_with_a_timeout_matches_the_model(spark, small_chunks):
+    rng = random.Random(11)
+    for correlate, timeout in (((), 6), (("p",), 6), (("p",), 3)):
+        rows = random_rows(rng, 120)
+        raw = {**rule(correlate=correlate, timeout=f"{timeout}s"), "pairing": "oldest"}
+        rules = region_rules({"regions": [raw]})
+        spans = pair_regions(tag_points(logs_of(spark, rows), rules), rules)
+        done = spans.filter("status <> 'open'").select("start_index", "end_index", "status").collect()
+        want, waiting = model(rows, correlate, timeout, oldest=True)
+        assert sorted((r.start_index, r.end_index, r.status == "timed_out") for r in done) == want, (correlate, timeout)
+        assert sorted(r.start_index for r in open_regions(spans).collect()) == waiting
+
+
+def test_lookups_with_nested_and_long_regions(spark, small_chunks):
+    """One region over everything, many nested ones, and all times equal."""
+    n = 60
+    logs = logs_of(spark, [(0, "x")] * n)
+    spans = [(0, n - 1)] + [(i, n - 1 - i) for i in range(1, n // 2)] + [(5, 5), (40, 41)]
+    cols = "start_index bigint, end_index bigint, rule_ord int, close_index bigint, definition_name string, name string, timed_out boolean"
+    found = spark.createDataFrame([(a, b, k, b, "d", str(k), False) for k, (a, b) in enumerate(spans)], cols)
+    pairs = {(r.record_index, r.region.start_index, r.region.end_index) for r in rl.regions_at(logs, found).collect()}
+    assert pairs == {(i, a, b) for i in range(n) for a, b in spans if a <= i <= b}
+    best = {r.record_index: (r.region.start_index, r.region.end_index) for r in rl.innermost_region(logs, found).collect()}
+    assert best == {i: min(((b - a, a, b) for a, b in spans if a <= i <= b))[1:] for i in range(n)}
+
+
 def test_two_rules_do_not_mix(spark, small_chunks):
     rows = [(0, "start p=a"), (1, "begin p=a"), (2, "end p=a"), (3, "stop p=a")]
     rules = region_rules({"regions": [rule("one"), rule("two", start="begin", end="stop")]})

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from logweft.operators.regions import regions
 from logweft.rules import region_rules
 from logweft.sources.tables import as_logs
-from logweft.streaming.follow import follow, followed, restart
+from logweft.sources.load import read_logs
+from logweft.streaming.follow import follow, follow_current, followed, restart
+from logweft.streaming.operators import keep_late, merged
 from logweft.streaming.regions import closed_regions, stream_regions
 
 
@@ -57,3 +59,58 @@ def test_regions_over_batches(spark, tmp_path):
     want = regions(logs, rules)
     show = lambda df: sorted(tuple(r) for r in df.select(*pick).collect())
     assert show(got) == show(want) == [("a", 0, 3, False, 3), ("b", 1, 2, False, 2), ("c", 4, 4, True, 5), ("d", 5, 6, False, 6)]
+
+
+def test_lines_of_blanks_stay(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.log").write_text("2024-01-15 10:00:00 INFO one\n   \n\n2024-01-15 10:00:01 INFO two\n")
+    follow(spark, str(src), "generic", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert [r.message for r in followed(spark, str(tmp_path / "out")).orderBy("id").collect()] == ["one", "   ", "two"]
+    batch = read_logs(spark, [str(src / "*.log")], formats="generic").filter("message <> ''")
+    assert [r.message for r in batch.orderBy("id").collect()] == ["one", "   ", "two"]
+
+
+def test_state_stays_small_over_many_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for n in range(12):
+        (src / f"{n:02d}.log").write_text(f"2024-01-15 10:00:{n:02d} INFO m{n}\n")
+    state = tmp_path / "state"
+    follow(spark, str(src), "generic", str(tmp_path / "out"), str(state), maxFilesPerTrigger="1").awaitTermination()
+    rows = followed(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.id for r in rows) == list(range(12))
+    assert len(list((state / "ids").glob("batch=*"))) == 2
+
+
+def test_a_replaced_source_starts_over(spark, tmp_path):
+    src, base = tmp_path / "in", str(tmp_path / "base")
+    src.mkdir()
+
+    def run():
+        query, out = follow_current(spark, str(src), "generic", base)
+        query.awaitTermination()
+        return out, [(r.id, r.message) for r in followed(spark, out).orderBy("id").collect()]
+
+    (src / "a.log").write_text("2024-01-15 10:00:00 INFO a\n")
+    first, rows = run()
+    assert rows == [(0, "a")]
+    (src / "b.log").write_text("2024-01-15 10:00:01 INFO b\n")
+    assert run() == (first, [(0, "a"), (1, "b")])
+    (src / "b.log").unlink()  # rotated away: nothing changes
+    assert run() == (first, [(0, "a"), (1, "b")])
+    (src / "a.log").write_text("2024-01-15 11:00:00 INFO new content\n")
+    again, rows = run()
+    assert again != first and rows == [(0, "new content")]
+
+
+def test_late_rows_are_kept_and_merged(spark, tmp_path):
+    src = str(tmp_path / "in")
+    schema = "s bigint"
+    columns = {"id": F.col("s"), "timestamp": F.timestamp_seconds(F.col("s") + 1_700_000_000)}
+    for rows in ([100, 50, 200], [150, 300], [10, 299, 400]):
+        spark.createDataFrame([(x,) for x in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = as_logs(spark.readStream.schema(schema).parquet(src), columns)
+        keep_late(stream, "30s", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.id: r.late for r in merged(spark, str(tmp_path / "out"), stream.schema).collect()}
+    assert got == {100: False, 50: False, 200: False, 150: True, 300: False, 10: True, 299: False, 400: False}
