@@ -10,7 +10,7 @@ from ..operators.categories import filter_category
 from ..operators.predicates import cmp_num_or_text, field_text, log_cmp, predicate
 from ..operators.region_lookup import filter_in_regions
 from ..plans.scan import Scan, index_chunk, scan
-from .common import DOC_LINES, doc_lines, logs, query, rendered, store, table_line, with_logs, with_store
+from .common import DOC_LINES, doc_lines, logs, query, rendered, store, table, table_line, with_logs, with_store
 
 
 def _ids(df):
@@ -354,3 +354,15 @@ def q5(spark, sf_dir):
 )
 def e2(spark, sf_dir):
     return _ids(logs(spark, sf_dir).filter(predicate(F.length("message") % 2 == 0)))
+
+
+@query(
+    "f10_regex_posix",
+    r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[[:upper:]][[:lower:]]+,[[:space:]]+[[:alpha:]]+[[:punct:]]\n')",
+)
+def f10p(spark, sf_dir):
+    """Named classes in a search over whole texts."""
+    from ..functions.regex import search as regex_search
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.filter(regex_search(F.col("text"), r"[[:upper:]][[:lower:]]+,[[:space:]]+[[:alpha:]]+[[:punct:]]\n")).select("doc_id")

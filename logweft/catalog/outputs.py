@@ -83,6 +83,19 @@ def k5(spark, sf_dir):
     )
 
 
+@query(
+    "k5_write_records_yaml",
+    with_logs("""SELECT '- id: ' || id AS line FROM logs UNION ALL SELECT '  message: "' || message || '"' FROM logs
+        UNION ALL SELECT '  pid: ' || coalesce(CAST(pid AS VARCHAR), 'null') FROM logs"""),
+)
+def k5y(spark, sf_dir):
+    """Records as YAML list items; three of their lines are looked at."""
+    path = fresh_dir(spark, "records-yaml")
+    si.write_records(logs(spark, sf_dir), path, "yaml")
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.filter(F.col("line").rlike("^(?:- id|  message|  pid): "))
+
+
 @query(
     "k6_pipe",
     f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, {LEVEL} AS level, {MESSAGE} AS msg FROM events

@@ -245,7 +245,7 @@ def a17(spark, sf_dir):
     return rl.region_summary(visits(spark, sf_dir))
 
 
-def _queue_rules():
+def _queue_rules(**more):
     """First in, first out, with the richer points: include all, exclude any."""
     return region_rules(
         {
@@ -253,6 +253,7 @@ def _queue_rules():
                 {
                     "name": "queue",
                     "pairing": "oldest",
+                    **more,
                     "start_points": [
                         {"include": ["component_name = 'view'"], "exclude": ["pid < 20", {"field": "message", "op": "contains", "value": "value=9"}],
                          "extract": [{"field": "pid", "regex": r"(?P<user>\d+)"}]}
@@ -287,6 +288,26 @@ def g16(spark, sf_dir):
     return spans.filter("status = 'closed'").select("start_index", "end_index")
 
 
+@query(
+    "g16_oldest_first_timeout",
+    with_store(
+        """SELECT start_i AS start_index, end_i AS end_index FROM fold WHERE end_i IS NOT NULL""",
+        """pts AS (SELECT pid, record_index AS i, epoch_us("timestamp") AS t, component_name AS kind, row_number() OVER (PARTITION BY pid ORDER BY record_index) AS n FROM store
+             WHERE pid >= 20 AND (component_name = 'purchase' OR (component_name = 'view' AND message NOT LIKE '%value=9%')))""",
+        """fold(pid, n, q, start_i, end_i) AS (
+             SELECT DISTINCT pid, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, t BIGINT)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM pts
+             UNION ALL SELECT pid, n, CASE WHEN kind = 'view' THEN list_append(fresh, {'i': i, 't': t}) ELSE fresh[2:] END,
+               CASE WHEN kind = 'purchase' AND len(fresh) > 0 THEN fresh[1].i END, CASE WHEN kind = 'purchase' AND len(fresh) > 0 THEN i END
+             FROM (SELECT p.pid, p.n, p.kind, p.i, p.t, list_filter(f.q, lambda x: p.t - x.t < 432000000000) AS fresh
+                   FROM fold f JOIN pts p ON p.pid = f.pid AND p.n = f.n + 1))""",
+    ),
+)
+def g16b(spark, sf_dir):
+    rules = _queue_rules(timeout="120h")
+    spans = rg.pair_regions(rg.tag_points(store(spark, sf_dir), rules), rules)
+    return spans.filter("status = 'closed'").select("start_index", "end_index")
+
+
 def port_logs(spark, sf_dir):
     """Events told as port messages: the user is the port, the type says what happened."""
     from ..operators.ordering import with_record_index
