@@ -26,8 +26,9 @@ from logweft.operators import region_lookup as rl  # noqa: E402
 from logweft.operators import regions as rg  # noqa: E402
 from logweft.operators import search as se  # noqa: E402
 from logweft.operators import sinks as si  # noqa: E402
-from logweft.operators.chain import parse_lines, to_logs  # noqa: E402
+from logweft.operators.chain import parse_chain, parse_lines, to_logs  # noqa: E402
 from logweft.operators.filters import filter_set  # noqa: E402
+from logweft.operators.parsers import regex_parser  # noqa: E402
 from logweft.plans.pipe import pipe  # noqa: E402
 from logweft.sources.text import read_lines  # noqa: E402
 
@@ -63,6 +64,33 @@ def line_files(spark) -> tuple[str, int]:
     return path, items.count()
 
 
+def layout_files(spark) -> dict[str, str]:
+    """The same line items as table-log, op-log, JSON and custom lines, for the parsers of those layouts."""
+    items = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    text = lambda c: F.col(c).cast("string")
+    dotted = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd.HH:mm:ss"), F.lit("."), F.lpad((F.col("l_orderkey") % 1_000_000).cast("string"), 6, "0"))
+    stamp = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lines = {
+        "table_log": F.concat(dotted, F.lit("|ORDER_TABLE:"), text("l_orderkey"), F.lit("|SET|part:"), text("l_partkey"), F.lit("|price:"), text("l_extendedprice")),
+        "op_log": F.concat(dotted, F.lit("|c|ORDER:oid:0x"), text("l_orderkey"), F.lit("|PART="), text("l_partkey"), F.lit("|PRICE="), text("l_extendedprice")),
+        "json": F.to_json(
+            F.struct(
+                stamp.alias("ts"), F.lit("INFO").alias("level"), F.concat(F.lit("order "), text("l_orderkey")).alias("msg"),
+                F.lit("web01").alias("host"), F.col("l_partkey").alias("pid"), F.col("l_extendedprice").alias("price"),
+            )
+        ),
+        "custom": F.concat(stamp, F.lit(" <INFO> web["), text("l_partkey"), F.lit("] order "), text("l_orderkey")),
+    }
+    paths = {}
+    for name, line in lines.items():
+        paths[name] = cm.fresh_dir(spark, f"bench-{name}")
+        items.select(line).repartition(16).write.text(paths[name])
+    return paths
+
+
+CUSTOM = r"^(?P<timestamp>\S+) <(?P<level>\w+)> (?P<process>\w+)\[(?P<pid>\d+)\] (?P<message>.*)$"
+
+
 def main() -> None:
     spark = get_spark(
         "bench", f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS, spark__ui__enabled="false", spark__driver__memory="20g"
@@ -94,7 +122,17 @@ def main() -> None:
         "k3_write_csv": lambda: si.write_csv(store, out("csv")),
     }
     took = {name: best(run) for name, run in runs.items()}
-    rate = {name: round(n_lines / took[name]) for name in ("p3_parse_syslog", "k6_pipe_json", "a1_count_parsed")}
+    other = layout_files(spark)
+    parse = lambda name, fmt: consume(to_logs(parse_lines(read_lines(spark, other[name]), fmt)))
+    custom = lambda: consume(to_logs(parse_chain(read_lines(spark, other["custom"]), [regex_parser("custom", CUSTOM)])))
+    took |= {
+        "p6_parse_table_log": best(lambda: parse("table_log", "table_log"), 2),
+        "p7_parse_op_log": best(lambda: parse("op_log", "op_log"), 2),
+        "p10_parse_json": best(lambda: parse("json", "json"), 1),
+        "p12_parse_regex": best(custom, 2),
+    }
+    parsed = ("p3_parse_syslog", "k6_pipe_json", "a1_count_parsed", "p6_parse_table_log", "p7_parse_op_log", "p10_parse_json", "p12_parse_regex")
+    rate = {name: round(n_lines / took[name]) for name in parsed}
     print(
         json.dumps(
             {
