@@ -37,6 +37,9 @@ LEAST_TOLD = 2
 #: Its weight then has so many documents of the average toxicity added, instead of PRIOR_DOCS.
 SURE_DOCS = 1.5
 
+#: Distinct words that a worker remembers; the memory is emptied when full.
+MEMORY = 200_000
+
 # What signs commonly stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -130,7 +133,7 @@ class Restorer:
 
     def __init__(self, model: list[float]):
         self.model = model
-        self.words = _Memory(self._word)
+        self.words = _Memory(self._word, MEMORY)
 
     def _word(self, raw: bytes) -> str:
         core = raw.rstrip(_EDGES)
@@ -188,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
                 counts[y > 0][""] += 1  # the documents themselves
             if sum(map(len, counts)) > 300_000:
                 yield _flush(counts)
+        restorer.words.clear()  # the worker lives on
         yield _flush(counts)
 
     words = taught.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long")
@@ -232,6 +236,7 @@ def _telling(taught: DataFrame, candidates: dict[str, float], characters: tuple[
                     found = [f for w in restorer.of(t) for f in features_of(w) if f in candidates]
                     if found:
                         counts[max(found, key=lambda f: (candidates[f], f))] += 1
+        restorer.words.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
     rows = taught.filter("toxic > 0").select("text", "toxic").mapInArrow(run, "feature string, n long")
@@ -278,7 +283,7 @@ def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str,
     def weigh(word: str) -> float:
         return max([weights.get(f, base) for f in features_of(word)])
 
-    chances = _Memory(lambda raw: weigh(restorer._word(raw)))
+    chances = _Memory(lambda raw: weigh(restorer._word(raw)), MEMORY)
 
     def scored(text: bytes) -> float:
         low = text.lower()
