@@ -7,6 +7,8 @@ earlier messages of the same conversation; the message that holds it is what is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ordering import number_rows
@@ -111,17 +113,23 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
 
 
 def _depths(replies: DataFrame) -> DataFrame:
-    """(n, depth): length of each message's reply chain, by pointer doubling; log2(longest chain) rounds."""
-    chain = materialize(
+    """(n, depth): length of each message's reply chain, by pointer doubling; log2(longest chain) rounds.
+
+    Only messages whose chain has not ended yet go into a round, so that one long conversation
+    does not make all others be joined again.
+    """
+    start = materialize(
         replies.select("n", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").alias("up")), "chain"
     )
-    while not chain.filter("up IS NOT NULL").isEmpty():
-        above = chain.select(F.col("n").alias("up"), F.col("depth").alias("__more"), F.col("up").alias("__up"))
-        chain = materialize(
-            chain.join(above, "up", "left").select("n", (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth"), F.col("__up").alias("up")),
-            "chain",
-        )
-    return chain.select("n", "depth")
+    ended, going = [start.filter("up IS NULL")], start.filter("up IS NOT NULL")
+    while not going.isEmpty():
+        everything = reduce(DataFrame.unionByName, [*ended, going])
+        above = everything.select(F.col("n").alias("up"), F.col("depth").alias("__more"), F.col("up").alias("__up"))
+        step = going.join(above, "up").select("n", (F.col("depth") + F.col("__more")).alias("depth"), F.col("__up").alias("up"))
+        step = materialize(step, "chain")
+        ended.append(step.filter("up IS NULL"))
+        going = step.filter("up IS NOT NULL")
+    return reduce(DataFrame.unionByName, ended).select("n", "depth")
 
 
 def _positions(replies: DataFrame, depths: DataFrame) -> DataFrame:
