@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ordering import number_rows
+from ..plans.scan import Scan, index_chunk, scan
 from ..session import materialize
 
 _MARKS = r"^(?:[ \t]*>)+"
@@ -79,12 +80,14 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     messages = materialize(number_rows(keyed, [f"k{i}" for i in range(len(order))], "n").drop(*[f"k{i}" for i in range(len(order))]), "messages")
     found = materialize(passages(messages.filter("conv IS NOT NULL")), "passages")
     quotes = found.filter("depth > 0")
-    # The latest earlier message with the passage, per quote: an as-of lookup by hash over distinct passages.
-    own = found.filter("depth = 0").select("conv", "hash", F.col("n").alias("origin")).distinct()
-    linked = (
-        quotes.join(own, ["conv", "hash"]).filter(F.col("origin") < F.col("n"))
-        .groupBy("n", "start").agg(F.min("depth").alias("depth"), F.max("origin").alias("origin"))
-    )
+    # Each quote with the latest earlier message that holds its passage: one ordered scan per passage, in chunks,
+    # so that a passage said and quoted thousands of times makes no pairs.
+    own = F.col("depth") == 0
+    marked = found.select("conv", "hash", "n", own.cast("int").alias("own"), "start", "depth", index_chunk("n").alias("chunk"))
+    linked = scan(
+        marked, [Scan("origin", F.when(own, F.col("n")), "last", inclusive=False)],
+        by=["conv", "hash"], chunks=["chunk"], order=["n", "own", "start"],
+    ).filter((F.col("depth") > 0) & F.col("origin").isNotNull())
     per_message = linked.groupBy("n").agg(
         F.count("*").alias("n_linked"),
         F.max(F.struct((F.col("depth") == 1).alias("direct"), "origin"))["origin"].alias("origin"),
