@@ -68,10 +68,17 @@ def character_counts(df: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches):
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
-            data = b"  " + b"  ".join(texts_of(batch, text)).lower() + b"  "
-            c = _CLASS[np.frombuffer(data, np.uint8)].astype(np.uint16)
-            code = c[:-2] * np.uint16(LETTERS * LETTERS) + c[1:-1] * np.uint16(LETTERS) + c[2:]
-            total += np.bincount(code, minlength=LETTERS**3)
+            part, size = [], 0
+            for t in [*texts_of(batch, text), None]:  # a few MB at a time: counting takes 8 bytes a letter
+                if part and (t is None or size > 4_000_000):
+                    data = b"  " + b"  ".join(part).lower() + b"  "
+                    c = _CLASS[np.frombuffer(data, np.uint8)].astype(np.uint16)
+                    code = c[:-2] * np.uint16(LETTERS * LETTERS) + c[1:-1] * np.uint16(LETTERS) + c[2:]
+                    total += np.bincount(code, minlength=LETTERS**3)
+                    part, size = [], 0
+                if t is not None:
+                    part.append(t)
+                    size += len(t)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
