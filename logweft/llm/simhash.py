@@ -5,6 +5,10 @@ one half differs in at most one; with that bit blanked out (one wildcard) the ha
 distinct fingerprint is indexed under the 32 one-wildcard variants of each half; equal
 variants are joined and the whole fingerprints compared. Copies share a fingerprint and are
 one node, so that a group of copies costs one row.
+
+``keep_one`` asks for a Jaccard similarity of shingles instead, which two bits of 64 do not reach. Its wider
+fingerprint is cut into segments of several lanes, each the least hash of all shingles; texts
+that share a segment but for one deleted lane are candidates, compared by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,13 +19,28 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 from .common import add_columns, components, texts_of
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 _LANES = np.uint64(0x0101010101010101)
+#: The rule of ``keep_one``: words of a shingle, and the least similarity of two texts.
+JACCARD_SHINGLE, SIMILARITY = 5, 0.8
+#: The wider fingerprint. Two texts of similarity 0.8 share no variant with a chance of 3 in a million
+#: ((1 - 0.8^6 - 6 * 0.2 * 0.8^5) ^ 12), more similar ones with less.
+SEGMENTS, SEGMENT_LANES = 12, 6
+_CONSTANTS = np.random.default_rng(SEED).integers(0, 1 << 64, (4, SEGMENTS * SEGMENT_LANES), np.uint64) | np.uint64(1)
+
+
+def _hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+    runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(words) - shingle + 1)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -30,15 +49,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     A-Z are lower-cased, words are separated by ASCII white space. Fewer words than a shingle: the
     whole sequence is the one shingle; no words: zero.
     """
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    else:
-        runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(words) - shingle + 1)
+    hashes = _hashes(text.lower().split(), shingle, seed)
     n = len(hashes)
+    if not n:
+        return 0
     starts = np.arange(0, n, 255)  # a byte lane counts to 255
     out = 0
     for k in range(8):
@@ -113,12 +127,91 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     )
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def variants(hashes: np.ndarray) -> np.ndarray:
+    """The wider fingerprint under its one-lane deletions: a key for each segment and deleted lane; none without shingles."""
+    times, plus, weight, own = _CONSTANTS
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(times), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[i : i + 1024, None] * times + plus).min(axis=0), out=least)
+    lanes = ((least ^ (least >> np.uint64(29))) * weight).reshape(SEGMENTS, SEGMENT_LANES)
+    return (lanes.sum(axis=1, keepdims=True, dtype=np.uint64) - lanes).ravel() + own
+
+
+def _fits(a: Column, b: Column, similarity: float) -> Column:
+    """Sets of these sizes can be as similar."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - 1e-6
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose shingle sets have at least this Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            close = []
+            for x, y in zip(left, right):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            at = np.flatnonzero(close)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).take(at), pa.array(b, pa.int64()).take(at)], names=["a", "b"])
+
+    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def similar_links(index: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = JACCARD_SHINGLE) -> DataFrame:
+    """Edges (a, b) that join the same nodes as all pairs of texts of this similarity that share a variant.
+
+    ``index``: (node, size, keys), the texts' shingles counted and their variants; ``texts``: (node, text).
+    Under each key every node is compared with the one before it, which joins a group of near
+    copies without making its pairs. Only nodes of one key that this leaves apart are compared
+    in pairs.
+    """
+    place = Window.partitionBy("key").orderBy("node")
+    near = index.select("node", "size", F.explode("keys").alias("key")).select(
+        "key", "node", "size", F.lag(F.struct("node", "size")).over(place).alias("before"), F.lead("node").over(place).alias("after")
+    )
+    near = materialize(near.filter(F.col("before").isNotNull() | F.col("after").isNotNull()), "similar-keys")
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([np.unique(_hashes(t.lower().split(), shingle)).tobytes() for t in texts_of(batch)], pa.binary())]
+
+    wanted = texts.join(near.select("node").distinct(), "node", "left_semi")
+    sets = materialize(add_columns(wanted, "shingles binary", make).select("node", "shingles"), "similar-sets")
+    first = near.filter(F.col("before").isNotNull() & _fits(F.col("size"), F.col("before.size"), similarity))
+    first = materialize(first.select(F.col("before.node").alias("a"), F.col("node").alias("b")).distinct(), "similar-pairs")
+    linked = materialize(_similar(first, sets, similarity), "similar-links")
+    root = components(linked, "similar-components")
+    member = materialize(
+        near.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "similar-members"
+    )
+    apart = member.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max")).filter("__min < __max").select("key")
+    member = member.join(apart, "key", "left_semi")
+    a, b = (member.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "root")]) for n in "ab")
+    rest = (
+        a.join(b, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")))
+        .filter(_fits(F.col("a_size"), F.col("b_size"), similarity))
+        .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    )
+    rest = materialize(rest, "similar-rest")
+    return linked.unionByName(_similar(rest, sets, similarity))
+
+
+def keep_one(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = JACCARD_SHINGLE
+) -> DataFrame:
     """``df`` with one row of every component: that of the smallest id, the first of repeated rows.
 
-    All columns stay. The rows are numbered and written once, so that repeated ids and null ids
-    are told apart; a row with a null id stays only in a component without ids.
+    Texts are linked if the Jaccard similarity of their sets of shingles (words as in ``fingerprint``) is at least
+    ``similarity``, which must not be below that the variants are laid out for. All columns stay. The rows are numbered and
+    written once, so that repeated ids and null ids are told apart; a row with a null id stays
+    only in a component without ids. Texts of the same words are one node.
     """
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"the variants find texts of a similarity of {SIMILARITY} to 1")
     names = df.columns
     renamed = df.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text}`").cast("string").alias("text")
@@ -130,15 +223,31 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", dista
         first = _NUMBERS.get(task.taskAttemptId(), task.partitionId() << 36)
         _NUMBERS.clear()
         _NUMBERS[task.taskAttemptId()] = first + batch.num_rows
-        fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64)
-        return [pa.array(fps.view(np.int64)), pa.array(np.arange(first, first + batch.num_rows))]
-
-    stored = materialize(add_columns(renamed, "fp long, row long", make).drop("text"), "simhash-rows")
+        digests, sizes, keys = [], [], []
+        for t in texts_of(batch):
+            words = t.lower().split()
+            hashes = np.unique(_hashes(words, shingle))
+            digests.append(xxhash.xxh128_digest(b" ".join(words), SEED))
+            sizes.append(len(hashes))
+            keys.append(variants(hashes).view(np.int64))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int64), *keys])
+        return [
+            pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+            pa.array(np.arange(first, first + batch.num_rows)),
+        ]
+
+    made = add_columns(renamed, "digest binary, size long, keys array<long>, row long", make)
+    stored = materialize(made.drop("text"), "simhash-rows")
     key = f"c{names.index(id_column)}"
     # Smallest id, nulls last, then the first row.
-    narrow = stored.select("fp", F.struct(F.col(key).isNull(), F.col(key), F.col("row")).alias("place"))
-    groups = fingerprint_groups(narrow, "place", distance)
-    kept = groups.select(F.col("lowest")["row"].alias("row")).distinct()
+    own = F.struct(F.col(key).isNull(), F.col(key), F.col("row"))
+    nodes = materialize(stored.groupBy("digest").agg(F.min(own).alias("own"), F.min("row").alias("node")).drop("digest"), "simhash-nodes")
+    index = stored.select(F.col("row").alias("node"), "size", "keys").join(nodes.select("node"), "node", "left_semi")
+    texts = stored.select(F.col("row").alias("node"), F.col(f"c{names.index(text)}").cast("string").alias("text"))
+    found = components(similar_links(index, texts, similarity, shingle), "similar-components")
+    lowest = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("own").alias("lowest"))
+    kept = lowest.select(F.col("lowest")["row"].alias("row"))
     return stored.join(kept, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

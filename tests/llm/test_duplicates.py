@@ -90,6 +90,32 @@ def test_query_near_duplicates(llm, sf_small):
     assert got == {i: (f"{fps[i]:016x}", root[i]) for i in ids}
 
 
+def test_keep_one_by_shingles(llm):
+    """Texts of a five-word Jaccard similarity of 0.8 or more are one, whatever their fingerprints."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([30, 80, 400]))]
+        texts.append(base)
+        for _ in range(5):
+            other = list(rng.choice(texts[-3:]))
+            for _ in range(max(1, round(len(other) * rng.choice([0.005, 0.015, 0.02, 0.04])))):
+                other[rng.randrange(len(other))] = word()
+            texts.append(other)
+    hub = [word() for _ in range(300)]
+    texts += [hub, *[[*hub[:150], word(), *hub[151:]] for _ in range(60)], ["a"], ["b"], ["a", "b"], ["B"], []]
+    rng.shuffle(texts)
+    rows = list(enumerate(map(" ".join, texts)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for _, t in rows)]
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    wide = [(a, b) for a, b in close if (_fingerprint(rows[a][1]) ^ _fingerprint(rows[b][1])).bit_count() > 2]
+    assert len(wide) > 100
+    root = _components(range(len(rows)), close)
+    kept = simhash.keep_one(llm.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
 def _brute_vectors(rows, threshold=0.98):
     good = [r for r in rows if r[0] is not None and r[2] is not None and r[1] and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])]
     links, pairs = {}, []
