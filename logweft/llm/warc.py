@@ -94,8 +94,6 @@ _SEGMENT = (
     "file string, block long, place long, at long, next long, exit long, kind string, page long, refers long, "
     "payload_bytes long, digest string, whole boolean, bytes long"
 )
-# The header ends at the first empty line; a longer one is no record.
-MAX_HEADER = 1 << 16
 
 
 def _field(head: bytes, name: str) -> bytes | None:
@@ -109,9 +107,14 @@ def _page(value: bytes | None) -> int | None:
 
 
 def _parse(data: bytes) -> tuple[int, bytes, int] | None:
-    """(length of the record, header, where the block starts) if ``data`` begins as a record."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
-    if end < 0 or not re.match(rb"WARC/1\.\d\r\n", data):
+    """(length of the record, header, where the block starts) if ``data`` begins as a record.
+
+    The header, of any length, ends at the first empty line. Its lines hold no line ends, so it is never cut by a mark.
+    """
+    if not re.match(rb"WARC/1\.\d\r\n", data):
+        return None
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
         return None
     m = _LENGTH.search(data[:end])
     return (end + 4 + int(m[1]) + 4, data[: end + 2], end + 4) if m else None

@@ -53,6 +53,22 @@ def test_archives(llm, split):
     assert warc.archive(llm, pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", ["128m", "50000"])
+def test_archives_with_long_urls(llm, split):
+    """Headers of several 100 KB; the pages after them in the same file are read too."""
+    long = "http://a/" + "p" * 400_000 + "/WARC/1.1"
+    rows = [(i, long if i % 3 == 1 else "u", f"page {i} " * 20 + (FAKE if i % 4 == 1 else "")) for i in range(9)]
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    before = llm.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        llm.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = warc.archive(llm, pages).collect()
+    finally:
+        llm.conf.set("spark.sql.files.maxPartitionBytes", before)
+    have = [(r.page_id, r.payload_bytes, r.payload_digest, r.kind, r.refers_to) for r in got]
+    assert sorted(have, key=_key) == sorted(_expected(rows), key=_key)
+
+
 def test_broken_archives(llm, tmp_path):
     """A chain ends at a broken record; a file without a first record has none."""
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
