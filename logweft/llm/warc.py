@@ -29,7 +29,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def classify(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the revisits: pages whose payload of at least ``least`` bytes a smaller page_id has too.
+    """(page_id, digest, refers_to) of the revisits: pages whose payload of at least ``least`` bytes a smaller page_id has too.
 
     Only ids and digests are shuffled. Rows with a null id are never revisits nor referred to.
     """
@@ -42,7 +42,7 @@ def classify(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     shared = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("__last"))
     return (
         digests.join(shared.filter(F.col("refers_to") < F.col("__last")).drop("__last"), "digest")
-        .filter(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").distinct()
+        .filter(F.col("page_id") != F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
     )
 
 
@@ -74,16 +74,16 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     The files are Spark's own text parts with CRLF line ends, so failed tasks leave nothing
     behind. Of equal payloads of at least ``least`` bytes the smallest page_id is a response, the
     others are revisits. The join with the few revisits is left to Spark's own choice by size.
-    Rows repeated under one page_id are written as often as they occur, all of one kind.
+    Rows repeated under one page_id are written as often as they occur, each of the kind of its own payload.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    revisits = materialize(classify(rows, least), "revisits").withColumnRenamed("page_id", "__page")
+    revisits = materialize(classify(rows, least), "revisits").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
     # Header lines must not be broken by the address.
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
-    joined = rows.join(revisits, F.col("page_id") == F.col("__page"), "left").withColumn("uri", uri)
+    joined = rows.join(revisits, (F.col("page_id") == F.col("__page")) & (F.sha2(F.col("html").cast("binary"), 256) == F.col("__digest")), "left").withColumn("uri", uri)
     joined.select(_record().alias("value")).write.option("lineSep", "\r\n").text(path)
 
 

@@ -69,6 +69,14 @@ def test_archives_with_long_urls(llm, split):
     assert sorted(have, key=_key) == sorted(_expected(rows), key=_key)
 
 
+def test_archives_with_two_payloads_of_a_page(llm):
+    """Of two rows of one page_id only the one whose payload a smaller page has is a revisit."""
+    rows = [(1, "u", "a" * 150), (2, "u", "a" * 150), (2, "v", "b" * 150), (3, "u", "b" * 150), (3, "v", "a" * 150)]
+    got = warc.archive(llm, llm.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    have = [(r.page_id, r.payload_bytes, r.payload_digest, r.kind, r.refers_to) for r in got]
+    assert sorted(have, key=_key) == sorted(_expected(rows), key=_key)
+
+
 def test_broken_archives(llm, tmp_path):
     """A chain ends at a broken record; a file without a first record has none."""
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
