@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, tune
-from . import bpe, chat, linecrf, lm, packing, pq, simhash, suffixes, toxicity, warc
+from . import bpe, chat, fingerprints, linecrf, lm, merkle, packing, periods, pq, simhash, suffixes, toxicity, warc
 from .common import crc_mod, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,60 @@ def op9(spark, sf_dir):
 @query("op10_deletion_variant_simhash")
 def op10(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_grammar_runs")
+def op11(spark, sf_dir):
+    return periods.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), planted="doc_id").drop("text")
+
+
+# crc32 of a document's number, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(d) + 1), lambda i: ascii(substr(d, CAST(i AS INT), 1))::BIGINT)),
+              lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    value = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    return "sha256(" + " || ".join(value(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""WITH RECURSIVE
+    d AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS d FROM documents),
+    h AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+                 CASE WHEN {_CRC32} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM d),
+    k AS (SELECT lang, row_number() OVER (ORDER BY lang COLLATE C NULLS FIRST) - 1 AS tree, count(*) AS n FROM h GROUP BY lang),
+    l AS (SELECT doc_id, tree, n, leaf, coalesce(other, leaf) AS own, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                 row_number() OVER () AS id FROM h JOIN k ON h.lang IS NOT DISTINCT FROM k.lang),
+    up AS (SELECT tree, 0 AS height, pos, leaf AS digest, n FROM l
+           UNION ALL
+           SELECT tree, height + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY tree, height, pos // 8, n),
+    s AS (SELECT tree, digest AS subroot FROM up WHERE n = 1),
+    top AS (SELECT 0 AS height, tree AS pos, subroot AS digest, (SELECT count(*) FROM s) AS n FROM s
+            UNION ALL
+            SELECT height + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY height, pos // 8, n),
+    f AS (SELECT id, tree, 0 AS height, pos, own, '' AS proof, n FROM l
+          UNION ALL
+          SELECT f.id, f.tree, f.height + 1, f.pos // 8, sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.own ELSE u.digest END, '' ORDER BY u.pos)),
+                 f.proof || coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos <> f.pos), ''), (f.n + 7) // 8
+          FROM f JOIN up u ON u.tree = f.tree AND u.height = f.height AND u.pos // 8 = f.pos // 8 WHERE f.n > 1
+          GROUP BY f.id, f.tree, f.height, f.pos, f.own, f.proof, f.n),
+    g AS (SELECT id, 0 AS height, tree AS pos, own, proof, (SELECT count(*) FROM s) AS n FROM f WHERE n = 1
+          UNION ALL
+          SELECT g.id, g.height + 1, g.pos // 8, sha256(string_agg(CASE WHEN t.pos = g.pos THEN g.own ELSE t.digest END, '' ORDER BY t.pos)),
+                 g.proof || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> g.pos), ''), (g.n + 7) // 8
+          FROM g JOIN top t ON t.height = g.height AND t.pos // 8 = g.pos // 8 WHERE g.n > 1
+          GROUP BY g.id, g.height, g.pos, g.own, g.proof, g.n)
+    SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(g.proof) AS proof_sha256, g.own AS folded_root, g.own = r.digest AS verified
+    FROM l JOIN s USING (tree) JOIN g ON g.id = l.id AND g.n = 1 CROSS JOIN (SELECT digest FROM top WHERE n = 1) r""",
+)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(docs, docs.columns, {"text": lower}, crc_mod(F.col("doc_id"), 3) == 0)
+
+
+@query("op13_block_table_fingerprints")
+def op13(spark, sf_dir):
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
