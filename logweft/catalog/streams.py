@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import time
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.chain import parse_lines, to_logs
 from ..operators.ordering import with_record_index
+from ..session import materialize
 from ..streaming import follow as fo
+from ..streaming import growing as gr
 from ..streaming import operators as so
 from ..streaming.batches import last_batch, write_batch
 from ..streaming.regions import closed_regions, stream_regions
@@ -91,6 +95,48 @@ def t1b(spark, sf_dir):
     return run(logs, "append", "stateless")
 
 
+_STEPS, _FILE_LINES = 8, 20_000
+
+
+def _instalments(spark, sf_dir: str, path: str):
+    """The lines of the events in files of 20,000, of which each step writes an eighth more, cut within lines."""
+    number = F.floor(F.col("event_id") / _FILE_LINES).alias("file")
+    line = F.struct("event_id", F.concat(ext_line(), F.lit("\n")).alias("line"))
+    listed = events(spark, sf_dir).groupBy(number).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    whole = materialize(listed.select("file", F.encode(F.array_join(F.col("l.line"), ""), "UTF-8").alias("content")), "growing")
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                files, name = pafs.FileSystem.from_uri(f"{path}/{row['file']}.log")
+                with files.open_output_stream(name) as f:
+                    f.write(row["content"])
+            yield batch.select(["file"])
+
+    pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(path)[1])
+    for k in range(1, _STEPS + 1):
+        so_far = F.floor(F.octet_length("content") * F.lit(k) / _STEPS).cast("int")
+        part = whole.select("file", F.substring("content", F.lit(1), so_far).alias("content"))
+        part.mapInArrow(write, "file long").write.format("noop").mode("overwrite").save()
+        yield k
+
+
+@query(
+    "t1_growing_files",
+    f"""SELECT ts AS "timestamp", {LEVEL} AS level, {MESSAGE} AS message FROM events""",
+)
+def t1c(spark, sf_dir):
+    """The files grow by parts of lines over eight batches; what was appended is read, once."""
+    base = fresh_dir(spark, "growing")
+    path = base if "://" in base or base.startswith("file:") else f"file://{base}"
+    for _ in _instalments(spark, sf_dir, f"{path}/in"):
+        lines = gr.growing_lines(spark, f"{path}/in", blockBytes="1000000")
+        writer = lines.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{base}/lines").start().awaitTermination()
+    lines = spark.read.schema(lines.schema).parquet(f"{base}/lines")
+    return to_logs(parse_lines(lines, "syslog")).select("timestamp", "level", "message")
+
+
 @query(
     "t2_restart",
     f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, ts AS "timestamp", {MESSAGE} AS message FROM events""",

@@ -11,6 +11,7 @@ from ..schema import LOG_SCHEMA
 from ..session import scratch_path
 from ..sources.text import strip_cr
 from .batches import all_batches, state_before, write_batch, write_state
+from .growing import growing_lines, grown_from, snapshot
 
 _LOW33 = (1 << 33) - 1
 
@@ -43,17 +44,24 @@ ONCE = {"availableNow": True}
 
 
 def follow(
-    spark: SparkSession, path: str, fmt: str, out: str, checkpoint: str, ingest_ts=None, trigger: dict = ONCE, **options: str
+    spark: SparkSession, path: str, fmt: str, out: str, checkpoint: str, ingest_ts=None, trigger: dict = ONCE, growing: bool = False,
+    **options: str,
 ) -> StreamingQuery:
     """Append parsed records with continuing ids to ``out``; read them with ``followed``.
 
-    ``trigger`` is that of ``writeStream``; other options go to the reader.
+    ``trigger`` is that of ``writeStream``; other options go to the reader. Files count once they are there as a whole, or
+    with ``growing`` line by line as they are written (``growing_lines``).
     """
     counts = f"{checkpoint}/ids"
+    if growing:
+        arriving = growing_lines(spark, path, **options)
+    else:
+        seq = F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))
+        arriving = stream_lines(spark, path, **options)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        lines = batch.withColumn("seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
+        lines = batch if growing else batch.withColumn("seq", seq)
         logs = to_logs(parse_chain(lines, format_parsers(fmt)), ingest_ts)
         if fmt == "op_log":
             logs = carry_request_context(logs)
@@ -66,8 +74,7 @@ def follow(
         write_state(done.agg((F.count("*") + first).alias("next_id")).coalesce(1), counts, batch_id)
 
     return (
-        stream_lines(spark, path, **options)
-        .writeStream.foreachBatch(on_batch)
+        arriving.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", f"{checkpoint}/query")
         .trigger(**trigger)
         .start()
@@ -85,30 +92,33 @@ def restart(spark: SparkSession, path: str, fmt: str, **kw) -> tuple[StreamingQu
     return follow(spark, path, fmt, out, f"{base}/checkpoint", **kw), out
 
 
-SOURCE_SCHEMA = "path string, bytes bigint, modified bigint"
+SOURCE_SCHEMA = "path string, bytes bigint, head string, tail string"
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and modification time of the files that a stream over ``path`` reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = []
-    for found in fs.globStatus(hadoop) or []:
-        for s in fs.listStatus(found.getPath()):
-            if s.isFile() and not s.getPath().getName().startswith(("_", ".")):
-                rows.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    """How far each file below ``path`` can be read now, with digests of its beginning and of the bytes before that end."""
+    rows = [(name, x["bytes"], x["head"], x["tail"]) for name, x in snapshot(path).items()]
     return spark.createDataFrame(rows, SOURCE_SCHEMA)
 
 
 def replaced(now: DataFrame, known: DataFrame) -> bool:
-    """Whether a file that was read before has other content now. A file that is gone was rotated away."""
-    old = known.select("path", F.col("bytes").alias("__bytes"), F.col("modified").alias("__modified"))
-    changed = (F.col("bytes") != F.col("__bytes")) | (F.col("modified") != F.col("__modified"))
-    return not now.join(old, "path").filter(changed).isEmpty()
+    """Whether a file that was read before has other content now.
+
+    A file that is gone was rotated away; one that only got longer has grown.
+    """
+    old = known.select("path", *[F.col(c).alias(f"__{c}") for c in ("bytes", "head", "tail")])
+
+    @F.udf("boolean")
+    def same(path, bytes_now, head_now, tail_now, bytes_old, head_old, tail_old):
+        before, after = ({"bytes": b, "head": h, "tail": t} for b, h, t in ((bytes_old, head_old, tail_old), (bytes_now, head_now, tail_now)))
+        return grown_from(path, before, after)
+
+    both = now.join(old, "path")
+    return not both.filter(~same("path", "bytes", "head", "tail", "__bytes", "__head", "__tail")).isEmpty()
 
 
 def follow_current(spark: SparkSession, path: str, fmt: str, base: str, **kw) -> tuple[StreamingQuery, str]:
-    """Go on following ``path``, or start over if a file already read was replaced.
+    """Go on following ``path``, whose files may grow, or start over if a file already read was replaced.
 
     Each start over has its own folder below ``base`` (``run=0``, ``run=1``, ...); the returned folder
     holds the records of the current run, with ids from 0.
@@ -116,10 +126,10 @@ def follow_current(spark: SparkSession, path: str, fmt: str, base: str, **kw) ->
     runs = f"{base}/sources"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(runs)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    run, now = 0, source_files(spark, path)
+    run, now = 0, source_files(spark, path).persist()
     if fs.exists(hadoop):
         run = max(int(s.getPath().getName().removeprefix("run=")) for s in fs.listStatus(hadoop))
         run += replaced(now, spark.read.schema(SOURCE_SCHEMA).parquet(f"{runs}/run={run}"))
     now.coalesce(1).write.mode("overwrite").parquet(f"{runs}/run={run}")
     out = f"{base}/run={run}/out"
-    return follow(spark, path, fmt, out, f"{base}/run={run}/checkpoint", **kw), out
+    return follow(spark, path, fmt, out, f"{base}/run={run}/checkpoint", growing=True, **kw), out

@@ -114,3 +114,58 @@ def test_late_rows_are_kept_and_merged(spark, tmp_path):
         keep_late(stream, "30s", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.id: r.late for r in merged(spark, str(tmp_path / "out"), stream.schema).collect()}
     assert got == {100: False, 50: False, 200: False, 150: True, 300: False, 10: True, 299: False, 400: False}
+
+
+def test_lines_appended_in_pieces(spark, tmp_path):
+    """A file that grows by parts of lines over 20 batches gives each line once; a truncated one starts over."""
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    text = "".join(f"2024-01-15 10:00:{n:02d} INFO zeile {n} \u00e4\u20ac\r\n" + "\n" * (n % 3) for n in range(40)).encode()
+
+    def run():
+        follow(spark, str(src), "generic", out, state, growing=True, blockBytes="40").awaitTermination()
+        return [(r.id, r.message) for r in followed(spark, out).orderBy("id").collect()]
+
+    ends = [len(text) * k // 20 for k in range(1, 21)]
+    for k, end in enumerate(ends):
+        (src / "a.log").write_bytes(text[:end])
+        if k == 7:
+            (src / "b.log").write_bytes(b"2024-01-15 11:00:00 INFO beside\n2024-01-15 11:00:01 INFO unfin")
+        if k in (0, 7, 19):
+            have = run()
+            wanted = text[:end].rpartition(b"\n")[0].count(b"zeile") + (k >= 7)
+            assert [i for i, _ in have] == list(range(wanted))
+    messages = [m for _, m in run()]
+    assert sorted(messages) == sorted([f"zeile {n} \u00e4\u20ac" for n in range(40)] + ["beside"])
+    (src / "b.log").write_bytes(b"2024-01-15 11:00:00 INFO beside\n2024-01-15 11:00:01 INFO unfinished\n")
+    assert run()[-1] == (41, "unfinished")
+    (src / "b.log").write_bytes(b"2024-01-15 11:00:00 INFO beside\n")  # shorter: replaced, read again
+    assert run()[-1] == (42, "beside")
+    (src / "b.log").write_bytes(b"2024-01-15 11:00:00 INFO beside\n2024-01-15 11:00:09 INFO more\n")
+    (src / "a.log").unlink()
+    assert run()[-1] == (43, "more")
+    # Longer than before, but the bytes before the old end are others.
+    (src / "b.log").write_bytes(b"2024-01-15 11:00:00 INFO beside\n2024-01-15 11:00:09 INFO MORE\n2024-01-15 11:00:10 INFO x\n")
+    assert [m for _, m in run()[44:]] == ["beside", "MORE", "x"]
+
+
+def test_growth_is_no_replacement(spark, tmp_path):
+    src, base = tmp_path / "in", str(tmp_path / "base")
+    src.mkdir()
+
+    def run():
+        query, out = follow_current(spark, str(src), "generic", base)
+        query.awaitTermination()
+        return out, [(r.id, r.message) for r in followed(spark, out).orderBy("id").collect()]
+
+    (src / "a.log").write_text("2024-01-15 10:00:00 INFO a\n")
+    first, _ = run()
+    with (src / "a.log").open("a") as f:
+        f.write("2024-01-15 10:00:01 INFO b\n2024-01-15 10:00:02 IN")
+    assert run() == (first, [(0, "a"), (1, "b")])
+    with (src / "a.log").open("a") as f:
+        f.write("FO c\n")
+    assert run() == (first, [(0, "a"), (1, "b"), (2, "c")])
+    (src / "a.log").write_text("2024-01-15 10:00:00 INFO a\n")
+    again, rows = run()
+    assert again != first and rows == [(0, "a")]
