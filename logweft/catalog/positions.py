@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ordering as od
 from ..operators import search as se
+from ..plans import segments as sg
 from ..sources.tables import as_logs
 from .common import events, logs, query, store, table, with_logs, with_store
 
@@ -184,3 +185,38 @@ def x11(spark, sf_dir):
     from ..operators.projection import unpivot_fields
 
     return unpivot_fields(logs(spark, sf_dir)).select("id", "field", "value")
+
+
+_FENCED: dict[tuple[str, str], sg.Store] = {}
+
+
+def fenced(spark, sf_dir: str) -> sg.Store:
+    """The events in time order as files with fences, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FENCED:
+        _FENCED[key] = sg.write_store(logs(spark, sf_dir), ("timestamp", "id"))
+    return _FENCED[key]
+
+
+@query("r3_fenced_lookup", """SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-15 03:04:05') AS record_index FROM events""")
+def r3b(spark, sf_dir):
+    """The position of a time from the fences and one file."""
+    return sg.find_by_time(fenced(spark, sf_dir), "2024-01-15T03:04:05Z")
+
+
+@query("r4_fenced_range", with_store("SELECT id, record_index FROM store WHERE record_index >= 4900 AND record_index < 9100"))
+def r4b(spark, sf_dir):
+    return sg.range_by_position(fenced(spark, sf_dir), 4900, 9100).select("id", "record_index")
+
+
+@query(
+    "r4_fenced_times",
+    with_store("""SELECT id, record_index FROM store WHERE "timestamp" >= TIMESTAMP '2024-01-09 12:00:00' AND "timestamp" < TIMESTAMP '2024-01-12'"""),
+)
+def r4c(spark, sf_dir):
+    return sg.time_slice(fenced(spark, sf_dir), "2024-01-09T12:00:00Z", "2024-01-12T00:00:00Z").select("id", "record_index")
+
+
+@query("r2_fenced_positions", with_store("SELECT id, record_index FROM store"))
+def r2c(spark, sf_dir):
+    return sg.with_positions(fenced(spark, sf_dir)).select("id", "record_index")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.chain import parse_lines, to_logs
 from ..operators.ordering import with_record_index
+from ..plans.segments import merge_late, with_positions
 from ..session import materialize
 from ..streaming import follow as fo
 from ..streaming import growing as gr
@@ -237,6 +238,24 @@ def t7b(spark, sf_dir):
     return with_record_index(rows).select("id", "record_index", "late")
 
 
+@query(
+    "t7_merged_store",
+    with_store("SELECT id, record_index FROM store"),
+)
+def t7c(spark, sf_dir):
+    """Late rows are merged into the sorted files at a threshold, the last ones here at the end; positions come from the fences."""
+    base = fresh_dir(spark, "sorted")
+    path = arrivals(spark, sf_dir, "mixed")
+    arrived = to_log_rows(spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", _FILES).parquet(f"{path}/*"))
+    order = ("timestamp", "id")
+    so.keep_sorted(arrived, f"{base}/out", f"{base}/state", order, threshold=1000).awaitTermination()
+    store = so.sorted_store(spark, f"{base}/state", arrived.schema)
+    rest = so.waiting_rows(spark, f"{base}/state", arrived.schema)
+    if not rest.isEmpty():
+        store = merge_late(store, rest, order, f"{base}/out/last")
+    return with_positions(store).select("id", "record_index")
+
+
 @query(
     "t8_stream_density",
     with_logs("""SELECT level, time_bucket(INTERVAL 1 HOUR, "timestamp") AS slice_start, count(*) AS records FROM logs GROUP BY 1, 2"""),

@@ -19,6 +19,11 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    found, fs = _path(spark, path)
+    fs.delete(found, True)
+
+
 def write_batch(df: DataFrame, base: str, batch_id: int) -> None:
     """A result table of the batch; all of them together are the output."""
     df.write.mode("overwrite").parquet(batch_path(base, batch_id))
@@ -28,8 +33,7 @@ def write_state(df: DataFrame, base: str, batch_id: int) -> None:
     """The state after the batch. That before it stays, for a repeated batch; older state goes."""
     write_batch(df, base, batch_id)
     if batch_id >= 2:
-        old, fs = _path(df.sparkSession, batch_path(base, batch_id - 2))
-        fs.delete(old, True)
+        delete(df.sparkSession, batch_path(base, batch_id - 2))
 
 
 def state_before(spark: SparkSession, base: str, batch_id: int, schema) -> DataFrame:
