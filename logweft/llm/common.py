@@ -42,6 +42,17 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
+#: Emptied by ``forget``: what operators remember in a worker between the tasks of one job.
+MEMORIES: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Give back what earlier jobs left in this worker; for operators that need the room in a pipeline."""
+    for empty in MEMORIES:
+        empty()
+    pa.default_memory_pool().release_unused()
+
+
 def crc_mod(value: Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; null counts as the empty text."""
     return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % n

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import _Memory
-from .common import add_columns, texts_of
+from .common import MEMORIES, add_columns, texts_of
 
 #: Labelled documents that the words are weighted on, at most; taken in the order of a hash of their ids.
 TRAIN_DOCS = 30_000
@@ -301,3 +301,6 @@ def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str,
         return best
 
     return scored
+
+
+MEMORIES += [_restorer.cache_clear, _scorer.cache_clear]
