@@ -150,10 +150,10 @@ def variants(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Numbers of a sketch, and the least lanes of it that texts of similarity 0.8 have in common: 57.6 of 72 are expected, and
-#: fewer than 39 come with a chance of one in a million.
-_SKETCH, LEAST_LANES = SEGMENTS * SEGMENT_LANES // 8, 39
-#: Nodes of one key that are held together.
-SLICE = 256
+#: fewer than 44 come with a chance of one in ten thousand (two in ten million at a similarity of 0.85).
+_SKETCH, LEAST_LANES = SEGMENTS * SEGMENT_LANES // 8, 44
+#: Rounds of comparing with one node of each key.
+ROUNDS = 3
 
 
 def _fits(a: Column, b: Column, similarity: float) -> Column:
@@ -180,8 +180,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(close).select("a", "b")
 
 
-def _sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the nodes of ``pairs``."""
+def _sets(texts: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes in the arrays ``nodes`` of ``named``."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         flat, ends = [np.zeros(0, np.uint64)], [0]
@@ -190,51 +190,92 @@ def _sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
             ends.append(ends[-1] + len(flat[-1]))
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))]
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = named.select(F.explode("nodes").alias("node")).distinct()
     return add_columns(texts.join(nodes, "node", "left_semi"), "shingles array<long>", make).select("node", "shingles")
 
 
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def similar_links(index: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = JACCARD_SHINGLE) -> DataFrame:
     """Edges (a, b) that join the same nodes as all pairs of texts of this similarity that share a variant.
 
     ``index``: (node, size, keys, sketch), stored: the texts' shingles counted, their variants and a byte of each lane;
-    ``texts``: (node, text). Under each key all nodes are compared with the least one, which joins a group of near copies
-    without making its pairs. Only nodes of keys under which that leaves several components go on: each that is not in the
-    component of the key's least node meets the others of its key, in slices. A pair is a candidate if sizes and sketches
-    allow the similarity, and is then compared by its whole sets.
+    ``texts``: (node, text). In ``ROUNDS`` rounds each key names one of its nodes, and those that are not in its component yet
+    are compared with it: first the node that shares its keys with most others, which is near the middle of a group
+    of near copies, then others by a hash, the same for many keys. So dense groups are joined without making their pairs.
+    Nodes under keys that still hold several components meet if they share a rare shingle (``_sharing_rare``). A pair is
+    a candidate if sizes and sketches allow the similarity, and is then compared by its whole sets.
     """
     exploded = index.select("node", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     near = materialize(exploded.join(shared, "key"), "similar-keys")
+    hubs = near.groupBy("node").agg(F.sum("n").alias("hub"))
+    member = materialize(near.join(hubs, "node").select("key", "node", "n", "hub", F.col("node").alias("root")), "similar-members")
     about = index.select("node", "size", "sketch")
+    compared = linked = None
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        sets = _sets(texts, pairs.select(F.array("a", "b").alias("nodes")), shingle)
+        return _similar(pairs, materialize(sets, "similar-sets"), similarity)
 
     def side(name: str) -> DataFrame:
         return about.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
-    first = near.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     lane = lambda c: lambda i: F.col(c)[i]
-    first = first.filter(_fits(F.col("size_a"), F.col("size_b"), similarity) & _alike(lane("sketch_a"), lane("sketch_b"))).select("a", "b")
-    first = materialize(first, "similar-pairs")
-    linked = materialize(_similar(first, materialize(_sets(texts, first, shingle), "similar-sets"), similarity), "similar-links")
-    root = components(linked, "similar-components")
-    member = near.join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    member = materialize(member, "similar-members")
-    apart = member.groupBy("key").agg(F.min("root").alias("own"), F.max("root").alias("__max")).filter("own < __max").drop("__max")
-    fields = [F.col("sketch")[i].alias(f"l{i}") for i in range(_SKETCH)]
-    member = member.join(apart, "key").join(about, "node").select("key", "node", "root", "own", "size", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"), *fields)
-    lanes = [f"l{i}" for i in range(_SKETCH)]
-    sliced = member.groupBy("key", F.pmod(F.hash("node"), "slices").alias("slice")).agg(
-        F.collect_list(F.struct("node", "root", "size", *lanes)).alias("others")
-    )
-    asking = member.filter("root <> own").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    met = F.filter(
-        "others",
-        lambda o: (o["root"] != F.col("root")) & _fits(o["size"], F.col("size"), similarity) & _alike(lambda i: o[f"l{i}"], lambda i: F.col(f"l{i}")),
-    )
-    found = asking.join(sliced, ["key", "slice"]).select("node", F.explode(F.transform(met, lambda o: o["node"])).alias("other"))
-    rest = found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = materialize(rest, "similar-rest")
-    return linked.unionByName(_similar(rest, materialize(_sets(texts, rest, shingle), "similar-sets"), similarity))
+    for turn in range(ROUNDS):
+        by = F.struct("hub", F.hash("node")) if turn == 0 else F.struct(F.xxhash64("node", F.pmod("key", F.lit(3)), F.lit(turn)))
+        named = member.groupBy("key").agg(F.max_by(F.struct("node", "root"), by).alias("named"))
+        met = member.join(named, "key").filter(F.col("root") != F.col("named.root")).select(*_pairs(F.col("node"), F.col("named.node"))).distinct()
+        if compared is not None:
+            met = met.join(compared, ["a", "b"], "left_anti")
+        met = met.join(side("a"), "a").join(side("b"), "b")
+        met = met.filter(_fits(F.col("size_a"), F.col("size_b"), similarity) & _alike(lane("sketch_a"), lane("sketch_b"))).select("a", "b")
+        met = materialize(met, "similar-pairs")
+        compared = met if compared is None else compared.unionByName(met)
+        found = materialize(exact(met), "similar-links")
+        linked = found if linked is None else linked.unionByName(found)
+        root = components(linked, "similar-components")
+        member = member.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = member.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max")).filter("__min < __max").select("key")
+        member = materialize(member.join(apart, "key", "left_semi"), "similar-members")
+
+    nodes = member.select("node", "root").distinct()
+    sets = materialize(_sets(texts, nodes.select(F.array("node").alias("nodes")), shingle), "similar-sets")
+    met = _sharing_rare(sets.join(nodes, "node"), similarity).join(compared, ["a", "b"], "left_anti")
+    met = met.join(side("a"), "a").join(side("b"), "b").filter(_alike(lane("sketch_a"), lane("sketch_b"))).select("a", "b")
+    return linked.unionByName(_similar(materialize(met, "similar-rest"), sets, similarity))
+
+
+def _sharing_rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the stored ``sets`` (node, root, shingles), of different roots, that can be as similar by their rare shingles.
+
+    Prefix filtering: order shingles by how many sets hold them. Two sets of this similarity, the smaller one x, have in
+    common at least 2s / (1 + s) of x and s of y; so one of the rest of x and one of the rest of y (and one more each), taken from
+    the rare end, are the same. Sets that share a frequent passage but have too much of their own never meet.
+    """
+    size = F.size("shingles")
+    tokens = sets.select("node", F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    # Shingles of one set come first in its order and meet nothing: their number is enough.
+    listed = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("l"))
+    listed = sets.select("node", "root", size.alias("size")).join(listed, "node").withColumn("alone", F.col("size") - F.size("l"))
+
+    def prefix(share: float, name: str) -> DataFrame:
+        most = (F.col("size") - F.ceil(F.col("size") * F.lit(share) - 1e-9) + 1 - F.col("alone")).cast("int")
+        first = F.slice("l", F.lit(1), F.greatest(most, F.lit(0)))
+        rows = listed.select(
+            *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "size")], "alone", F.posexplode(F.transform(first, lambda t: t["token"])).alias("at", "token")
+        )
+        return rows.withColumn(f"{name}_left", F.col(f"{name}_size") - F.col("alone") - F.col("at")).drop("alone", "at")
+
+    x, y = prefix(2 * similarity / (1 + similarity), "x"), prefix(similarity, "y")
+    smaller = F.struct("x_size", "x_node") < F.struct("y_size", "y_node")
+    # Up to their first common shingle nothing is common, so that what is left must be enough; later ones need not tell.
+    enough = F.least("x_left", "y_left") >= F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6
+    both = x.join(y, "token").filter(enough & smaller & (F.col("x_root") != F.col("y_root")) & _fits(F.col("x_size"), F.col("y_size"), similarity))
+    return both.select(*_pairs(F.col("x_node"), F.col("y_node"))).distinct()
 
 
 def keep_one(
