@@ -1,65 +1,151 @@
 """Quotation linking: messages that quote one another become reply-ordered conversations without quotes.
 
-Lines beginning with ">" marks are quotes, as deep as their marks. Runs of lines of one depth are passages.
-A passage is normalised (case, white space), hashed, and joined with the paragraphs of
-earlier messages of the same conversation; the message that holds it is what is being answered.
+Lines beginning with ">" marks are quotes, as deep as their marks. Runs of quote lines of one depth are passages.
+A passage is normalised (case, white space) to its words, hashed, and joined with the stretches of whole lines of
+earlier messages of the same conversation that have as many words; the message that holds it is what is
+being answered. So a quote may be a message, a paragraph, some lines of one, or paragraphs without the blank line
+between them, and may be wrapped anew.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordering import number_rows
 from ..plans.scan import Scan, index_chunk, scan
 from ..session import materialize
 
 _MARKS = r"^(?:[ \t]*>)+"
+_MARKED, _LINE_END = re.compile(_MARKS), re.compile("\r\n?|\n")
 
+#: A stretch of words v1 .. vk has the hash v1 * BASE^(k-1) + .. + vk modulo PRIME, so the hash of any stretch
+#: comes from those of two beginnings of the text.
+PRIME, BASE = (1 << 61) - 1, 1_000_003_919_321
+#: A passage is looked for where its first words are, so many at most.
+ANCHOR_WORDS = 3
+#: A beginning that many messages share is dealt over so many tasks.
+SALTS = 32
 
-def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
+_READ = (
+    "conv string, n long, bounds array<struct<at: long, prefix: long>>, starts array<struct<at: long, prefix: long, anchor: long>>, "
+    "quotes array<struct<start: int, depth: int, words: long, anchor: long, hash: long, power: long>>"
+)
 
 
-def passages(df: DataFrame) -> DataFrame:
-    """(conv, n, depth, hash, start): maximal runs of lines of one quote depth, of non-blank text; depth 0 is own text.
+def _hash(values: list[int]) -> int:
+    h = 0
+    for v in values:
+        h = (h * BASE + v) % PRIME
+    return h
 
-    Own text is also cut at blank lines, as mail readers quote paragraphs as well as whole messages.
+
+def _anchor(values: list[int]) -> int:
+    return _hash(values) * 4 + len(values)
+
+
+def read_message(text: str) -> tuple[list, list, list]:
+    """Line bounds of the own text, places where a quoted passage may begin in it, and the passages it quotes.
+
+    bounds: (at, prefix), words before and their hash. starts: (at, prefix, anchor). quotes: (line, depth, words,
+    anchor, hash, BASE^words). Blank lines of own text do not count; quotes between own lines part them. Linear in the text.
     """
-    line = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    marks = lambda x: F.regexp_extract(x, _MARKS, 0)
-    lines = F.transform(
-        line,
-        lambda x: F.struct(
-            F.length(F.regexp_replace(marks(x), r"[ \t]", "")).alias("depth"),
-            F.trim(F.regexp_replace(x, _MARKS, "")).alias("line"),
-        ),
+    values, prefix, bounds, quotes = [], 0, [], []
+    run, first, deep, parted = [], 0, 0, True
+
+    def close():
+        if run:
+            quotes.append((first, deep, len(run), _anchor(run[:ANCHOR_WORDS]), _hash(run), pow(BASE, len(run), PRIME)))
+            run.clear()
+
+    for number, line in enumerate(_LINE_END.split(text)):
+        marks = _MARKED.match(line)
+        depth = marks[0].count(">") if marks else 0
+        rest = line[len(marks[0]) :] if marks else line
+        words = [xxhash.xxh64_intdigest(w) % (PRIME - 1) + 1 for w in rest.lower().split()]
+        if depth != deep or not words:
+            close()
+        if depth:
+            if words and not run:
+                first, deep = number, depth
+            run += words
+            parted = True
+        elif words:
+            deep = 0
+            if parted:
+                values.append(0)  # no word: no passage goes on across it
+                prefix = prefix * BASE % PRIME
+                bounds.append((len(values), prefix))
+                parted = False
+            for v in words:
+                prefix = (prefix * BASE + v) % PRIME
+            values += words
+            bounds.append((len(values), prefix))
+    close()
+    ends, starts = {at for at, _ in bounds}, []
+    for at, before in bounds:
+        # A passage of fewer words than an anchor has ends where a line does.
+        for k in range(1, ANCHOR_WORDS + 1):
+            if at + k <= len(values) and (k == ANCHOR_WORDS or at + k in ends):
+                starts.append((at, before, _anchor(values[at : at + k])))
+    return bounds, starts, quotes
+
+
+def read_messages(df: DataFrame) -> DataFrame:
+    """``read_message`` of each row (conv, n, text)."""
+
+    def run(batches):
+        kinds = [
+            pa.list_(pa.struct([("at", pa.int64()), ("prefix", pa.int64())])),
+            pa.list_(pa.struct([("at", pa.int64()), ("prefix", pa.int64()), ("anchor", pa.int64())])),
+            pa.list_(pa.struct([
+                ("start", pa.int32()), ("depth", pa.int32()), ("words", pa.int64()),
+                ("anchor", pa.int64()), ("hash", pa.int64()), ("power", pa.int64()),
+            ])),
+        ]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):  # the lists of a few messages at a time
+                part = batch.slice(at, 500)
+                read = list(zip(*[read_message(t) for t in part.column(2).to_pylist()]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(read, kinds)]],
+                    names=["conv", "n", "bounds", "starts", "quotes"],
+                )
+
+    return df.select("conv", "n", "text").mapInArrow(run, _READ)
+
+
+def _held(read: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv, words, hash, n): stretches of whole own lines that begin like a passage quoted in the conversation and are as long.
+
+    A place is tried with each length that passages with its beginning have: as many different lengths as the root of
+    twice the words quoted, at most. The end must be a line's end, by an equality join of places.
+    """
+    wanted = quotes.select("conv", "anchor", "words", "power").distinct().withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    empty = F.array().cast("array<struct<depth:int,text:string>>")
-    # A line goes on with the run before it if the depth is the same and, in own text, neither is blank.
-    runs = F.aggregate(
-        lines,
-        empty,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["depth"] == x["depth"]) & (x["line"] != "") & (F.element_at(acc, -1)["text"] != ""),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(x["depth"].alias("depth"), F.concat_ws("\n", F.element_at(acc, -1)["text"], x["line"]).alias("text"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["depth"].alias("depth"), x["line"].alias("text"))))),
+    starts = read.select("conv", "n", F.explode("starts").alias("s")).select(
+        "conv", "n", "s.*", F.pmod(F.xxhash64("n", "s.at"), F.lit(SALTS)).cast("int").alias("salt")
     )
-    return df.select("conv", "n", F.posexplode(runs).alias("start", "run")).filter("run.text <> ''").select(
-        "conv", "n", F.col("run.depth").alias("depth"), F.col("start").cast("long").alias("start"),
-        F.sha2(_normal(F.col("run.text")), 256).alias("hash"),
+    tried = starts.join(wanted, ["conv", "anchor", "salt"]).select(
+        "conv", "n", "words", (F.col("at") + F.col("words")).alias("at"), F.col("prefix").alias("before"), "power"
     )
+    ends = read.select("n", F.explode("bounds").alias("e")).select("n", "e.at", "e.prefix")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  # products have up to 37 digits
+    hashed = F.pmod(wide("prefix") - wide("before") * wide("power"), F.lit(PRIME).cast("decimal(19,0)")).cast("long")
+    return tried.join(ends, ["n", "at"]).select("conv", "words", hashed.alias("hash"), "n")
 
 
 def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Stored table of all columns of ``df`` and: own_text, n_quotes, n_linked, reply_to, quote_depth, position.
 
     own_text: the text without quote lines, outer blank lines trimmed; null text counts as empty. n_quotes: quoted
-    passages; n_linked: those found in an earlier message of the conversation. reply_to: the turn answered,
+    passages; n_linked: those whose words are those of consecutive whole lines of an earlier message of the conversation
+    (blank lines and the breaks between lines do not count). reply_to: the turn answered,
     that is the latest message holding a passage quoted at depth 1, else at any depth, else null for the first
     message and the message before for others. quote_depth: deepest quote. position: place (from 0) in the
     conversation when every message follows the one it answers, ordered by the length of the reply
@@ -78,16 +164,19 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     order = [F.col("conv"), F.col("turn"), F.xxhash64("text"), F.xxhash64(*[f"c{i}" for i in range(len(names))])]
     keyed = rows.withColumns({f"k{i}": c for i, c in enumerate(order)})
     messages = materialize(number_rows(keyed, [f"k{i}" for i in range(len(order))], "n").drop(*[f"k{i}" for i in range(len(order))]), "messages")
-    found = materialize(passages(messages.filter("conv IS NOT NULL")), "passages")
-    quotes = found.filter("depth > 0")
+    read = materialize(read_messages(messages.filter("conv IS NOT NULL")), "read")
+    quotes = read.select("conv", "n", F.explode("quotes").alias("q")).select("conv", "n", "q.*")
     # Each quote with the latest earlier message that holds its passage: one ordered scan per passage, in chunks,
     # so that a passage said and quoted thousands of times makes no pairs.
-    own = F.col("depth") == 0
-    marked = found.select("conv", "hash", "n", own.cast("int").alias("own"), "start", "depth", index_chunk("n").alias("chunk"))
+    key = ["conv", "words", "hash"]
+    held = _held(read, quotes).select(*key, "n", F.lit(1).alias("own"), F.lit(0).alias("start"), F.lit(0).alias("depth"))
+    marked = materialize(
+        held.unionByName(quotes.select(*key, "n", F.lit(0).alias("own"), "start", "depth")).withColumn("chunk", index_chunk("n")), "passages"
+    )
     linked = scan(
-        marked, [Scan("origin", F.when(own, F.col("n")), "last", inclusive=False)],
-        by=["conv", "hash"], chunks=["chunk"], order=["n", "own", "start"],
-    ).filter((F.col("depth") > 0) & F.col("origin").isNotNull())
+        marked, [Scan("origin", F.when(F.col("own") == 1, F.col("n")), "last", inclusive=False)],
+        by=key, chunks=["chunk"], order=["n", "own", "start"],
+    ).filter((F.col("own") == 0) & F.col("origin").isNotNull())
     per_message = linked.groupBy("n").agg(
         F.count("*").alias("n_linked"),
         F.max(F.struct((F.col("depth") == 1).alias("direct"), "origin"))["origin"].alias("origin"),

@@ -97,34 +97,46 @@ def test_query_archives(llm, sf_small):
 
 
 def _brute_quotes(rows):
-    """(conv, turn) -> (n_quotes, n_linked, reply_to, depth, position), by reading messages in turn."""
+    """(conv, turn) -> (n_quotes, n_linked, reply_to, depth, position), by comparing every passage with all stretches of lines."""
 
-    def runs(text):
-        out, at = [], None
+    def blocks(text):
+        """Lines as (depth, words), quotes parted by depth and blank lines, own text by quotes only."""
+        out, last = [], None
         for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
             depth, rest = 0, line
             while rest.lstrip(" \t").startswith(">"):
                 rest, depth = rest.lstrip(" \t")[1:], depth + 1
-            rest = rest.strip(" ") if depth else line.strip(" ")
-            if out and at == depth and rest and out[-1][1][-1]:
-                out[-1][1].append(rest)
-            else:
-                out.append((depth, [rest]))
-            at = depth
-        return [(d, " ".join(" ".join(x).lower().split())) for d, x in out if any(x)]
+            words = tuple(rest.lower().split())
+            if words and last == depth:
+                out[-1][1].append(words)
+            elif words:
+                out.append((depth, [words]))
+            if words or depth or last:  # a blank line does not part own text
+                last = depth if words else None
+        return out
+
+    def holds(own, passage):
+        for i in range(len(own)):
+            said = ()
+            for words in own[i:]:
+                said += words
+                if said == passage:
+                    return True
+        return False
 
     result = {}
     for conv in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
-        parsed = [runs(r[2]) for r in mine]
+        parsed = [blocks(r[2]) for r in mine]
         up = []
         for i, found in enumerate(parsed):
+            quoted = [(d, sum(lines, ())) for d, lines in found if d]
             links = []
-            for d, text in found:
-                origins = [j for j in range(i) if (0, text) in parsed[j]]
-                if d and origins:
+            for d, passage in quoted:
+                origins = [j for j in range(i) if any(holds(lines, passage) for e, lines in parsed[j] if not e)]
+                if origins:
                     links.append((d == 1, origins[-1]))
-            up.append((len([1 for d, _ in found if d]), len(links), max(links)[1] if links else (i - 1 if i else None), max([d for d, _ in found], default=0)))
+            up.append((len(quoted), len(links), max(links)[1] if links else (i - 1 if i else None), max([d for d, _ in found], default=0)))
         chain = []
         for i in range(len(mine)):
             chain.append(0 if up[i][2] is None else chain[up[i][2]] + 1)
@@ -135,6 +147,15 @@ def _brute_quotes(rows):
     return result
 
 
+def _linked(llm, rows):
+    df = llm.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").withColumn("position", F.lit("clash"))
+    return df, {(r.conv_id, r.turn): r for r in chat.link_quotes(df).collect()}
+
+
+def _figures(got):
+    return {k: (r.n_quotes, r.n_linked, r.reply_to, r.quote_depth, r.position) for k, r in got.items()}
+
+
 def test_quotes(llm):
     rows = [
         (1, 0, "Shall we meet\non Monday?\n\nBring the maps."),
@@ -148,16 +169,57 @@ def test_quotes(llm):
         (2, 1, None),
         (2, 2, ""),
         (3, 7, "Yes."),
+        # Some lines of a paragraph, two paragraphs joined, wrapped anew, half a line, across a quote.
+        (4, 0, "one is here\ntwo is there\nthree is gone\n\nand a last line"),
+        (4, 1, "something else"),
+        (4, 2, "> two is there\nwhere?"),
+        (4, 3, "> three is gone\n> and a last line\nno"),
+        (4, 4, "> one is here two\n> is there\nlong ago"),
+        (4, 5, "> is there\n>\n> > where?\nhalf"),
+        (4, 6, "> long ago\n> half\nnot in one message"),
+        (4, 7, "> something else\r> \r\nok"),
     ]
-    df = llm.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").withColumn("position", F.lit("clash"))
-    got = {(r.conv_id, r.turn): r for r in chat.link_quotes(df).collect()}
-    assert {k: (r.n_quotes, r.n_linked, r.reply_to, r.quote_depth, r.position) for k, r in got.items()} == _brute_quotes(rows)
+    df, got = _linked(llm, rows)
+    assert _figures(got) == _brute_quotes(rows)
+    assert [got[4, t].reply_to for t in (2, 3, 4, 5, 6, 7)] == [0, 0, 0, 2, 5, 1] and got[4, 6].n_linked == 0
     assert got[1, 3].own_text == "Good." and got[1, 3].reply_to == 1 and got[1, 4].reply_to == 2
     assert chat.link_quotes(df.limit(0)).count() == 0
     alone = chat.link_quotes(llm.createDataFrame([(None, 1, "a"), (None, None, "> a")], "conv_id long, turn long, text string")).collect()
     assert [(r.reply_to, r.position) for r in alone] == [(None, 0)] * 2
 
 
+def test_quotes_made_of_turns(llm, sf_small):
+    """Conversations whose turns quote lines of earlier ones, at random, against brute force."""
+    rng, said, rows = random.Random(4), {}, []
+    turns = [(r.conv_id % 12, r.text) for r in llm.read.parquet(f"{sf_small}/conversations.parquet").orderBy("conv_id", "turn").limit(150).collect()]
+    for conv, text in turns:
+        before, quote = said.setdefault(conv, []), []
+        for _ in range(rng.randrange(4)):
+            lines = [x for x in rng.choice(before).split("\n")] if before else ["nothing"]
+            at = rng.randrange(len(lines))
+            words = " ".join(lines[at : at + rng.randrange(1, 4)]).split() if rng.random() < 0.3 else None
+            part = [" ".join(words[:3]), " ".join(words[3:])] if words else lines[at : at + rng.randrange(1, 4)]
+            quote += ["> " * rng.randrange(1, 3) + x.upper() for x in part] + rng.choice([[], [""], ["aye"]])
+        body = "\n".join(rng.choice([x.split(" ", 1)[0], x]) for x in (text or "").replace(". ", ".\n").split("\n"))
+        rows.append((conv, len(before), "\n".join([*quote, body])))
+        before.append(rows[-1][2])
+    _, got = _linked(llm, rows)
+    want = _brute_quotes(rows)
+    assert _figures(got) == want and sum(w[1] for w in want.values()) > 60
+
+
+def test_quotes_in_long_and_repeated_messages(llm):
+    """A message of about 10 MB, one line of it quoted thousands of times; rows repeated as they are."""
+    long = "\n".join(["so it goes on"] * 3000 + [f"line {i} of a very long message that goes on" for i in range(200_000)])
+    rows = [(1, 0, long), (1, 1, "> line 150000 of a very long message that goes on\n> line 150001 of a very long message that goes on\nwhy")]
+    rows += [(1, 2, "> so it goes on\n> so it goes on\nagain"), (1, 3, "> So\n> it goes on\n" * 2000)]
+    _, got = _linked(llm, rows)
+    assert [got[1, t].reply_to for t in range(4)] == [None, 0, 0, 0]
+    assert all(got[1, t].n_linked == got[1, t].n_quotes == 1 for t in (1, 2, 3))
+    again = chat.link_quotes(llm.createDataFrame([(1, 0, "a b"), (1, 0, "a b"), (1, 1, "> a b"), (1, 1, "> a b")], "conv_id long, turn long, text string")).collect()
+    assert sorted((r.turn, r.n_linked, r.reply_to, r.position) for r in again if r.turn) == [(1, 1, 0, 2), (1, 1, 0, 3)] and len(again) == 4
+
+
 def test_query_quotes(llm, sf_small):
     rows = [(r.conv_id, r.turn, r.text) for r in llm.read.parquet(f"{sf_small}/conversations.parquet").collect()]
     got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to, r.quote_depth, r.position) for r in QUERIES["op7_quote_linking"](llm, sf_small).collect()}
