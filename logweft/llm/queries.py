@@ -103,9 +103,42 @@ def op7(spark, sf_dir):
     return chat.link_quotes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).drop("text")
 
 
-@query("op8_suffix_repetition")
+# Words in repeats of at least n words are the words in windows of n words found twice; a repeat is longer than 50
+# words if a window of 51 words is found twice.
+_GRAMS = " UNION ALL ".join(
+    f"SELECT id, {n} AS n, p, string_agg(word, ' ') OVER (PARTITION BY id ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS gram "
+    f"FROM words QUALIFY p + {n - 1} <= max(p) OVER (PARTITION BY id)"
+    for n in (5, 6, 7, 8, 9, 10, 51)
+)
+
+
+@query(
+    "op8_suffix_repetition",
+    r"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS MATERIALIZED (SELECT id, regexp_extract_all(t, '[^ \t\n\v\f\r]+') AS ws FROM d),
+    words AS MATERIALIZED (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    grams AS (SELECT id, n, p, count(*) OVER (PARTITION BY id, n, gram) AS found FROM ("""
+    + _GRAMS
+    + r""")),
+    spans AS (SELECT id, n, least(n, lead(p, 1, p + n) OVER (PARTITION BY id, n ORDER BY p) - p) AS words FROM grams WHERE found > 1),
+    covered AS (SELECT id, n, CAST(sum(words) AS BIGINT) AS words FROM spans GROUP BY id, n),
+    lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d),
+    dup AS (SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY id),
+    base AS (SELECT d.id, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+                    CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(c.words, 0) AS n_repeat_words
+             FROM d JOIN w USING (id) LEFT JOIN dup USING (id) LEFT JOIN covered c ON c.id = d.id AND c.n = 5),
+    failed AS (SELECT b.id, CAST(min(c.n) FILTER (c.n < 51 AND 100 * c.words > (20 - c.n) * b.n_words) AS BIGINT) AS failed_length,
+                    coalesce(bool_or(c.n = 51), false) AS long_repeat
+             FROM base b LEFT JOIN covered c ON c.id = b.id GROUP BY b.id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_length,
+           n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND failed_length IS NULL AND NOT long_repeat AS kept
+    FROM base JOIN failed USING (id)""",
+)
 def op8(spark, sf_dir):
-    return suffixes.rate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return suffixes.rate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "longest_repeat")
 
 
 @query("op9_line_crf_quality")

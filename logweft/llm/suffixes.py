@@ -1,11 +1,8 @@
 """Repetition inside a text by suffix arrays.
 
 Texts are sequences of words. Neighbours in the suffix array of a text share its longest repeats; every
-interval of common prefixes of at least ``least`` words is a maximal repeated substring, and all its
-occurrences are covered. The union of these spans and the longest repeat decide.
-
-A second array holds only the signs of a text (hashes, bars, brackets), so that lines of marks and
-cell borders count as repetition too, in proportion to the words.
+interval of common prefixes of at least n words is a maximal repeated substring, and all its occurrences are
+covered. The longer the repeats, the less of a text their union may cover; the longest repeat has a limit too.
 
 Many texts share one array: the first symbol of a suffix is told apart by text, so no repeat crosses
 texts. Suffixes are ordered by doubling, and only those that still share a prefix with
@@ -15,7 +12,7 @@ another go on, so that clean text costs a few sorts.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Mapping, Sequence
 from itertools import count
 
 import numpy as np
@@ -24,19 +21,15 @@ from pyspark.sql import DataFrame
 
 from .common import add_columns, texts_of
 
-#: Repeats of fewer words are ordinary language.
-LEAST_WORDS = 5
-#: Reject when repeats cover more of the words than this ...
-MAX_COVERED = 0.2
-#: ... when one repeat is longer than so many words ...
+#: Reject when repeats of at least so many words cover more hundredths of the words than this: the duplicate n-gram
+#: limits of Rae et al., "Scaling language models" (2021), table A1; fixed values ...
+MAX_COVERED = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+#: ... or when one repeat is longer than so many words.
 MAX_REPEAT = 50
-#: ... or when repeats of at least LEAST_SIGNS signs hold more signs than this for each word.
-LEAST_SIGNS, MAX_SIGNS = 3, 0.1
-#: Base rule: fewer words, or more of them in windows of WINDOW words found twice, fail.
-MIN_WORDS, WINDOW, MAX_WINDOWED = 10, 5, 0.2
+#: Base rule: fewer words, or more hundredths of them in windows of WINDOW words found twice, fail.
+MIN_WORDS, WINDOW, MAX_WINDOWED = 10, 5, 20
 
 _SIGNS, _BLANK = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
-_NO_SIGNS = bytes(b for b in range(256) if b not in _SIGNS)
 #: Words of texts that share an array, about; a longer text has one of its own.
 BATCH_WORDS = 400_000
 
@@ -97,20 +90,16 @@ def longest_repeats(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def repetition(texts: list[bytes], least: int = LEAST_WORDS, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(words, words in repeats of at least ``least`` words, longest repeat, words in repeated windows) of each text."""
-    return _repetitions(map(bytes.split, texts), least, window)
-
-
-def _repetitions(sequences: Iterable[Sequence], least: int, window: int) -> list[tuple[int, int, int, int]]:
+def repetition(texts: list[bytes], lengths: Sequence[int] = tuple(MAX_COVERED), window: int = WINDOW) -> list[tuple]:
+    """(words, words in repeats of at least n words for each n of ``lengths``, longest repeat, words in repeated windows) of each text."""
     out, batch, size = [], [], 0
-    for words in sequences:
-        batch.append(words)
-        size += len(words)
+    for text in texts:
+        batch.append(text.split())
+        size += len(batch[-1])
         if size >= BATCH_WORDS:
-            out += _repetition(batch, least, window)
+            out += _repetition(batch, lengths, window)
             batch, size = [], 0
-    return out + (_repetition(batch, least, window) if batch else [])
+    return out + (_repetition(batch, lengths, window) if batch else [])
 
 
 def _covered(lengths: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -124,7 +113,7 @@ def _covered(lengths: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.nd
     return inside[ends] - inside[starts]
 
 
-def _repetition(batch: list[Sequence], least: int, window: int) -> list[tuple[int, int, int, int]]:
+def _repetition(batch: list[Sequence], lengths: Sequence[int], window: int) -> list[tuple[int, tuple[int, ...], int, int]]:
     sizes = np.array([len(w) for w in batch])
     starts = np.cumsum(sizes) - sizes
     ends = starts + sizes
@@ -132,46 +121,45 @@ def _repetition(batch: list[Sequence], least: int, window: int) -> list[tuple[in
     symbols = np.fromiter((number[w] for words in batch for w in words), np.int64, int(sizes.sum()))
     full = sizes > 0
     repeats = longest_repeats(symbols, starts[full])
-    covered = _covered(np.where(repeats >= least, repeats, 0), ends, starts)
+    covered = [_covered(np.where(repeats >= n, repeats, 0), ends, starts).tolist() for n in lengths]
     windowed = _covered(np.where(repeats >= window, window, 0), ends, starts)
     longest = np.zeros(len(batch), np.int64)
     if full.any():
         longest[full] = np.maximum.reduceat(repeats, starts[full])
-    return list(zip(sizes.tolist(), covered.tolist(), longest.tolist(), windowed.tolist()))
+    return list(zip(sizes.tolist(), zip(*covered), longest.tolist(), windowed.tolist()))
 
 
 def rate(
-    df: DataFrame, text: str = "text", least: int = LEAST_WORDS, max_covered: float = MAX_COVERED,
-    max_repeat: int = MAX_REPEAT, max_signs: float = MAX_SIGNS,
+    df: DataFrame, text: str = "text", max_covered: Mapping[int, int] = MAX_COVERED, max_repeat: int = MAX_REPEAT
 ) -> DataFrame:
-    """Add counts, ``covered_fraction``, ``longest_repeat``, ``sign_fraction``, ``base_failed`` and ``kept`` for every whole text.
+    """Add counts, ``longest_repeat``, ``failed_length``, ``base_failed`` and ``kept`` for every whole text.
 
-    Counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. Null and empty texts have
-    zero of everything, fail the base rule and are not kept. Rows, repeated ones too, stay as they are;
-    input columns of the same names are replaced.
+    Counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. failed_length: the least repeat length of
+    ``max_covered`` whose limit (in hundredths of the words) the text passes, null if none. Kept is what passes
+    neither the base rule, nor such a limit, nor ``max_repeat``. Null and empty texts have zero of everything, fail the
+    base rule and are not kept. Rows, repeated ones too, stay as they are; input columns of the same names are replaced.
     """
+    lengths = sorted(max_covered)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = texts_of(batch, text)
         rows = []
-        signs = _repetitions([t.translate(None, _NO_SIGNS) for t in texts], LEAST_SIGNS, LEAST_SIGNS)
-        for t, (n, covered, longest, windowed), (n_signs, in_repeats, _, _) in zip(texts, repetition(texts, least), signs):
+        for t, (n, covered, longest, windowed) in zip(texts, repetition(texts, lengths)):
             lines = [x for x in t.split(b"\n") if x.strip(_BLANK)]
             solid = t.translate(None, _BLANK)
-            failed = n < MIN_WORDS or windowed > MAX_WINDOWED * n
-            fraction, marks = (covered / n, in_repeats / n) if n else (0.0, 0.0)
+            failed = n < MIN_WORDS or 100 * windowed > MAX_WINDOWED * n
+            over = next((k for k, c in zip(lengths, covered) if 100 * c > max_covered[k] * n), None)
             rows.append((
-                n, len(solid.decode("utf-8", "replace")), n_signs, len(lines) - len(set(lines)),
-                windowed, fraction, longest, marks, failed,
-                not failed and fraction <= max_covered and longest <= max_repeat and marks <= max_signs,
+                n, len(solid.decode("utf-8", "replace")), len(t) - len(t.translate(None, _SIGNS)), len(lines) - len(set(lines)),
+                windowed, longest, over, failed, not failed and over is None and longest <= max_repeat,
             ))
-        kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_()]
+        kinds = [pa.int64()] * 7 + [pa.bool_(), pa.bool_()]
         columns = list(zip(*rows)) or [()] * len(kinds)
         return [pa.array(c, k) for c, k in zip(columns, kinds)]
 
     return add_columns(
         df,
-        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_fraction double, "
-        "longest_repeat long, sign_fraction double, base_failed boolean, kept boolean",
+        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        "longest_repeat long, failed_length long, base_failed boolean, kept boolean",
         make,
     )

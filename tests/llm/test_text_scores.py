@@ -148,9 +148,9 @@ def test_query_quality_held_out(llm):
 # ------------------------------------------------------------------ repetition
 
 
-def _brute_repeats(words, least, window):
+def _brute_repeats(words, lengths, window):
     n = len(words)
-    longest, covered, windowed = 0, set(), set()
+    longest, covered, windowed = 0, [set() for _ in lengths], set()
     for i in range(n):
         best = 0
         for j in range(n):
@@ -159,16 +159,18 @@ def _brute_repeats(words, least, window):
                 k += 1
             best = max(best, k)
         longest = max(longest, best)
-        covered |= set(range(i, i + best)) if best >= least else set()
+        for least, places in zip(lengths, covered):
+            places |= set(range(i, i + best)) if best >= least else set()
         windowed |= set(range(i, i + window)) if best >= window else set()
-    return n, len(covered), longest, len(windowed)
+    return n, tuple(map(len, covered)), longest, len(windowed)
 
 
 def test_repeats_equal_brute_force():
     rng = random.Random(3)
     for _ in range(80):
         texts = [[b"w%d" % rng.randrange(rng.choice([1, 2, 3, 10, 40])) for _ in range(rng.choice([0, 1, 2, 7, 30, 80]))] for _ in range(rng.randrange(1, 6))]
-        assert suffixes._repetition(texts, 5, 5) == [_brute_repeats(w, 5, 5) for w in texts]
+        lengths = (5, 6, 9)
+        assert suffixes._repetition(texts, lengths, 5) == [_brute_repeats(w, lengths, 5) for w in texts]
 
 
 def test_rates_of_odd_rows(llm, odd):
@@ -186,10 +188,21 @@ def test_repetition_verdict(llm):
     rng = random.Random(8)
     clean = "\n".join(f"{_sentence(rng, 9)} {i} {rng.random()}" for i in range(40))
     passage = " ".join(f"u{i}" for i in range(60))
-    filler = " ".join(f"v{i}" for i in range(900))
-    texts = {"clean": clean, "twice": f"{passage} {filler} {passage}", "signs": " ".join(f"w{i}***" for i in range(80)), "cells": " | ".join(f"w{i}" for i in range(80))}
-    got = {r.k: (r.base_failed, r.kept) for r in suffixes.rate(llm.createDataFrame(list(texts.items()), "k string, text string")).collect()}
-    assert got == {"clean": (False, True), "twice": (False, False), "signs": (False, False), "cells": (False, False)}
+    filler = " ".join(f"v{i}" for i in range(2000))
+    # 12 of 210 words stand twice, 11.4 %: more than repeats of 9 words may cover, less than those of 8.
+    between = " ".join(f"x{i}" for i in range(186))
+    long_part = " ".join(f"y{i}" for i in range(12))
+    short_parts = " ".join(f"z{i}" for i in range(5))
+    texts = {
+        "clean": clean, "twice": f"{passage} {filler} {passage}", "signs": " ".join(f"w{i}***" for i in range(80)),
+        "ten": f"{long_part} {between} {long_part}", "five": f"{short_parts} a {between} b {short_parts}",
+        "base": " ".join(["one two three four five six"] * 5), "short": "too few words",
+    }
+    got = {r.k: (r.base_failed, r.failed_length, r.kept) for r in suffixes.rate(llm.createDataFrame(list(texts.items()), "k string, text string")).collect()}
+    assert got == {
+        "clean": (False, None, True), "twice": (False, None, False), "signs": (False, None, True), "ten": (False, 9, False),
+        "five": (False, None, True), "base": (True, 5, False), "short": (True, None, False),
+    }
 
 
 def test_query_repetition(llm, sf_small):
