@@ -245,6 +245,42 @@ def test_regex_dialect(spark):
     assert got == [(False, False), (False, True)]
 
 
+def test_regex_classes_codes_and_repetitions(spark):
+    cases = [
+        (r"\A[a-z--[aeiou]]+\z", {"xyz": True, "aaa": False, "x-": False, "xay": False}),
+        (r"\A[\w--\d]+$", {"ab_": True, "ab1": False, "é": True}),
+        (r"\A[^\w--\d]\z", {"1": True, "a": False, "-": True}),
+        (r"\A[a-f&&d-z]+\z", {"def": True, "c": False, "g": False}),
+        (r"\A[a-d~~c-f]+\z", {"abef": True, "c": False}),
+        (r"\A[a-z--b--c]+\z", {"ad": True, "b": False, "c": False}),
+        (r"\A[[:alpha:]--[x-z]]\z", {"a": True, "x": False, "1": False}),
+        (r"\A[-a]+\z", {"a-": True, "b": False}),
+        (r"\A[]a]+\z", {"]a": True, "b": False}),
+        (r"\A[^]a]\z", {"]": False, "b": True}),
+        (r"\u{41}\x{42}\u0043\U00000044\x45", {"ABCDE": True, "A": False}),
+        (r"[\u{e9}]", {"é": True, "e": False}),
+        (r"a++a", {"aaa": True, "a": False}),
+        (r"\A(?:a|b)+*c{2}{2}\z", {"abcccc": True, "cccc": True, "ccc": False}),
+        (r"\A[ab]{2}+\z", {"abab": True, "aba": False}),
+        (r"\A(x)(?i:y)??z\z", {"xYz": True, "xz": True, "XYz": False}),
+        (r"a\vb", {"a\x0bb": True, "a\nb": False}),
+        (r"\{a\}", {"{a}": True}),
+    ]
+    df = spark.createDataFrame([(t,) for t in sorted({t for _, want in cases for t in want})], "x string")
+    found = {r.x: r for r in df.select("x", *[search(F.col("x"), p).alias(f"c{i}") for i, (p, _) in enumerate(cases)]).collect()}
+    got = [(p, {t: found[t][f"c{i}"] for t in want}) for i, (p, want) in enumerate(cases)]
+    assert got == cases
+    made = translate(r"(?P<a.b>x)?(?P<c>y+)|(?<d>[(]z)")
+    assert made.names == ("a.b", "c", "d") and made.numbers == (1, 2, 3) and made.optional == {"a.b", "c", "d"}
+    assert translate(r"(?:(?P<a>x)+)*(?P<b>\((y)\))").optional == {"a"}
+
+
+@pytest.mark.parametrize("pattern", ["(?=x)", "(?!x)", "(?<=x)y", "(?<!x)y", "(?>x)", r"(a)\1", r"(?P<n>a)\k<n>", "(?P<n>a)(?P=n)", r"a\Z", "[a", "[a--", "+a", "a\\"])
+def test_regex_forms_that_are_refused(pattern):
+    with pytest.raises(ValueError):
+        translate(pattern)
+
+
 def test_detection(spark):
     lines = {
         "syslog": ["Feb 19 14:23:45 h p: m", "", "Feb 19 14:23:46 h p: m", "junk"],
