@@ -1,8 +1,10 @@
 """Quality of documents by a linear-chain conditional random field over their lines.
 
 Every line is good or bad; what speaks for it are its own features and those of the lines before
-and after, and the states of neighbouring lines hang together. Forward-backward gives each line's
-chance of being good; their mean, weighted by line length, becomes the document's score.
+and after, and the states of neighbouring lines hang together. Labels are known for documents only: a good
+document has good lines throughout, a bad one at least one bad line, and which they are is left to the model.
+Forward-backward gives each line's chance of being good; their mean, weighted by line length, becomes the
+document's score.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from .common import add_columns, texts_of
 
 #: Labelled documents that the model is fitted on, at most, in the order of a hash of their ids ...
 TRAIN_DOCS = 4_000
-#: ... and the most lines that such a document may have; longer ones teach nothing but are scored whole.
+#: ... the most lines that such a document may have; longer ones teach nothing but are scored whole ...
 TRAIN_LINES = 1_000
+#: ... and the most lines of all of them; the driver's matrices hold so many rows of 37 numbers.
+TRAIN_TOTAL = 200_000
 STEPS, RATE, RIDGE = 120, 0.15, 1e-3
 
 # Classes of bytes, by which lines are described.
@@ -89,35 +93,67 @@ class LineModel:
     base: float  # score of documents without a line
 
 
-def _marginals(emission: np.ndarray, starts: np.ndarray, counts: np.ndarray, pair: np.ndarray, pairs: bool = False):
-    """Each line's chance of being good; with ``pairs`` also the expected transitions (2 x 2).
+@dataclass(frozen=True)
+class _Chain:
+    bad: np.ndarray  # each line's chance of being bad
+    at: np.ndarray  # the lines that have one before them in their document
+    moves: np.ndarray  # for each of these the chances of the four transitions (2 x 2)
+    log_good: np.ndarray  # for each document the logarithm of the chance that all its lines are good
 
-    All documents advance together, longest first, so that a step is one array operation.
-    """
+
+def _chain(emission: np.ndarray, starts: np.ndarray, counts: np.ndarray, pair: np.ndarray) -> _Chain:
+    """Forward-backward over all documents, which advance together, longest first: a step is one array operation."""
     total = int(counts.sum())
     order = np.argsort(-counts, kind="stable")
     first, length = starts[order], counts[order]
     active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
     e = np.stack([np.zeros(total), np.clip(emission, -30, 30)], axis=1)
     e = np.exp(e - e.max(axis=1, keepdims=True))
-    forward, backward = np.empty((total, 2)), np.ones((total, 2))
+    forward, backward, norm = np.empty((total, 2)), np.ones((total, 2)), np.empty(total)
     for t, k in enumerate(active):
         at = first[:k] + t
         f = e[at] if t == 0 else (forward[at - 1] @ pair) * e[at]
-        forward[at] = f / f.sum(axis=1, keepdims=True)
+        norm[at] = f.sum(axis=1)
+        forward[at] = f / norm[at, None]
     for t in range(len(active) - 1, 0, -1):
         at = first[: active[t]] + t
         b = (backward[at] * e[at]) @ pair.T
         backward[at - 1] = b / b.sum(axis=1, keepdims=True)
     both = forward * backward
-    good = both[:, 1] / both.sum(axis=1)
-    if not pairs:
-        return good
     inner = np.ones(total, bool)
     inner[starts[counts > 0]] = False
     at = np.flatnonzero(inner)
     joint = forward[at - 1][:, :, None] * pair[None] * (backward[at] * e[at])[:, None, :]
-    return good, (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    steps = np.log(e[:, 1]) + inner * np.log(pair[1, 1]) - np.log(norm)
+    sums = np.concatenate([[0], np.cumsum(steps)])
+    return _Chain(
+        both[:, 0] / both.sum(axis=1), at, joint / joint.sum(axis=(1, 2), keepdims=True),
+        np.minimum(sums[starts + counts] - sums[starts], 0.0),
+    )
+
+
+def _marginals(emission: np.ndarray, starts: np.ndarray, counts: np.ndarray, pair: np.ndarray, pairs: bool = False):
+    """Each line's chance of being good; with ``pairs`` also the expected transitions (2 x 2)."""
+    chain = _chain(emission, starts, counts, pair)
+    return (1 - chain.bad, chain.moves.sum(axis=0)) if pairs else 1 - chain.bad
+
+
+def _log_likelihood(theta: np.ndarray, x: np.ndarray, counts: np.ndarray, quality: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the documents' labels, without ridge, and its slope.
+
+    The chance of a good label is that of all lines being good; a bad one has the rest, summed over all other ways to
+    label the lines. So the slope of a bad document is that of a good one by -p / (1 - p).
+    """
+    starts = np.cumsum(counts) - counts
+    chain = _chain(x @ theta[:FEATURES], starts, counts, np.exp(theta[FEATURES:].reshape(2, 2)))
+    taught = counts > 0  # a document without lines tells nothing of them
+    rest = np.maximum(-np.expm1(chain.log_good), 1e-12)
+    weight = np.where(quality > 0, 1.0, -np.exp(chain.log_good) / rest) * taught
+    line = np.repeat(weight, counts)
+    all_good = np.array([[0.0, 0.0], [0.0, 1.0]])
+    moves = (line[chain.at, None, None] * (all_good - chain.moves)).sum(axis=0)
+    value = np.where(quality > 0, chain.log_good, np.log(rest))[taught].sum()
+    return float(value), np.concatenate([x.T @ (line * chain.bad), moves.ravel()])
 
 
 def _weighted(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -135,7 +171,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def _train(rows: np.ndarray, lengths: np.ndarray, counts: np.ndarray, quality: np.ndarray) -> LineModel:
-    """Conditional likelihood of the lines' labels (each line has its document's), by gradient steps."""
+    """Likelihood of the documents' labels over all ways to label their lines, by gradient steps."""
     base = float((quality.sum() + 1) / (len(quality) + 2))
     if len(rows) == 0 or quality.min() == quality.max():  # nothing to tell apart
         return LineModel((0.0,) * FEATURES, (0.0,) * FEATURES, (1.0,) * FEATURES, (0.0,) * 4, 0.0, math.log(base / (1 - base)), base)
@@ -144,17 +180,10 @@ def _train(rows: np.ndarray, lengths: np.ndarray, counts: np.ndarray, quality: n
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     mean[-1], scale[-1] = 0.0, 1.0
     x = (x - mean) / scale
-    y = np.repeat(quality, counts).astype(float)
-    inner = np.ones(len(y), bool)
-    inner[starts[counts > 0]] = False
-    seen = np.zeros((2, 2))
-    at = np.flatnonzero(inner)
-    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
     theta = np.zeros(FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        good, expected = _marginals(x @ theta[:FEATURES], starts, counts, np.exp(theta[FEATURES:].reshape(2, 2)), pairs=True)
-        slope = np.concatenate([x.T @ (y - good), (seen - expected).ravel()]) / len(y) - RIDGE * theta
+        slope = _log_likelihood(theta, x, counts, quality)[1] / len(x) - RIDGE * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     theta[FEATURES:] = np.clip(theta[FEATURES:], -4, 4)
@@ -179,10 +208,11 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES,
+    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, train_total: int = TRAIN_TOTAL,
     id_column: str = "doc_id", text: str = "text",
 ) -> LineModel:
-    """Fit on at most ``train_docs`` of the labelled rows given (``id_column``, quality).
+    """Fit on at most ``train_docs`` of the labelled rows given (``id_column``, quality), in the order of a hash of their
+    ids, and at most ``train_total`` lines.
 
     Rows with a null id or label teach nothing; a document labelled twice counts as good only if all its labels
     say so; a repeated document teaches once. Texts without a line teach the base only.
@@ -214,7 +244,12 @@ def fit(
         .mapInArrow(run, "id long, quality int, rows binary, lengths binary")
         .dropDuplicates(["id"])
     )
-    taken = sorted(found.collect(), key=lambda r: r["id"])  # at most train_docs rows of train_lines lines
+    taken, total = [], 0
+    for r in found.orderBy(F.xxhash64("id"), "id").toLocalIterator():  # at most train_docs rows; they end at train_total lines
+        total += len(r["lengths"]) // 4
+        if total > train_total:
+            break
+        taken.append(r)
     if not taken:
         return _train(np.zeros((0, OWN)), np.zeros(0), np.zeros(0, int), np.ones(1))
     lengths = [np.frombuffer(r["lengths"], np.int32) for r in taken]
@@ -222,24 +257,36 @@ def fit(
     return _train(rows, np.concatenate(lengths).astype(float), np.array([len(x) for x in lengths]), np.array([r["quality"] for r in taken]))
 
 
-def score_texts(texts: list[bytes], model: LineModel) -> np.ndarray:
+def _good_lines(texts: list[bytes], model: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chance of being good and length of each line that has a word, number of such lines of each text)."""
     rows, lengths, counts = [], [], []
     for t in texts:
         r, n = line_features(t)
         rows += r
         lengths += n
         counts.append(len(r))
-    out = np.full(len(texts), model.base)
     counts = np.array(counts, int)
     if not rows:
-        return out
+        return np.zeros(0), np.zeros(0), counts
     starts = np.cumsum(counts) - counts
     full = counts > 0
     x = (_matrix(np.array(rows), starts[full]) - np.array(model.mean)) / np.array(model.scale)
     pair = np.exp(np.array(model.transitions).reshape(2, 2))
-    good = _marginals(x @ np.array(model.weights), starts[full], counts[full], pair)
-    z = model.slope * _logit(_weighted(good, np.array(lengths, float), counts)[full]) + model.shift
-    out[full] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return _marginals(x @ np.array(model.weights), starts[full], counts[full], pair), np.array(lengths, float), counts
+
+
+def line_chances(text: bytes, model: LineModel) -> np.ndarray:
+    """The chance of being good of each line of a text that has a word."""
+    return _good_lines([text], model)[0]
+
+
+def score_texts(texts: list[bytes], model: LineModel) -> np.ndarray:
+    good, lengths, counts = _good_lines(texts, model)
+    out = np.full(len(texts), model.base)
+    full = counts > 0
+    if full.any():
+        z = model.slope * _logit(_weighted(good, lengths, counts)[full]) + model.shift
+        out[full] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return out
 
 

@@ -1,5 +1,6 @@
 """Toxicity, line quality, repetition and language-model scores."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -129,6 +130,59 @@ def test_marginals_equal_enumeration():
     assert np.allclose(good, want) and np.allclose(expected, moves)
 
 
+def test_likelihood_of_labels_sums_over_line_labels():
+    """A good label is all lines good, a bad one anything else; by enumeration, the slope by differences."""
+    rng = np.random.default_rng(1)
+    counts, quality = np.array([3, 1, 0, 4, 2]), np.array([0, 1, 1, 0, 1])
+    x = rng.normal(size=(counts.sum(), linecrf.FEATURES))
+    theta = rng.normal(size=linecrf.FEATURES + 4) * 0.3
+    emission, pair = x @ theta[:-4], theta[-4:].reshape(2, 2)
+    want = 0.0
+    for s, n, q in zip(np.cumsum(counts) - counts, counts, quality):
+        weights = {}
+        for y in itertools.product((0, 1), repeat=int(n)):
+            weights[y] = math.exp(sum(emission[s + i] for i in range(n) if y[i]) + sum(pair[a, b] for a, b in zip(y, y[1:])))
+        if n:
+            good = weights[(1,) * int(n)] / sum(weights.values())
+            want += math.log(good if q else 1 - good)
+    value, slope = linecrf._log_likelihood(theta, x, counts, quality)
+    assert abs(value - want) < 1e-9
+    for k in range(len(theta)):
+        step = np.eye(len(theta))[k] * 1e-5
+        up, down = (linecrf._log_likelihood(theta + d, x, counts, quality)[0] for d in (step, -step))
+        assert abs((up - down) / 2e-5 - slope[k]) < 1e-5
+
+
+def test_bad_block_in_a_good_page():
+    """Taught by whole documents only, the model tells the bad lines of a page from its good ones.
+
+    Lines beside the block may go either way: no label of a document says where a block ends.
+    """
+    rng = random.Random(4)
+    words = "the river runs past old mills where people once made paper and cloth for towns nearby".split()
+    good_line = lambda: (" ".join(rng.choices(words, k=rng.randint(8, 16))).capitalize() + ".").encode()
+    bad_line = lambda: " ".join(rng.choices(["#$%", "||", "BUY", "99", "$$$", "<<>>"], k=10)).encode()
+
+    def page(k):
+        if k % 3:
+            return [good_line() for _ in range(rng.randint(1, 8))], 1
+        lines = [good_line() for _ in range(rng.randint(0, 5))] + [bad_line() for _ in range(rng.randint(1, 4))]
+        return lines[k % 2 :] if len(lines) > 1 else lines, 0
+
+    pages = [page(k) for k in range(300)]
+    rows, lengths, counts = [], [], []
+    for lines, _ in pages:
+        r, n = linecrf.line_features(b"\n".join(lines))
+        rows += r
+        lengths += n
+        counts.append(len(r))
+    model = linecrf._train(np.array(rows), np.array(lengths, float), np.array(counts), np.array([q for _, q in pages]))
+    mixed = [good_line() for _ in range(4)] + [bad_line() for _ in range(3)] + [good_line() for _ in range(4)]
+    states = (linecrf.line_chances(b"\n".join(mixed), model) > 0.5).tolist()
+    assert len(states) == 11 and all(states[:3]) and not any(states[4:7]) and all(states[8:])
+    assert linecrf.line_chances(b" \n", model).tolist() == []
+
+
 def test_quality_of_odd_rows(llm, odd):
     labels = llm.createDataFrame([(1, 1), (7, 0), (7, 1), (None, 1), (6, 0)], "doc_id long, quality int")
     model = linecrf.fit(odd, labels)
