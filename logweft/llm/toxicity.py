@@ -1,15 +1,16 @@
 """Toxicity of texts whose insults may be disguised: noisy-channel restoring, then scoring.
 
-Every word that shows noise (digits or signs among letters, letters drawn out, letters set apart) is a
-lattice of readings: a sign stands for a letter or for nothing, a repeated letter counts or not. The most
-likely reading under a character trigram model of the whole corpus is found by Viterbi decoding. The
-restored words and their beginnings, weighted by how often labelled documents with them are
+Every word that shows noise (digits or signs among letters, letters repeated) and every run of short pieces is a
+lattice of readings: a sign stands for a letter or for nothing, a repeated letter counts or not, a gap between
+pieces parts two words or is dropped. The most likely reading under a character trigram model of the whole
+corpus is found by Viterbi decoding. The restored words and their beginnings, weighted by how often labelled documents with them are
 toxic, give the score.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -24,8 +25,6 @@ from .common import MEMORIES, add_columns, texts_of
 
 #: Labelled documents that the words are weighted on, at most; taken in the order of a hash of their ids.
 TRAIN_DOCS = 30_000
-#: Words and beginnings kept, at most, by weight. A bound on what is sent to the tasks.
-LEXICON_SIZE = 20_000
 #: Documents with a word count as so many more documents of the average toxicity.
 PRIOR_DOCS = 4.0
 #: Beginnings of these lengths stand for families of words.
@@ -45,8 +44,13 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h",
 }
-# Log-probabilities of the channel.
-AS_IT_IS, READ_AS, DROPPED, UNDOUBLED = math.log(0.9), math.log(0.05), math.log(0.2), math.log(0.3)
+# Log-probabilities of the channel. A letter of the model costs about two, so that a sign must be much likelier
+# to stand for a letter than for nothing, or the reading with fewer letters would always win.
+AS_IT_IS, UNDOUBLED = math.log(0.9), math.log(0.3)
+READ_AS, DIGIT_DROPPED, SIGN_DROPPED = math.log(0.5), math.log(0.00001), math.log(0.01)
+#: A gap (dropped, kept) between single characters, between longer pieces, and a mark inside a word.
+GAPS = {" ": (math.log(0.8), math.log(0.2)), "\n": (math.log(0.1), math.log(0.9))}
+MARK = (math.log(0.5), math.log(0.3))
 
 LETTERS = 28  # a-z, other bytes of letters, space
 OTHER, SPACE = 26, 27
@@ -55,8 +59,11 @@ _CLASS[128:] = OTHER
 _CLASS[ord("a") : ord("z") + 1] = np.arange(26)
 
 _EDGES = b".,;:!?\"'()[]{}<>*#%&$|~^`/\\=+-_"
-_NOISE = re.compile(rb"[a-z\x80-\xff][^a-z\x80-\xff]|[^a-z\x80-\xff][a-z\x80-\xff]|([a-z])\1\1")
-_APART = re.compile(rb"(?<![a-z0-9\x80-\xff])[a-z0-9@$!](?:[ ._*-][a-z0-9@$!]){3,}(?![a-z0-9\x80-\xff])")
+_NOISE = re.compile(rb"[a-z\x80-\xff][^a-z\x80-\xff]|[^a-z\x80-\xff][a-z\x80-\xff]|([a-z])\1")
+# Pieces of at most four characters with white space or marks between them.
+_PIECE = rb"(?:[a-z0-9@$!]|[\xc2-\xf4][\x80-\xbf]{1,3}){1,4}+(?![a-z0-9@$!\x80-\xff])"
+_PIECES = re.compile(rb"(?<![a-z0-9@$!\x80-\xff])" + _PIECE + rb"(?:[\s.,;:?\"'()\[\]{}<>*#%&|~^`/\\=+_-]++" + _PIECE + rb")+")
+_GAP = re.compile(rb"[^a-z0-9@$!\x80-\xff]+")
 
 
 # ------------------------------------------------------------------ character model
@@ -99,28 +106,34 @@ def character_model(counts: np.ndarray) -> list[float]:
     return np.log(p3).ravel().tolist()
 
 
-def viterbi(word: str, model: list[float]) -> str:
-    """The likeliest reading of ``word`` (lower case). States are the last two letters; O(length)."""
+def readings(c: str, last: str) -> list[tuple[str, float]]:
+    """What ``c`` after ``last`` may stand for, with the channel's log-probability: a letter, a space or nothing."""
+    if c in LEET:
+        letters = LEET[c]
+        return [(x, READ_AS - math.log(len(letters))) for x in letters] + [("", DIGIT_DROPPED if c.isdigit() else SIGN_DROPPED)]
+    if c.isalpha():
+        return [(c, AS_IT_IS)] + ([("", UNDOUBLED)] if c == last else [])
+    dropped, kept = GAPS.get(c, MARK)
+    return [("", dropped), (" ", kept)]
+
 
-    def kind(c: str) -> int:
-        return ord(c) - 97 if "a" <= c <= "z" else OTHER
+@functools.lru_cache(maxsize=4096)
+def _arcs(c: str, last: str) -> list[tuple[str, int, float]]:
+    """``readings`` with the class of each letter."""
+    return [(x, SPACE if x == " " else ord(x) - 97 if "a" <= x <= "z" else OTHER, cost) for x, cost in readings(c, last)]
 
+
+def viterbi(word: str, model: list[float]) -> str:
+    """The likeliest reading of ``word`` (lower case), words parted by spaces. States are the last two letters; O(length)."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(SPACE, SPACE): (0.0, ())}
     last = ""
     for c in word:
-        readings: list[tuple[str, float]]
-        if c in LEET:
-            readings = [(x, READ_AS) for x in LEET[c]] + [("", DROPPED)]
-        elif c.isalpha():
-            readings = [(c, AS_IT_IS)] + ([("", UNDOUBLED)] if c == last else [])
-        else:
-            readings = [("", DROPPED)]
+        arcs = _arcs(c, last)
         last = c
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in states.items():
-            for letter, cost in readings:
+            for letter, k, cost in arcs:
                 if letter:
-                    k = kind(letter)
                     key, value, way = (b, k), score + cost + model[(a * LETTERS + b) * LETTERS + k], (path, letter)
                 else:
                     key, value, way = (a, b), score + cost, path
@@ -140,24 +153,75 @@ class Restorer:
 
     def __init__(self, model: list[float]):
         self.model = model
-        self.words = _Memory(self._word, MEMORY)
+        self.words = _Memory(self.word, MEMORY)
+        self.runs = _Memory(self.run, MEMORY)
 
-    def _word(self, raw: bytes) -> str:
+    def word(self, raw: bytes) -> tuple[str, ...]:
+        """The readings of a word between white space. One that merely has a double letter is also read as written."""
         core = raw.rstrip(_EDGES)
         plain = core.lstrip(_EDGES)
         lead = core[: len(core) - len(plain)]
         if lead in (b"$", b"@", b"!", b"|") and len(plain) > 2:
             plain = lead + plain  # one sign before letters may be a letter
         text = plain.decode("utf-8", "replace")
-        return viterbi(text, self.model) if _NOISE.search(plain) and any(map(str.isalpha, text)) else text
+        if not (_NOISE.search(plain) and any(map(str.isalpha, text))):
+            return (text,) if text else ()
+        found = viterbi(text, self.model).split(" ")
+        return tuple({w for w in ([text, *found] if text.isalpha() else found) if w})
+
+    def run(self, joined: bytes) -> tuple[str, ...]:
+        """The words, of a run of pieces parted by gaps, that its likeliest reading makes of several pieces."""
+        text = joined.decode("utf-8", "replace")
+        return tuple(set(viterbi(text, self.model).split(" ")) - set(re.split("[ \n]", text)) - {""})
+
+    def spaced(self, low: bytes) -> set[str]:
+        """Words of a lower-case text that were written in pieces.
+
+        Runs of three or more pieces of up to three characters, one of them single, are decoded whole; of other
+        pieces every two neighbours, which is how a word falls into two.
+        """
+        found: set[str] = set()
+        for m in _PIECES.finditer(low):
+            run: list[tuple[bytes, int]] = []
+            for raw in [*_GAP.split(m[0]), b""]:
+                piece = raw.rstrip(b"!$@") or raw[:1]
+                n = len(piece) if piece.isascii() else len(piece.decode("utf-8", "replace"))
+                if run and run[-1][1] > 1 < n:
+                    joined = self.runs[run[-1][0] + b"\n" + piece]
+                    if joined:
+                        found.update(joined)
+                if 0 < n < 4:
+                    run.append((piece, n))
+                    continue
+                if len(run) > 2:
+                    found |= self._short(run)
+                run = [(piece, n)] if n else []
+        return found
+
+    def _short(self, run: list[tuple[bytes, int]]) -> set[str]:
+        if run and run[0][1] > 3:
+            run = run[1:]  # it only met its neighbour
+        found: set[str] = set()
+        if len(run) < 3 or not any(n == 1 for _, n in run):
+            return found
+        joined = run[0][0]
+        for (_, before), (piece, n) in zip(run, run[1:]):
+            joined += (b" " if before == n == 1 else b"\n") + piece
+        found.update(self.runs[joined])
+        # A word of one letter beside the spaced letters looks like one of them: read them without the first or last too.
+        for single, letters in itertools.groupby(run, lambda x: x[1] == 1):
+            letters = [c for c, _ in letters]
+            if single and len(letters) > 3:
+                for part in (letters, letters[1:], letters[:-1]):
+                    found.update(self.runs[b" ".join(part)])
+        return found
 
     def of(self, text: bytes) -> set[str]:
         """The distinct restored words of a text."""
         low = text.lower()
-        found = set(map(self.words.__getitem__, set(low.split())))
-        for m in _APART.finditer(low):
-            letters = bytes(c for c in m[0] if c not in b" ._*-")
-            found.add(viterbi(letters.decode(), self.model) if _NOISE.search(letters) else letters.decode())
+        found = self.spaced(low)
+        for raw in set(low.split()):
+            found.update(self.words[raw])
         found.discard("")
         return found
 
@@ -199,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
             if sum(map(len, counts)) > 300_000:
                 yield _flush(counts)
         restorer.words.clear()  # the worker lives on
+        restorer.runs.clear()
         yield _flush(counts)
 
     words = taught.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long")
@@ -215,10 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     n_toxic, n_clean = (total["toxic"], total["clean"]) if total else (0, 0)
     rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
     chance = (F.col("toxic") + PRIOR_DOCS * rate) / (F.col("toxic") + F.col("clean") + PRIOR_DOCS)
-    # Less than twice the average says nothing; the table sent to the tasks is bounded by LEXICON_SIZE.
+    # Less than twice the average says nothing. What is collected is bounded by the words of train_docs documents.
     kept = (
         features.filter((F.col("feature") != "") & (F.col("toxic") >= LEAST_DOCS) & (chance > min(2 * rate, 0.5)))
-        .select("feature", chance.alias("p"), "toxic", "clean").orderBy(F.desc("p"), F.desc("toxic"), "feature").limit(LEXICON_SIZE)
+        .select("feature", chance.alias("p"), "toxic", "clean")
         .collect()
     )
     telling = _telling(taught, {r["feature"]: r["p"] for r in kept}, tuple(characters))
@@ -244,10 +309,11 @@ def _telling(taught: DataFrame, candidates: dict[str, float], characters: tuple[
                     if found:
                         counts[max(found, key=lambda f: (candidates[f], f))] += 1
         restorer.words.clear()
+        restorer.runs.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
 
     rows = taught.filter("toxic > 0").select("text", "toxic").mapInArrow(run, "feature string, n long")
-    found = rows.groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most LEXICON_SIZE rows
+    found = rows.groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most one row a toxic document
     return {f for f, n in found if n >= LEAST_TOLD}
 
 
@@ -290,15 +356,12 @@ def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str,
     def weigh(word: str) -> float:
         return max([weights.get(f, base) for f in features_of(word)])
 
-    chances = _Memory(lambda raw: weigh(restorer._word(raw)), MEMORY)
+    chances = _Memory(lambda raw: max(map(weigh, restorer.word(raw)), default=base), MEMORY)
 
     def scored(text: bytes) -> float:
         low = text.lower()
         best = max(map(chances.__getitem__, set(low.split())), default=base)
-        for m in _APART.finditer(low):
-            letters = bytes(c for c in m[0] if c not in b" ._*-")
-            best = max(best, weigh(viterbi(letters.decode(), restorer.model) if _NOISE.search(letters) else letters.decode()))
-        return best
+        return max(best, max(map(weigh, restorer.spaced(low)), default=base))
 
     return scored
 

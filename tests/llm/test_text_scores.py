@@ -45,7 +45,9 @@ def test_disguised_insults(llm, insults):
     model = toxicity.fit(docs, labels)
     tests = {
         "what an 1d10t he is": True, "you IDIOT!!": True, "such an iiidiooot": True, "i d i o t go home": True, "an i.d.i.o.t again": True,
-        "m0r0n": True, "!d!ot": True, "the river flows past 12 green hills": False, "": False, "in 2024 people saw 3 hills!!!": False,
+        "m0r0n": True, "!d!ot": True, "you are a i d i o t": True, "i  d  i  o  t": True, "i\td\ti\to\tt": True, "i\nd\ni\no\nt": True,
+        "you id iot": True, "idioot": True, "iidiot": True, "i * d * 1 * 0 * t": True, "i. d. i. o. t.": True, "a way to go in it is as we do": False,
+        "the river flows past 12 green hills": False, "": False, "in 2024 people saw 3 hills!!!": False,
     }
     got = toxicity.score(llm.createDataFrame(list(enumerate(tests)), "n int, text string"), model).collect()
     assert {r.text: r.score >= 0.7 for r in got} == tests
@@ -62,7 +64,12 @@ def test_viterbi_is_the_best_reading():
             return
         c = word[0]
         if c in toxicity.LEET:
-            own = [(x, toxicity.READ_AS) for x in toxicity.LEET[c]] + [("", toxicity.DROPPED)]
+            letters = toxicity.LEET[c]
+            dropped = toxicity.DIGIT_DROPPED if c.isdigit() else toxicity.SIGN_DROPPED
+            own = [(x, toxicity.READ_AS - math.log(len(letters))) for x in letters] + [("", dropped)]
+        elif not c.isalpha():
+            dropped, kept = toxicity.GAPS.get(c, toxicity.MARK)
+            own = [("", dropped), (" ", kept)]
         else:
             own = [(c, toxicity.AS_IT_IS)] + ([("", toxicity.UNDOUBLED)] if c == last else [])
         for tail, cost in readings(word[1:], c):
@@ -71,12 +78,12 @@ def test_viterbi_is_the_best_reading():
 
     def value(text, cost):
         a = b = toxicity.SPACE
-        for k in [*[ord(c) - 97 for c in text], toxicity.SPACE]:
+        for k in [*[toxicity.SPACE if c == " " else ord(c) - 97 for c in text], toxicity.SPACE]:
             cost += model[(a * toxicity.LETTERS + b) * toxicity.LETTERS + k]
             a, b = b, k
         return cost
 
-    for word in ("a1b", "h3ll0", "aa1ii", "$t*p", "ooo0"):
+    for word in ("a1b", "h3ll0", "aa1ii", "$t*p", "ooo0", "a b1 c", "to\nbe.1"):
         best = max(value(t, c) for t, c in readings(word))
         found = toxicity.viterbi(word, model)
         assert max(value(t, c) for t, c in readings(word) if t == found) == pytest.approx(best)
