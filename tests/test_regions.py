@@ -188,3 +188,37 @@ def test_lookups_match_brute_force(spark, small_chunks):
     assert kept == [i for i in range(n) if any(s <= i <= e for k, (s, e) in enumerate(spans) if k % 3 == 1)]
     nxt = {r.record_index: r.next_start for r in rl.next_region(logs, found).collect()}
     assert nxt == {i: min((s for s, _ in spans if s > i), default=None) for i in range(n)}
+
+
+def test_no_table_that_grows_is_sent_to_every_task(spark, small_chunks):
+    """Rows made by ``explode`` from small files do not count in Spark's estimate; they are joined by shuffle."""
+    n = 400
+    found = make_regions(spark, [(i, i + 1 + i % 30) for i in range(0, n - 40, 2)])
+    logs = spark.range(n).select(F.col("id").alias("record_index"))
+    plan = rl.innermost_region(logs, found)._jdf.queryExecution().optimizedPlan().toString()
+    sides = [line for line in plan.splitlines() if "Join" in line and "size" in line]
+    assert sides and all("strategy=merge" in line or "strategy=broadcast" in line for line in sides), sides
+    at = rl.regions_at(logs, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert at.count("Join ") == 1 and "strategy=merge" in at  # pairs are made once and not joined again
+
+
+def test_regions_at_with_one_long_and_many_short(spark, monkeypatch):
+    """Blocks listed in two steps, other columns kept, an end before its start holds nothing."""
+    monkeypatch.setattr(rl, "SPREAD_BITS", 2)
+    n = 300
+    spans = [(0, n - 1)] + [(i, i) for i in range(0, n, 3)] + [(20, 10), (290, 400)]
+    logs = spark.range(n).select(F.col("id").alias("record_index"), (F.col("id") * 2).alias("start_index"))
+    got = rl.regions_at(logs, make_regions(spark, spans)).select("record_index", "start_index", "region.name").collect()
+    assert sorted(map(tuple, got)) == sorted((i, 2 * i, f"n{k}") for i in range(n) for k, (s, e) in enumerate(spans) if s <= i <= e)
+
+
+def test_oldest_in_time_with_many_keys_in_one_pass(spark, small_chunks):
+    """Many small keys beside each other in a partition: no call a key, and none takes another's starts."""
+    rng = random.Random(5)
+    rows = [(i // 3, f"{rng.choice(['start', 'end'])} p=k{rng.randrange(40)}") for i in range(400)]
+    raw = {**rule(timeout="60s"), "pairing": "oldest"}
+    rules = region_rules({"regions": [raw]})
+    spans = pair_regions(tag_points(logs_of(spark, rows), rules), rules)
+    done = spans.filter("status <> 'open'").select("start_index", "end_index", "status").collect()
+    want, _ = model(rows, ("p",), 60, oldest=True)
+    assert sorted((r.start_index, r.end_index, r.status == "timed_out") for r in done) == want
