@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, shuffled
 
 # For lo ≤ x < hi, block k covers [a·2^k, (a+1)·2^k); a block is taken where the
 # left edge (rounded up) or the right edge (rounded down) is odd at size k.
@@ -59,8 +59,10 @@ def innermost_segments(intervals: DataFrame) -> DataFrame:
         )
         return probes.join(table, ["size", "block"]).select("at", "best")
 
-    found = probed(0, min(largest, LARGE_BITS - 1), blocks.filter(F.col("size") < LARGE_BITS))
+    # Probes are many rows from a small file, so the choice of the join is not left to file sizes.
+
+    found = probed(0, min(largest, LARGE_BITS - 1), shuffled(blocks.filter(F.col("size") < LARGE_BITS)))
     if largest >= LARGE_BITS:
         large = blocks.filter(F.col("size") >= LARGE_BITS)
-        found = found.unionByName(probed(LARGE_BITS, largest, F.broadcast(large) if n_large <= BROADCAST_BLOCKS else large))
-    return points.join(found.groupBy("at").agg(F.min("best").alias("best")), "at", "left")
+        found = found.unionByName(probed(LARGE_BITS, largest, F.broadcast(large) if n_large <= BROADCAST_BLOCKS else shuffled(large)))
+    return points.join(shuffled(found.groupBy("at").agg(F.min("best").alias("best"))), "at", "left")
