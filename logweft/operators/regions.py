@@ -12,16 +12,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.regex import translate
 from ..functions.text import render
 from ..plans.asof import nearest_in_time
 from ..plans.scan import CHUNK_BITS, Scan, scan
 from ..rules import MatchPoint, RegionRule
-from ..session import materialize
+from ..session import materialize, shuffled
 from .predicates import field_text, predicate
 
 END, START = 0, 1
@@ -65,21 +68,27 @@ def _first_point(points: tuple[MatchPoint, ...], rule_ord: int, kind: int) -> Co
     return F.coalesce(*[item(i, p) for i, p in enumerate(points)])
 
 
+def point_items(rules: list[RegionRule]) -> Column:
+    """The start and end events of all rules that a record is, as an array."""
+    items = []
+    for r, rule in enumerate(rules):
+        items += [_first_point(rule.end_points, r, END), _first_point(rule.start_points, r, START)]
+    return F.array_compact(F.array(*items))
+
+
 def tag_points(logs: DataFrame, rules: list[RegionRule]) -> DataFrame:
     """Start and end events of all rules, found in one scan.
 
     Columns ``rule_ord, kind (0 end, 1 start), point, idx, ts, metadata``; the
     first point whose predicate holds counts, even if its regex does not match.
     """
-    items = []
-    for r, rule in enumerate(rules):
-        items += [_first_point(rule.end_points, r, END), _first_point(rule.start_points, r, START)]
+    return listed_points(logs, point_items(rules))
+
+
+def listed_points(logs: DataFrame, items: Column) -> DataFrame:
+    """Points from ``items``, an array like that of ``point_items``."""
     return (
-        logs.select(
-            F.col("record_index").alias("idx"),
-            F.col("timestamp").alias("ts"),
-            F.explode(F.array_compact(F.array(*items))).alias("e"),
-        )
+        logs.select(F.col("record_index").alias("idx"), F.col("timestamp").alias("ts"), F.explode(items).alias("e"))
         .select("e.rule_ord", "e.kind", "e.point", "idx", "ts", "e.metadata")
     )
 
@@ -140,13 +149,68 @@ def _nesting(events: DataFrame) -> DataFrame:
 _CLAMP = "rule_ord int, key array<string>, chunk bigint, lo bigint, hi bigint"
 
 
-def _clamped(lows, highs, value: int) -> list[int]:
-    """``value`` after each step that lifts it to a low and then cuts it to a high."""
-    out = []
-    for lo, hi in zip(lows, highs):
-        value = min(max(value, lo), hi)
-        out.append(value)
-    return out
+_CARRY = "rule_ord int, key array<string>, chunk bigint, d bigint"
+_RANKS = "rule_ord int, key array<string>, pos bigint, _rank bigint"
+_LEAST, _MOST = -(1 << 62), 1 << 62
+
+
+def _composed(rows):
+    """One row a group: its steps as one step, which lifts a value to ``lo`` and then cuts it to ``hi``."""
+    last, low, high = None, _LEAST, _MOST
+    for rule, key, chunk, lo, hi in rows("rule_ord", "key", "chunk", "lo", "hi"):
+        if last is not None and last != (rule, key, chunk):
+            yield *last, low, high
+            low, high = _LEAST, _MOST
+        last = (rule, key, chunk)
+        low, high = min(max(low, lo), hi), min(max(high, lo), hi)
+    if last is not None:
+        yield *last, low, high
+
+
+def _carried(rows):
+    """Every chunk with the value before it."""
+    last = None
+    for rule, key, chunk, lo, hi in rows("rule_ord", "key", "chunk", "lo", "hi"):
+        if last != (rule, key):
+            last, d = (rule, key), 0
+        yield rule, key, chunk, d
+        d = min(max(d, lo), hi)
+
+
+def _taken(rows):
+    """Every end with the number of the start that it takes, or none."""
+    last = None
+    for rule, key, chunk, pos, lo, hi, f, b, j, carry in rows("rule_ord", "key", "chunk", "pos", "lo", "hi", "_f", "_b", "_j", "d"):
+        if last != (rule, key, chunk):
+            last, d = (rule, key, chunk), carry
+        used = max(d + j - 1, f)
+        yield rule, key, pos, used + 1 if used < b else None
+        d = min(max(d, lo), hi)
+
+
+# Rows of a batch that goes back to Spark.
+_BATCH = 10_000
+
+
+def _in_groups(df: DataFrame, by: list[str], order: str, step: Callable, schema: str) -> DataFrame:
+    """Go through the rows of every group in ``order``, group after group in one pass over a partition.
+
+    ``step`` gets a function that yields the named columns row by row, and yields rows of ``schema``. No group
+    is held, and the many small groups of a table cost no call each.
+    """
+    kinds = StructType.fromDDL(schema)
+
+    def run(batches):
+        def rows(*columns):
+            for batch in batches:
+                yield from zip(*[batch.column(c).to_pylist() for c in columns])
+
+        out = step(rows)
+        arrow = to_arrow_schema(kinds)
+        while part := list(islice(out, _BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+
+    return df.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, kinds)
 
 
 def _oldest_in_time(events: DataFrame, timeout_us: Column, event: Column) -> DataFrame:
@@ -156,7 +220,7 @@ def _oldest_in_time(events: DataFrame, timeout_us: Column, event: Column) -> Dat
     so far: the end takes start max(c, f) + 1 if that is at most b. In d = c less the ends so far
     each end lifts d to a low and cuts it to a high, and such steps compose to one of the same
     kind. So chunks are worked out by themselves, their composites (one row each) are run through per key,
-    and the chunks are gone through again from the right d: no task holds more than a chunk.
+    and the chunks are gone through again from the right d, row by row.
     """
     one = lambda k: F.when(F.col("kind") == k, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     ranked = materialize(
@@ -177,30 +241,8 @@ def _oldest_in_time(events: DataFrame, timeout_us: Column, event: Column) -> Dat
         "region-steps",
     )
 
-    def composed(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        lows, highs = table["lo"].to_pylist(), table["hi"].to_pylist()
-        ends_of = [_clamped(lows, highs, v)[-1] for v in (-(1 << 62), 1 << 62)]
-        first = table.slice(0, 1).select(["rule_ord", "key", "chunk"])
-        return first.append_column("lo", pa.array(ends_of[:1])).append_column("hi", pa.array(ends_of[1:]))
-
-    def carried(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        after = _clamped(table["lo"].to_pylist(), table["hi"].to_pylist(), 0)
-        return table.select(["rule_ord", "key", "chunk"]).append_column("d", pa.array([0, *after[:-1]], pa.int64()))
-
-    def taken(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        f, b, j = (table[c].to_pylist() for c in ("_f", "_b", "_j"))
-        after = _clamped(table["lo"].to_pylist(), table["hi"].to_pylist(), table["d"][0].as_py())
-        used = [max(d + n - 1, x) for d, n, x in zip([table["d"][0].as_py(), *after], j, f)]
-        rank = [u + 1 if u < most else None for u, most in zip(used, b)]
-        return table.select(["rule_ord", "key", "pos"]).append_column("_rank", pa.array(rank, pa.int64()))
-
-    keys = [*_KEY, "chunk"]
-    composites = steps.groupBy(*keys).applyInArrow(composed, _CLAMP)
-    carry = materialize(composites.groupBy(*_KEY).applyInArrow(carried, "rule_ord int, key array<string>, chunk bigint, d bigint"), "region-carry")
-    matched = steps.join(carry, keys).groupBy(*keys).applyInArrow(taken, "rule_ord int, key array<string>, pos bigint, _rank bigint")
+    carry = materialize(_in_groups(_in_groups(steps, [*_KEY, "chunk"], "pos", _composed, _CLAMP), _KEY, "chunk", _carried, _CARRY), "region-carry")
+    matched = _in_groups(steps.join(shuffled(carry), [*_KEY, "chunk"]), [*_KEY, "chunk"], "pos", _taken, _RANKS)
     found = ends.join(matched.filter("_rank IS NOT NULL"), [*_KEY, "pos"]).select(*_KEY, F.col("_rank").alias("_b"), event.alias("end"))
     return starts.join(found, [*_KEY, "_b"], "left").select("rule_ord", "idx", "ts", "point", "metadata", "end")
 
