@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ordering import with_record_index
-from ..operators.regions import START, pair_regions, render_regions, tag_points
+from ..operators.ordering import time_key, with_record_index
+from ..operators.regions import START, listed_points, pair_regions, point_items, render_regions
 from ..rules import RegionRule
 from ..session import materialize
 from .batches import all_batches, state_before, write_batch, write_state
@@ -59,11 +59,12 @@ def stream_regions(
         first = state_before(session, index_dir, batch_id, "next_index bigint").agg(
             F.coalesce(F.max("next_index"), F.lit(0))
         ).scalar()
-        indexed = materialize(
-            with_record_index(batch).withColumn("record_index", F.col("record_index") + first), "stream-batch"
-        )
+        # Positions count all records, but of a record only its time, place and points are moved.
+        key = time_key(batch)
+        narrow = batch.select(*key, point_items(rules).alias("_items"))
+        indexed = with_record_index(narrow).withColumn("record_index", F.col("record_index") + first)
         waiting = state_before(session, waiting_dir, batch_id, WAITING)
-        points = tag_points(indexed, rules).unionByName(waiting)
+        points = listed_points(indexed, F.col("_items")).unionByName(waiting)
         spans = materialize(pair_regions(points, rules), "stream-spans")
         write_batch(render_regions(spans, rules), out, batch_id)
         still_open = spans.filter(F.col("status") == "open").select(
