@@ -91,6 +91,42 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before = state
 
 
+#: Bits of a filter: 8 MB, however many values it stands for. More values make it pass more rows, not grow.
+FILTER_BITS = 1 << 26
+
+
+def may_be_in(df: DataFrame, column: str, values: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: false only if ``column`` is none of the ``values`` (one column of the same type, none null).
+
+    A bitmap of hashed values in ``FILTER_BITS`` is broadcast, so rows stay where they are: of ten million values
+    it tells apart 86 % of the others, of one million 98 %.
+    """
+    def place(name: str) -> Column:
+        return F.xxhash64(F.col(f"`{name}`")).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+    bits = 1 << 15  # of a bitmap of Spark's
+    at = values.select(place(values.columns[0]).alias("__at"))
+    at = at.select(F.floor(F.col("__at") / bits).alias("__block"), (F.col("__at") % bits).alias("__bit"))
+    # Dealt out before, so that a task holds each of its bitmaps once.
+    maps = at.repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    own = place(column)
+    byte = F.conv(F.hex(F.substring("__map", F.floor(own % bits / 8).cast("int") + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (own % 8).cast("int")) == 1, F.lit(False))
+    joined = df.withColumn("__block", F.floor(own / bits)).join(F.broadcast(maps), "__block", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(out))
+
+
+def rows_in(df: DataFrame, column: str, wanted: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``wanted``; all values are either there or in ``others`` (both stored, one column).
+
+    As a semi-join, but only rows that the filters of both let pass are shuffled.
+    """
+    told = may_be_in(may_be_in(df, column, wanted, "__wanted"), column, others, "__other")
+    unsure = told.filter("__wanted AND __other").join(wanted.withColumnRenamed(wanted.columns[0], column), column, "left_semi")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return told.filter("NOT __other").select(*names).unionByName(unsure.select(*names))
+
+
 _SHIPPED: set[str] = set()
 
 

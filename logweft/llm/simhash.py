@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import add_columns, components, forget, texts_of
+from .common import add_columns, components, forget, may_be_in, rows_in, texts_of
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 _LANES = np.uint64(0x0101010101010101)
@@ -181,7 +181,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _sets(texts: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the nodes in the arrays ``nodes`` of ``named``."""
+    """(node, shingles) of the nodes in the arrays ``nodes`` of the stored ``named``, and of a few others, which joins leave out.
+
+    Texts stay where they are, however many are named."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         flat, ends = [np.zeros(0, np.uint64)], [0]
@@ -190,8 +192,9 @@ def _sets(texts: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
             ends.append(ends[-1] + len(flat[-1]))
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))]
 
-    nodes = named.select(F.explode("nodes").alias("node")).distinct()
-    return add_columns(texts.join(nodes, "node", "left_semi"), "shingles array<long>", make).select("node", "shingles")
+    nodes = named.select(F.explode("nodes").alias("node"))
+    wanted = may_be_in(texts, "node", nodes, "__wanted").filter("__wanted").select("node", "text")
+    return add_columns(wanted, "shingles array<long>", make).select("node", "shingles")
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -241,7 +244,7 @@ def similar_links(index: DataFrame, texts: DataFrame, similarity: float = SIMILA
         apart = member.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max")).filter("__min < __max").select("key")
         member = materialize(member.join(apart, "key", "left_semi"), "similar-members")
 
-    nodes = member.select("node", "root").distinct()
+    nodes = materialize(member.select("node", "root").distinct(), "similar-left")
     sets = materialize(_sets(texts, nodes.select(F.array("node").alias("nodes")), shingle), "similar-sets")
     met = _sharing_rare(sets.join(nodes, "node"), similarity).join(compared, ["a", "b"], "left_anti")
     met = met.join(side("a"), "a").join(side("b"), "b").filter(_alike(lane("sketch_a"), lane("sketch_b"))).select("a", "b")
@@ -325,13 +328,16 @@ def keep_one(
     # Smallest id, nulls last, then the first row.
     own = F.struct(F.col(key).isNull(), F.col(key), F.col("row"))
     nodes = materialize(stored.groupBy("digest").agg(F.min(own).alias("own"), F.min("row").alias("node")).drop("digest"), "simhash-nodes")
-    index = stored.select(F.col("row").alias("node"), "size", "keys", "sketch").join(nodes.select("node"), "node", "left_semi")
-    index = materialize(index, "simhash-index")
+    copies = materialize(stored.select(F.col("row").alias("node")).join(nodes, "node", "left_anti"), "simhash-copies")
+    index = stored.select(F.col("row").alias("node"), "size", "keys", "sketch")
+    index = materialize(rows_in(index, "node", nodes.select("node"), copies), "simhash-index")
     texts = stored.select(F.col("row").alias("node"), F.col(f"c{names.index(text)}").cast("string").alias("text"))
     found = components(similar_links(index, texts, similarity, shingle), "similar-components")
     lowest = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("own").alias("lowest"))
-    kept = lowest.select(F.col("lowest")["row"].alias("row"))
-    return stored.join(kept, "row", "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    kept = materialize(lowest.select(F.col("lowest")["row"].alias("row")), "simhash-kept")
+    dropped = materialize(stored.select("row").join(kept, "row", "left_anti"), "simhash-dropped")
+    whole = stored.select("row", *[f"c{i}" for i in range(len(names))])
+    return rows_in(whole, "row", kept, dropped).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 _NUMBERS: dict[int, int] = {}

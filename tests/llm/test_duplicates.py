@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweft.llm import pq, simhash
 from logweft.llm.common import components
 from logweft.llm.queries import QUERIES
+from logweft.session import materialize
 
 from .conftest import ODD_ROWS
 
@@ -188,3 +189,28 @@ def test_query_vectors(llm, sf_small):
     root = _components(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(close))])
     got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op1_pq_near_duplicates"](llm, sf_small).collect()}
     assert got == {v: (int(close[i].sum()), root[v]) for i, v in enumerate(ids)}
+
+
+def test_texts_are_not_shuffled(llm, monkeypatch):
+    """Rows are told by filters where they lie; only those that both filters let pass are joined."""
+    from logweft.llm import common
+
+    rows = materialize(llm.range(0, 3000, 1, 3).select(F.col("id").alias("row"), F.concat(F.lit("a b c d e f "), "id").alias("text")))
+    wanted = materialize(rows.filter("row % 7 < 3").select("row"))
+    others = materialize(rows.filter("row % 7 >= 3").select(F.col("row").alias("node")))
+    broadcast = llm.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for bits in (common.FILTER_BITS, 1 << 10):  # a few rows pass both filters, and most
+            monkeypatch.setattr(common, "FILTER_BITS", bits)
+            found = common.rows_in(rows, "row", wanted, others).collect()
+            assert sorted(r.row for r in found) == [i for i in range(3000) if i % 7 < 3]
+            assert all(r.text == f"a b c d e f {r.row}" for r in found)
+        texts = rows.withColumnRenamed("row", "node")
+        named = wanted.select(F.array("row").alias("nodes"))
+        sets = simhash._sets(texts, named, simhash.JACCARD_SHINGLE)
+        assert "SortMergeJoin" not in sets._jdf.queryExecution().executedPlan().toString()
+        assert {r.row for r in wanted.collect()} <= {r.node for r in sets.collect()}
+    finally:
+        llm.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert common.rows_in(rows, "row", wanted.limit(0), rows.select("row")).count() == 0
