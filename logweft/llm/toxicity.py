@@ -53,10 +53,13 @@ GAPS = {" ": (math.log(0.8), math.log(0.2)), "\n": (math.log(0.1), math.log(0.9)
 MARK = (math.log(0.5), math.log(0.3))
 
 LETTERS = 28  # a-z, other bytes of letters, space
+_STATES = LETTERS * LETTERS
 OTHER, SPACE = 26, 27
 _CLASS = np.full(256, SPACE, np.uint8)
 _CLASS[128:] = OTHER
 _CLASS[ord("a") : ord("z") + 1] = np.arange(26)
+_CLASS[ord("A") : ord("Z") + 1] = np.arange(26)
+_CLASSES = _CLASS.tobytes()
 
 _EDGES = b".,;:!?\"'()[]{}<>*#%&$|~^`/\\=+-_"
 _NOISE = re.compile(rb"[a-z\x80-\xff][^a-z\x80-\xff]|[^a-z\x80-\xff][a-z\x80-\xff]|([a-z])\1")
@@ -64,6 +67,13 @@ _NOISE = re.compile(rb"[a-z\x80-\xff][^a-z\x80-\xff]|[^a-z\x80-\xff][a-z\x80-\xf
 _PIECE = rb"(?:[a-z0-9@$!]|[\xc2-\xf4][\x80-\xbf]{1,3}){1,4}+(?![a-z0-9@$!\x80-\xff])"
 _PIECES = re.compile(rb"(?<![a-z0-9@$!\x80-\xff])" + _PIECE + rb"(?:[\s.,;:?\"'()\[\]{}<>*#%&|~^`/\\=+_-]++" + _PIECE + rb")+")
 _GAP = re.compile(rb"[^a-z0-9@$!\x80-\xff]+")
+_DOUBLED = re.compile(rb"([a-z])\1")
+
+# How two neighbouring pieces are read, by the last two letters of one and the first two of the other. Pieces with other characters
+# or double letters are decoded, single characters have no neighbours.
+_PAIRS = 26 * 26
+_DECODED, _SINGLE, _CODES = _PAIRS, _PAIRS + 1, _PAIRS + 2
+APART, JOINED, OPEN = 0, 1, 2
 
 
 # ------------------------------------------------------------------ character model
@@ -78,8 +88,8 @@ def character_counts(df: DataFrame, text: str = "text") -> np.ndarray:
             part, size = [], 0
             for t in [*texts_of(batch, text), None]:  # a few MB at a time: counting takes 8 bytes a letter
                 if part and (t is None or size > 4_000_000):
-                    data = b"  " + b"  ".join(part).lower() + b"  "
-                    c = _CLASS[np.frombuffer(data, np.uint8)].astype(np.uint16)
+                    data = b"  " + b"  ".join(part) + b"  "
+                    c = np.frombuffer(data.translate(_CLASSES), np.uint8).astype(np.uint16)
                     code = c[:-2] * np.uint16(LETTERS * LETTERS) + c[1:-1] * np.uint16(LETTERS) + c[2:]
                     total += np.bincount(code, minlength=LETTERS**3)
                     part, size = [], 0
@@ -125,22 +135,34 @@ def _arcs(c: str, last: str) -> list[tuple[str, int, float]]:
 
 def viterbi(word: str, model: list[float]) -> str:
     """The likeliest reading of ``word`` (lower case), words parted by spaces. States are the last two letters; O(length)."""
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(SPACE, SPACE): (0.0, ())}
+    key, score, path = SPACE * LETTERS + SPACE, 0.0, ()
+    states: dict[int, tuple[float, tuple]] = {}  # empty while there is but one state, which the three above are
     last = ""
     for c in word:
         arcs = _arcs(c, last)
         last = c
-        after: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (score, path) in states.items():
+        if len(arcs) == 1 and not states:  # a letter that stands for itself
+            letter, k, cost = arcs[0]
+            at = key * LETTERS + k
+            key, score, path = at % _STATES, score + cost + model[at], (path, letter)
+            continue
+        after: dict[int, tuple[float, tuple]] = {}
+        for key, (score, path) in states.items() if states else ((key, (score, path)),):
             for letter, k, cost in arcs:
                 if letter:
-                    key, value, way = (b, k), score + cost + model[(a * LETTERS + b) * LETTERS + k], (path, letter)
+                    at = key * LETTERS + k
+                    to, value, way = at % _STATES, score + cost + model[at], (path, letter)
                 else:
-                    key, value, way = (a, b), score + cost, path
-                if key not in after or value > after[key][0]:
-                    after[key] = (value, way)
+                    to, value, way = key, score + cost, path
+                if to not in after or value > after[to][0]:
+                    after[to] = (value, way)
         states = after
-    best = max(states.items(), key=lambda s: (s[1][0] + model[(s[0][0] * LETTERS + s[0][1]) * LETTERS + SPACE], s[0]))[1][1]
+        if len(states) == 1:
+            (key, (score, path)), = states.items()
+            states = {}
+    best = path
+    if states:
+        best = max(states.items(), key=lambda s: (s[1][0] + model[s[0] * LETTERS + SPACE], s[0]))[1][1]
     out = []
     while best:
         best, letter = best
@@ -148,6 +170,36 @@ def viterbi(word: str, model: list[float]) -> str:
     return "".join(reversed(out))
 
 
+def _neighbours(model: list[float]) -> bytes:
+    """For each end of a piece and beginning of the next whether ``viterbi`` drops the gap (``JOINED``) or keeps it (``APART``).
+
+    Both ways part at the gap and are in one state again two letters later, so that these four letters tell. ``OPEN``: too close to tell
+    by sums in another order, or a piece that is to be decoded.
+    """
+    m = np.array(model).reshape(LETTERS, LETTERS, LETTERS)
+    letters, (dropped, kept) = m[:26, :26, :26], GAPS["\n"]
+    join = dropped + letters[:, :, :, None] + letters[None]  # x y | z w: z after x y, w after y z
+    part = kept + m[:26, :26, SPACE][:, :, None, None] + m[:26, SPACE, :26][None, :, :, None] + m[SPACE, :26, :26][None, None]
+    table = np.full((_CODES, _CODES), OPEN, np.uint8)
+    told = np.where(join > part, JOINED, APART)
+    told[np.abs(join - part) < 1e-9] = OPEN
+    table[:_PAIRS, :_PAIRS] = told.reshape(_PAIRS, _PAIRS)
+    table[_SINGLE], table[:, _SINGLE] = APART, APART
+    return table.tobytes()
+
+
+def _piece(raw: bytes) -> tuple[bytes, int, int, int]:
+    """(piece, its characters, place of its end and of its beginning in the table of neighbours)."""
+    piece = raw.rstrip(b"!$@") or raw[:1]
+    n = len(piece) if piece.isascii() else len(piece.decode("utf-8", "replace"))
+    if n < 2:
+        return piece, n, _SINGLE * _CODES, _SINGLE
+    if not piece.isalpha() or _DOUBLED.search(piece):
+        return piece, n, _DECODED * _CODES, _DECODED
+    a, b, y, z = piece[0] - 97, piece[1] - 97, piece[-2] - 97, piece[-1] - 97
+    return piece, n, (y * 26 + z) * _CODES, a * 26 + b
+
+
 class Restorer:
     """Restored words, each distinct one decoded once."""
 
@@ -155,11 +207,15 @@ class Restorer:
         self.model = model
         self.words = _Memory(self.word, MEMORY)
         self.runs = _Memory(self.run, MEMORY)
+        self.pieces = _Memory(_piece, MEMORY // 4)
+        self.neighbours = _neighbours(model)
 
     def word(self, raw: bytes) -> tuple[str, ...]:
         """The readings of a word between white space. One that merely has a double letter is also read as written."""
         core = raw.rstrip(_EDGES)
         plain = core.lstrip(_EDGES)
+        if plain.isalpha() and not _DOUBLED.search(plain) and len(plain) == len(core):
+            return (plain.decode(),)
         lead = core[: len(core) - len(plain)]
         if lead in (b"$", b"@", b"!", b"|") and len(plain) > 2:
             plain = lead + plain  # one sign before letters may be a letter
@@ -181,28 +237,34 @@ class Restorer:
         pieces every two neighbours, which is how a word falls into two.
         """
         found: set[str] = set()
+        piece_of, neighbours = self.pieces.__getitem__, self.neighbours
         for m in _PIECES.finditer(low):
-            run: list[tuple[bytes, int]] = []
-            for raw in [*_GAP.split(m[0]), b""]:
-                piece = raw.rstrip(b"!$@") or raw[:1]
-                n = len(piece) if piece.isascii() else len(piece.decode("utf-8", "replace"))
-                if run and run[-1][1] > 1 < n:
-                    joined = self.runs[run[-1][0] + b"\n" + piece]
-                    if joined:
-                        found.update(joined)
-                if 0 < n < 4:
-                    run.append((piece, n))
-                    continue
-                if len(run) > 2:
-                    found |= self._short(run)
-                run = [(piece, n)] if n else []
+            pieces = list(map(piece_of, _GAP.split(m[0])))
+            single = False
+            end, before = _SINGLE * _CODES, b""
+            for piece, n, after, start in pieces:
+                if how := neighbours[end + start]:
+                    if how == JOINED:
+                        found.add((before + piece).decode())
+                    else:
+                        found.update(self.runs[before + b"\n" + piece])
+                end, before = after, piece
+                if n == 1:
+                    single = True
+            if single and len(pieces) > 2:
+                run: list[tuple[bytes, int]] = []
+                for piece, n, _, _ in [*pieces, (b"", 0, 0, 0)]:
+                    if 0 < n < 4:
+                        run.append((piece, n))
+                        continue
+                    if len(run) > 2:
+                        found |= self._short(run)
+                    run = []
         return found
 
     def _short(self, run: list[tuple[bytes, int]]) -> set[str]:
-        if run and run[0][1] > 3:
-            run = run[1:]  # it only met its neighbour
         found: set[str] = set()
-        if len(run) < 3 or not any(n == 1 for _, n in run):
+        if not any(n == 1 for _, n in run):
             return found
         joined = run[0][0]
         for (_, before), (piece, n) in zip(run, run[1:]):
@@ -352,8 +414,11 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "s
 @functools.lru_cache(maxsize=1)
 def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str, float], ...]):
     restorer, weights = Restorer(list(characters)), dict(items)
+    heads = {f[: PREFIXES[0]] for f in weights}  # words that begin otherwise have no weight, nor have their beginnings
 
     def weigh(word: str) -> float:
+        if word[: PREFIXES[0]] not in heads:
+            return base
         return max([weights.get(f, base) for f in features_of(word)])
 
     chances = _Memory(lambda raw: max(map(weigh, restorer.word(raw)), default=base), MEMORY)

@@ -89,6 +89,24 @@ def test_viterbi_is_the_best_reading():
         assert max(value(t, c) for t, c in readings(word) if t == found) == pytest.approx(best)
 
 
+def test_neighbours_are_told_without_decoding(monkeypatch):
+    """Two plain pieces are read as decoding them reads them, by the letters at the gap alone."""
+    rng = random.Random(4)
+    model = toxicity.character_model(np.array([rng.randrange(1, 50) ** 2 for _ in range(toxicity.LETTERS**3)]))
+    restorer, calls, decode = toxicity.Restorer(model), [], toxicity.viterbi
+    monkeypatch.setattr(toxicity, "viterbi", lambda word, model: calls.append(word) or decode(word, model))
+    told = Counter()
+    for _ in range(3000):
+        first, second = ("".join(rng.choices("abcdeilnorst", k=rng.randrange(2, 5))) for _ in "ab")
+        doubled = any(a == b for w in (first, second) for a, b in zip(w, w[1:]))
+        calls.clear()
+        found = restorer.spaced(f"{first} {second}.".encode())
+        assert doubled or not calls
+        assert found == set(decode(f"{first}\n{second}", model).split(" ")) - {first, second, ""}
+        told[bool(found)] += not doubled
+    assert min(told.values()) > 100
+
+
 def test_toxicity_of_odd_rows(llm, odd, insults):
     model = toxicity.fit(odd, insults[1].limit(0))
     got = toxicity.score(odd.withColumnRenamed("lang", "score"), model).collect()
