@@ -2,8 +2,9 @@
 
 A byte pair that no vocabulary token holds side by side can never be merged, so the text may be
 cut there without looking further. The encoder cuts texts at white space and at the words of the
-tokenizer's own pattern, then at every such pair, encodes each distinct fragment once and
-joins the results. Ids equal those of the tokenizers library with ``add_special_tokens=False``.
+tokenizer's own pattern, then at every such pair, encodes what is new to a worker and
+joins the results. The fragments of all new words of some texts are merged at the same time, in arrays.
+Ids equal those of the tokenizers library with ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,15 +29,39 @@ from .common import add_columns, texts_of
 END = "</w>"
 NO_MERGE, FORCED = 1 << 40, 1 << 41
 
-#: Fragments and chunks remembered by a worker; the memory is emptied when full.
+#: Fragments, words and chunks remembered by a worker; a memory that is full is emptied, but for what is wanted now if that is known.
 CACHE_SIZE = 400_000
 
+#: Bytes of texts that are taken together, about, and words merged at the same time; words of more than ``LONG_WORD`` bytes,
+#: and few words, are merged by themselves.
+AT_ONCE, WORDS_AT_ONCE, LONG_WORD, FEW_WORDS = 4 << 20, 1 << 15, 60, 200
+#: Texts whose ids are joined together.
+SOME_TEXTS = 128
+
 # Words of plain chunks, in the tokenizer's own pattern; all other texts go through the library's own steps.
 _OWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = regex.compile(_OWN_PATTERN)
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 # Below this letter there are no combining marks, and lower case needs no context.
 _FIRST_MARK = "\u0250"
+# Chunks that are surely below it and hold no special token.
+_NOT_PLAIN = re.compile(rb"[\xc9-\xff]|<\|")
+
+
+def _keep(memory: dict, wanted: Iterable) -> None:
+    """Forget all but what is wanted now."""
+    known = {k: memory[k] for k in wanted if k in memory}
+    memory.clear()
+    memory.update(known)
+
+
+@functools.lru_cache(maxsize=1)
+def _plain_words() -> Callable[[str], list[str]]:
+    """The words of a chunk without ``_NOT_PLAIN``, in lower case; what the own pattern finds, told by lists of letters."""
+    low = sorted({c for i in range(ord(_FIRST_MARK)) for c in chr(i).lower()})
+    kinds = ["".join(re.escape(c) for c in low if regex.fullmatch(kind, c)) for kind in (r"\p{L}", r"\p{N}", r"\s")]
+    letters, numbers, spaces = kinds
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,6 +86,94 @@ class _Memory(dict):
         return value
 
 
+class _Merges:
+    """The merges and the pairs inside tokens as arrays, and many words merged by them at the same time."""
+
+    NONE = np.int64(1) << 62  # above every rank and place
+    _MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocab: dict[str, int], rank: dict[tuple[str, str], int], inner: dict[tuple[str, str], int]):
+        letters = _byte_letters()
+        self.symbol = np.array([[vocab[letters[b] + end] for b in range(256)] for end in ("", END)], np.int64)
+        code = {letters[b] + end: b + 256 * n for n, end in enumerate(("", END)) for b in range(256)}
+        # Rank of two neighbouring bytes, the second one perhaps a word's last.
+        self.first = np.full((256, 512), FORCED, np.int64)
+        for (left, right), r in inner.items():
+            if code[left] < 256:
+                self.first[code[left], code[right]] = r
+        self.made = np.zeros(max(rank.values(), default=0) + 1, np.int64)
+        for (left, right), r in rank.items():
+            self.made[r] = vocab[left + right]
+        # Pairs and their ranks in a table with linear probing; a free place holds -1.
+        self.width = max(vocab.values()) + 1
+        bits = max(18, (4 * len(rank)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_MERGE, np.int64)
+        pairs = np.array([vocab[left] * self.width + vocab[right] for left, right in rank], np.int64)
+        for at, pair, r in zip(self._place(pairs).tolist(), pairs.tolist(), rank.values()):
+            while self.keys[at] >= 0:
+                at = (at + 1) & (len(self.keys) - 1)
+            self.keys[at], self.ranks[at] = pair, r
+
+    def _place(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.view(np.uint64) * self._MIX) >> self.shift).view(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, ``NO_MERGE`` if there is none."""
+        pairs = left * self.width + right
+        at = self._place(pairs)
+        held, out = self.keys[at], self.ranks[at]
+        open_ = np.flatnonzero((held != pairs) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[open_]]
+            out[open_] = self.ranks[at[open_]]
+            open_ = open_[(held != pairs[open_]) & (held >= 0)]
+        return out
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words, none empty. Each round merges the first pair of lowest rank in every fragment."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        last = np.zeros(len(data), np.int64)
+        last[ends - 1] = 1
+        token = self.symbol[last, data]
+        rank = np.full(len(data), FORCED, np.int64)
+        rank[:-1] = self.first[data[:-1], data[1:] + (last[1:] << 8)]
+        rank[ends - 1] = FORCED
+        start = np.flatnonzero(np.concatenate([[True], rank[:-1] == FORCED]))
+        # A pair's key is its rank and its place, so that the least key is the first one of lowest rank.
+        out, place = np.full(len(data), -1, np.int64), np.arange(len(data))
+        key = np.where(rank < NO_MERGE, rank << 32 | place, self.NONE)
+        while len(start):
+            best = np.minimum.reduceat(key, start)
+            size = np.diff(start, append=len(key))
+            more = best < self.NONE
+            if not more.all():  # ended fragments leave
+                stay = np.repeat(more, size)
+                out[place[~stay]] = token[~stay]
+                token, place, key, size, best = token[stay], place[stay], key[stay], size[more], best[more]
+                if not len(size):
+                    break
+                start = np.cumsum(size) - size
+            at = np.searchsorted(place, best & 0xFFFFFFFF)
+            token[at] = self.made[best >> 32]
+            stay = np.ones(len(place), bool)
+            stay[at + 1] = False
+            token, place, key = token[stay], place[stay], key[stay]
+            at -= np.arange(len(at))  # one token has left before each place, for every fragment before it
+            start = start - np.arange(len(start))
+            size = size - 1
+            key[at] = self.NONE
+            for i in (at[at > start] - 1, at[at < start + size - 1]):
+                r = self.rank(token[i], token[i + 1])
+                key[i] = np.where(r < NO_MERGE, r << 32 | place[i], self.NONE)
+        kept = out >= 0
+        ids = out[kept].astype("<u4").tobytes()
+        to = (np.cumsum(kept)[ends - 1] * 4).tolist()
+        return [ids[i:j] for i, j in zip([0, *to], to)]
+
+
 class ForcedBoundaryBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -91,6 +207,9 @@ class ForcedBoundaryBpe:
         self.fragments = _Memory(lambda symbols: self._merge(list(symbols)), CACHE_SIZE // 2)
         self.words = _Memory(self._word)
         self.chunks = _Memory(self._chunk)
+        # Words of plain chunks as they are, not in byte letters.
+        self.plain: dict[str, bytes] = {}
+        self.merges = _Merges(self.vocab, self.rank, self.inner)
 
     @staticmethod
     def _symbols() -> list[str]:
@@ -177,6 +296,67 @@ class ForcedBoundaryBpe:
         """Ids as packed little-endian unsigned 32-bit numbers. Words never span white space."""
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """``encode`` of each text in turn. What is new in some texts is encoded together, and their ids are joined in arrays."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= AT_ONCE):
+                size += len(texts[hi])
+                hi += 1
+            split = pc.ascii_split_whitespace(pa.array(texts[lo:hi], pa.large_binary()).view(pa.large_string()))
+            coded = split.flatten().view(pa.large_binary()).dictionary_encode()
+            found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self._learn(found)
+            packed = list(map(self.chunks.__getitem__, found))
+            ids = np.frombuffer(b"".join(packed), "<u4")
+            count = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            begin = np.cumsum(count) - count
+            offsets, indices = split.offsets.to_numpy() - split.offsets[0].as_py(), coded.indices.to_numpy()
+            del split, coded, packed, found
+            for first in range(0, hi - lo, SOME_TEXTS):
+                of = offsets[first : first + SOME_TEXTS + 1]
+                chunk = indices[of[0] : of[-1]]
+                n = count[chunk]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                # Where the ids of each chunk begin, less the ids before it: a running number added to it walks through them.
+                joined = ids[np.repeat(begin[chunk] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+                to = (ends[of - of[0]] * 4).tolist()
+                for i, j in zip(to, to[1:]):
+                    yield joined[i:j]
+            lo = hi
+
+    def _learn(self, found: list[bytes]) -> None:
+        """Remember the ids of the plain ones of these different chunks; the others are left to be made when they are asked for."""
+        chunks, words = self.chunks, self.plain
+        new = [c for c in found if c not in chunks]
+        if len(chunks) + len(new) > chunks.size:
+            _keep(chunks, found)
+        if len(new) < FEW_WORDS:
+            return
+        joined = b" ".join(new)
+        if _NOT_PLAIN.search(joined):
+            new = [c for c in new if not _NOT_PLAIN.search(c)]
+            joined = b" ".join(new)
+        low = joined.decode("utf-8", "replace").lower().split(" ")
+        find = _plain_words()
+
+        def parts() -> set[str]:
+            return set(filter(str.isalpha, low)).union(chain.from_iterable(map(find, filterfalse(str.isalpha, low))))
+
+        unknown = [w for w in parts() if w not in words]
+        if len(words) + len(unknown) > CACHE_SIZE:
+            _keep(words, parts())
+        raw = list(map(str.encode, unknown))
+        short = [n for n, w in enumerate(raw) if len(w) <= LONG_WORD]
+        for i in range(0, len(short), WORDS_AT_ONCE):
+            some = short[i : i + WORDS_AT_ONCE]
+            words.update(zip([unknown[n] for n in some], self.merges.merge([raw[n] for n in some])))
+        if len(short) < len(raw):
+            words.update((w, self.words[b.decode("latin-1").translate(self.letters)]) for w, b in zip(unknown, raw) if len(b) > LONG_WORD)
+        # A word is found as itself, so a chunk that is a word needs no search.
+        chunks.update(zip(new, [words.get(w) or b"".join(map(words.__getitem__, find(w))) for w in low]))
+
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one space: this tokenizer has no decoder that would join them otherwise."""
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -198,7 +378,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = encoder(path)
-        packed = [bpe.encode(t) for t in texts_of(batch, text)]
+        packed = list(bpe.encode_all(texts_of(batch, text)))
         offsets = [0]
         for p in packed:
             offsets.append(offsets[-1] + len(p) // 4)
@@ -230,8 +410,8 @@ def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe = encoder(path)
         number = _numbers(path)
         counts, first, second = [], [], []
-        for t in texts_of(batch, text):
-            ids = memoryview(bpe.encode(t)).cast("I").tolist()
+        for packed in bpe.encode_all(texts_of(batch, text)):
+            ids = memoryview(packed).cast("I").tolist()
             counts.append(len(ids))
             first.append(hashlib.sha256(b" ".join(map(number.__getitem__, ids))).hexdigest())
             second.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

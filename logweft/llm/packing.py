@@ -48,8 +48,8 @@ def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text
         step = capacity * 4
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(texts_of(batch, text)):
-                ids = bpe.encode(t) + end
+            for i, ids in enumerate(bpe.encode_all(texts_of(batch, text))):
+                ids += end
                 for n, lo in enumerate(range(0, len(ids), step)):
                     part = ids[lo : lo + step]
                     at.append(i)

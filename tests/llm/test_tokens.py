@@ -47,6 +47,44 @@ def test_encoder_equals_library(path):
     check()
 
 
+def test_new_words_are_merged_together(path, monkeypatch):
+    """Texts of new plain words need no merging word by word, and have the library's ids."""
+    rng = np.random.default_rng(4)
+    parts = np.array(["th", "ing", "on", "é", "Ö", "ß", "queen", "x", "zq", "'s", "1", "###", ".", "²", "ª", "Ⱥ", "İ"])
+    texts = ["  ".join("".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(400)) for _ in range(6)]
+    want, _ = _library(path, texts)
+    mine = bpe.ForcedBoundaryBpe(path)
+    monkeypatch.setattr(mine, "_merge", lambda *_: 1 / 0)
+    got = [array("I", x).tolist() for x in mine.encode_all([t.encode() for t in texts])]
+    assert got == want
+
+
+def test_encode_all_equals_encode(path, monkeypatch):
+    """Whatever the texts are, and however little a worker may remember or take together."""
+    texts = [r[1] or "" for r in ODD_ROWS] + ["", " ", "a<|endoftext|>b <|", "中文 Ω ͅ", "w" * 61 + " " + "é" * 31, "\x00 \x1c\x85\xa0", "'s's 's"]
+    raw = [t.encode() for t in texts] + [b"\xc3 \x80 a\xe2b", b" \x80"]
+    one = bpe.ForcedBoundaryBpe(path)
+    want = [one.encode(t) for t in raw]
+    monkeypatch.setattr(bpe, "FEW_WORDS", 0)
+    assert list(bpe.ForcedBoundaryBpe(path).encode_all(raw)) == want
+    assert list(bpe.ForcedBoundaryBpe(path).encode_all([b"", b""])) == [b"", b""]
+    assert list(one.encode_all([])) == []
+    for name, value in (("AT_ONCE", 30), ("WORDS_AT_ONCE", 2), ("SOME_TEXTS", 2), ("CACHE_SIZE", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    small = bpe.ForcedBoundaryBpe(path)
+    small.chunks.size = 3
+    assert list(small.encode_all(raw + raw)) == want + want
+    pieces = st.sampled_from(["th", "ing", "'", "s", "'re", "S", "!", "...", " ", "\n", "\x1c", "\x85", "é", "Σ", "İ", "Ⱥ", "ɏ", "1", "½", "ª", "中", "ͅ", "</w>", "aaaa"])
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.lists(pieces | st.text(max_size=3), max_size=14).map("".join), max_size=4))
+    def check(found):
+        found = [t.encode("utf-8", "ignore").decode() for t in found]
+        assert [array("I", x).tolist() for x in small.encode_all([t.encode() for t in found])] == _library(path, found)[0]
+
+    check()
+
+
 def test_boundaries_are_certain(path):
     """Fragments on both sides of a forced boundary join to the ids of the whole; most long words have one."""
     mine = bpe.encoder(path)
