@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from logweft.llm import linecrf, packing, simhash, toxicity  # noqa: E402
-from logweft.llm.common import ship  # noqa: E402
+from logweft.llm.common import ship, small_batches  # noqa: E402
 from logweft.llm.queries import CAPACITY, END_ID, GOOD_AT, TOXIC_AT, held_out, table, vocabulary  # noqa: E402
 from logweft.session import materialize, tune  # noqa: E402
 
@@ -25,27 +25,27 @@ def _filtered(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7. The model is fitted on this stage's documents."""
-    ship(tune(spark))
+    small_batches(ship(tune(spark)))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(3, 1)))
     return _filtered(docs, toxicity.score(docs, model, out="__score"), F.col("__score") < TOXIC_AT)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.3."""
-    ship(tune(spark))
+    small_batches(ship(tune(spark)))
     model = linecrf.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(5, 0)))
     return _filtered(docs, linecrf.score(docs, model, out="__score"), F.col("__score") >= GOOD_AT)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates."""
-    ship(tune(spark))
+    small_batches(ship(tune(spark)))
     return simhash.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of at most 4096 tokens."""
-    ship(tune(spark))
+    small_batches(ship(tune(spark)))
     return packing.pack_documents(docs.select("doc_id", "text"), vocabulary(), CAPACITY, END_ID).drop("slot")
 
 

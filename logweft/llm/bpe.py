@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import add_columns, texts_of
+from .common import MEMORIES, add_columns, forget, texts_of
 
 END = "</w>"
 NO_MERGE, FORCED = 1 << 40, 1 << 41
@@ -365,9 +365,13 @@ class ForcedBoundaryBpe:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryBpe:
     """One encoder per worker process."""
+    forget(but=encoder.cache_clear)
     return ForcedBoundaryBpe(path)
 
 
+MEMORIES.append(encoder.cache_clear)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids (array of int) of every whole text.
 

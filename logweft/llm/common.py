@@ -46,10 +46,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 MEMORIES: list[Callable[[], None]] = []
 
 
-def forget() -> None:
-    """Give back what earlier jobs left in this worker; for operators that need the room in a pipeline."""
+def forget(but: Callable[[], None] | None = None) -> None:
+    """Give back what earlier jobs left in this worker; for operators that need the room in a pipeline. ``but``: the caller's own."""
     for empty in MEMORIES:
-        empty()
+        if empty != but:
+            empty()
     pa.default_memory_pool().release_unused()
 
 
@@ -127,6 +128,16 @@ def rows_in(df: DataFrame, column: str, wanted: DataFrame, others: DataFrame) ->
     return told.filter("NOT __other").select(*names).unionByName(unsure.select(*names))
 
 
+#: Bytes of an Arrow batch. Each running task holds some of them, in the JVM and in its Python worker, besides what operators remember.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let tasks pass their rows to Python in batches of ``BATCH_BYTES``; 10,000 whole texts may be far more."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 _SHIPPED: set[str] = set()
 
 

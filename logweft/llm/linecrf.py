@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import add_columns, texts_of
+from .common import add_columns, forget, texts_of
 
 #: Labelled documents that the model is fitted on, at most, in the order of a hash of their ids ...
 TRAIN_DOCS = 4_000
@@ -228,6 +228,7 @@ def fit(
     )
 
     def run(batches):
+        forget()
         for batch in batches:
             ids, quality = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out = []
@@ -298,6 +299,7 @@ def score(df: DataFrame, model: LineModel, text: str = "text", out: str = "score
     """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        forget()
         texts = texts_of(batch, text)
         parts, at, size = [np.zeros(0)], 0, 0
         for i, t in enumerate(texts):  # some MB of text at a time

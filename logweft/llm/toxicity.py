@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import _Memory
-from .common import MEMORIES, add_columns, texts_of
+from .common import MEMORIES, add_columns, forget, texts_of
 
 #: Labelled documents that the words are weighted on, at most; taken in the order of a hash of their ids.
 TRAIN_DOCS = 30_000
@@ -83,6 +83,7 @@ def character_counts(df: DataFrame, text: str = "text") -> np.ndarray:
     """Trigram counts of all texts by character class: at most 28^3 numbers, whatever the input."""
 
     def run(batches):
+        forget()
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
             part, size = [], 0
@@ -394,6 +395,7 @@ def _flush(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
 
 @functools.lru_cache(maxsize=1)
 def _restorer(characters: tuple[float, ...]) -> Restorer:
+    forget()
     return Restorer(list(characters))
 
 
@@ -413,6 +415,7 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "s
 
 @functools.lru_cache(maxsize=1)
 def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str, float], ...]):
+    forget()
     restorer, weights = Restorer(list(characters)), dict(items)
     heads = {f[: PREFIXES[0]] for f in weights}  # words that begin otherwise have no weight, nor have their beginnings
 

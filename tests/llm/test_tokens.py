@@ -6,10 +6,13 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logweft.llm import bpe, packing
+import corpus_pipeline
+from logweft.llm import bpe, common, packing, toxicity
 from logweft.llm.queries import QUERIES
 
 from .conftest import ODD_ROWS
@@ -164,3 +167,27 @@ def test_queries(llm, sf_small, path):
     assert len({r.sequence_id for r in got}) <= 1.02 * total / 4096 + 1
     counts = {r.doc_id: r.n_tokens for r in QUERIES["op3_bpe_round_trip"](llm, sf_small).collect()}
     assert counts == {r.doc_id: len(i) for r, i in zip(docs, want)}
+
+
+def test_stages_leave_each_other_room(llm, path):
+    """An encoder and a restorer are not remembered side by side, and whole texts come in batches of some MB."""
+    bpe.encoder(path)
+    toxicity._scorer((-1.0,) * toxicity.LETTERS**3, 0.1, ())
+    assert bpe.encoder.cache_info().currsize == 0
+    bpe.encoder(path)
+    assert toxicity._scorer.cache_info().currsize == 0
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = llm.conf.get(key)
+    try:
+        docs = llm.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))  # 40 MB in one task
+        corpus_pipeline.packed(llm, docs.select(F.lit(1).alias("doc_id"), "text").limit(0), "")
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+    finally:
+        llm.conf.set(key, before)
+    assert sum(r.n for r in got) == 2000
+    assert max(r.bytes for r in got) <= 2 * common.BATCH_BYTES
