@@ -18,6 +18,9 @@ from logweft.llm.common import ship, small_batches  # noqa: E402
 from logweft.llm.queries import CAPACITY, END_ID, GOOD_AT, TOXIC_AT, held_out, table, vocabulary  # noqa: E402
 from logweft.session import materialize, tune  # noqa: E402
 
+#: Entries of each memory of a worker: a JVM that runs all stages grows to its limit, and leaves its workers less room than that of one query.
+REMEMBERED = 100_000
+
 
 def _filtered(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
     return scored.filter(keep).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -26,8 +29,8 @@ def _filtered(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7. The model is fitted on this stage's documents."""
     small_batches(ship(tune(spark)))
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(3, 1)))
-    return _filtered(docs, toxicity.score(docs, model, out="__score"), F.col("__score") < TOXIC_AT)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(3, 1)), remembered=REMEMBERED)
+    return _filtered(docs, toxicity.score(docs, model, out="__score", remembered=REMEMBERED), F.col("__score") < TOXIC_AT)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of at most 4096 tokens."""
     small_batches(ship(tune(spark)))
-    return packing.pack_documents(docs.select("doc_id", "text"), vocabulary(), CAPACITY, END_ID).drop("slot")
+    return packing.pack_documents(docs.select("doc_id", "text"), vocabulary(), CAPACITY, END_ID, remembered=REMEMBERED).drop("slot")
 
 
 STAGES = [

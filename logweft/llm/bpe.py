@@ -29,7 +29,8 @@ from .common import MEMORIES, add_columns, forget, texts_of
 END = "</w>"
 NO_MERGE, FORCED = 1 << 40, 1 << 41
 
-#: Fragments, words and chunks remembered by a worker; a memory that is full is emptied, but for what is wanted now if that is known.
+#: Fragments, words and chunks remembered by a worker if its operator asks for no other number; a memory that is full is emptied, but for
+#: what is wanted now if that is known.
 CACHE_SIZE = 400_000
 
 #: Bytes of texts that are taken together, about, and words merged at the same time; words of more than ``LONG_WORD`` bytes,
@@ -175,7 +176,7 @@ class _Merges:
 
 
 class ForcedBoundaryBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -204,9 +205,10 @@ class ForcedBoundaryBpe:
             edge[left + right] = (edge[left][0], edge[right][1])
         self.letters = _byte_letters()
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        self.fragments = _Memory(lambda symbols: self._merge(list(symbols)), CACHE_SIZE // 2)
-        self.words = _Memory(self._word)
-        self.chunks = _Memory(self._chunk)
+        self.remembered = CACHE_SIZE if remembered is None else remembered
+        self.fragments = _Memory(lambda symbols: self._merge(list(symbols)), self.remembered // 2)
+        self.words = _Memory(self._word, self.remembered)
+        self.chunks = _Memory(self._chunk, self.remembered)
         # Words of plain chunks as they are, not in byte letters.
         self.plain: dict[str, bytes] = {}
         self.merges = _Merges(self.vocab, self.rank, self.inner)
@@ -345,7 +347,7 @@ class ForcedBoundaryBpe:
             return set(filter(str.isalpha, low)).union(chain.from_iterable(map(find, filterfalse(str.isalpha, low))))
 
         unknown = [w for w in parts() if w not in words]
-        if len(words) + len(unknown) > CACHE_SIZE:
+        if len(words) + len(unknown) > self.remembered:
             _keep(words, parts())
         raw = list(map(str.encode, unknown))
         short = [n for n, w in enumerate(raw) if len(w) <= LONG_WORD]
@@ -362,11 +364,11 @@ class ForcedBoundaryBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ForcedBoundaryBpe:
-    """One encoder per worker process."""
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, remembered: int | None = None) -> ForcedBoundaryBpe:
+    """One encoder per worker process. ``remembered``: entries of each of its memories at most, instead of ``CACHE_SIZE``."""
     forget(but=encoder.cache_clear)
-    return ForcedBoundaryBpe(path)
+    return ForcedBoundaryBpe(path, remembered)
 
 
 MEMORIES.append(encoder.cache_clear)

@@ -129,12 +129,15 @@ def rows_in(df: DataFrame, column: str, wanted: DataFrame, others: DataFrame) ->
 
 
 #: Bytes of an Arrow batch. Each running task holds some of them, in the JVM and in its Python worker, besides what operators remember.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Rows that a Parquet reader holds at once; Spark's 4,096 whole texts are arrays of many MB, each of which must lie in one piece.
+READ_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Let tasks pass their rows to Python in batches of ``BATCH_BYTES``; 10,000 whole texts may be far more."""
+    """Let tasks read ``READ_ROWS`` at a time and pass them to Python in batches of ``BATCH_BYTES``; 10,000 whole texts may be far more."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     return spark
 
 

@@ -26,13 +26,15 @@ GROUP_BINS, GROUP_PIECES = 2_048, 60_000
 PIECE = "piece int, start long, length long, ids_crc32 long, slot long"
 
 
-def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
+def pieces(
+    df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", remembered: int | None = None
+) -> DataFrame:
     """One row per piece: the columns of ``df`` without the text, and piece, start, length, ids_crc32, slot.
 
     A document is its ids and ``end_id`` (null and empty texts: ``end_id`` alone); only longer ones
     are cut, into pieces of ``capacity`` ids, the last one may be shorter. ``slot`` numbers the pieces
     by task. Columns of ``df`` with the names of the new columns are replaced; repeated rows
-    are packed as often as they occur; an empty table has no pieces.
+    are packed as often as they occur; an empty table has no pieces. ``remembered`` bounds what an encoder keeps (``bpe.encoder``).
     """
     new = [
         StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()),
@@ -43,7 +45,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = encoder(path, remembered)
         slot = TaskContext.get().partitionId() << 36
         step = capacity * 4
         for batch in batches:
@@ -148,12 +150,14 @@ def pack(pieces_table: DataFrame, capacity: int = 4096) -> DataFrame:
     return packed.unionByName(whole)
 
 
-def pack_documents(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
+def pack_documents(
+    df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", remembered: int | None = None
+) -> DataFrame:
     """Tokenize, cut and pack: one row per piece with its place.
 
     Returns the columns of ``df`` without the text, and piece, start, length, ids_crc32, slot,
     sequence_id, offset. Sequences are filled without gaps from offset 0 and hold at most
-    ``capacity`` ids. See ``pieces`` for nulls, empty texts, repeated rows and clashing names.
+    ``capacity`` ids. See ``pieces`` for nulls, empty texts, repeated rows, clashing names and ``remembered``.
     """
-    stored = materialize(pieces(df, path, capacity, end_id, text), "pieces")
+    stored = materialize(pieces(df, path, capacity, end_id, text, remembered), "pieces")
     return pack(stored, capacity)

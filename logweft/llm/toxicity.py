@@ -36,7 +36,7 @@ LEAST_TOLD = 2
 #: Its weight then has so many documents of the average toxicity added, instead of PRIOR_DOCS.
 SURE_DOCS = 1.5
 
-#: Distinct words that a worker remembers; the memory is emptied when full.
+#: Distinct words that a worker remembers if it is asked for no other number; the memory is emptied when full.
 MEMORY = 200_000
 
 # What signs commonly stand for.
@@ -204,11 +204,11 @@ def _piece(raw: bytes) -> tuple[bytes, int, int, int]:
 class Restorer:
     """Restored words, each distinct one decoded once."""
 
-    def __init__(self, model: list[float]):
+    def __init__(self, model: list[float], remembered: int = MEMORY):
         self.model = model
-        self.words = _Memory(self.word, MEMORY)
-        self.runs = _Memory(self.run, MEMORY)
-        self.pieces = _Memory(_piece, MEMORY // 4)
+        self.words = _Memory(self.word, remembered)
+        self.runs = _Memory(self.run, remembered)
+        self.pieces = _Memory(_piece, remembered // 4)
         self.neighbours = _neighbours(model)
 
     def word(self, raw: bytes) -> tuple[str, ...]:
@@ -299,12 +299,14 @@ class ToxicityModel:
     base: float  # chance without any of them
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_column: str = "doc_id", text: str = "text") -> ToxicityModel:
+def fit(
+    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_column: str = "doc_id", text: str = "text", remembered: int = MEMORY
+) -> ToxicityModel:
     """Fit on the labelled rows given (``id_column``, toxic); the character model on all texts.
 
     Rows with a null id or label teach nothing; a document labelled twice counts as toxic if one label says
     so. At most ``train_docs`` labelled documents are used, with their whole texts. Without any
-    toxic document every score is the base.
+    toxic document every score is the base. ``remembered`` bounds each memory of a worker; results do not depend on it.
     """
     characters = character_model(character_counts(docs, text))
     sample = (
@@ -317,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     )
 
     def run(batches):
-        restorer = _restorer(tuple(characters))
+        restorer = _restorer(tuple(characters), remembered)
         counts = (Counter(), Counter())
         for batch in batches:
             for t, y in zip(texts_of(batch), batch.column(1).to_pylist()):
@@ -349,14 +351,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
         .select("feature", chance.alias("p"), "toxic", "clean")
         .collect()
     )
-    telling = _telling(taught, {r["feature"]: r["p"] for r in kept}, tuple(characters))
+    telling = _telling(taught, {r["feature"]: r["p"] for r in kept}, tuple(characters), remembered)
     weights = {
         r["feature"]: (r["toxic"] + SURE_DOCS * rate) / (r["toxic"] + r["clean"] + SURE_DOCS) for r in kept if r["feature"] in telling
     }
     return ToxicityModel(tuple(characters), weights, min(rate / 2, 0.25))
 
 
-def _telling(taught: DataFrame, candidates: dict[str, float], characters: tuple[float, ...]) -> set[str]:
+def _telling(taught: DataFrame, candidates: dict[str, float], characters: tuple[float, ...], remembered: int = MEMORY) -> set[str]:
     """The candidates that are the most telling word of at least ``LEAST_TOLD`` toxic documents.
 
     Words that merely stand beside an insult, in many copies of one text or as another word's beginning,
@@ -364,7 +366,7 @@ def _telling(taught: DataFrame, candidates: dict[str, float], characters: tuple[
     """
 
     def run(batches):
-        restorer, counts = _restorer(characters), Counter()
+        restorer, counts = _restorer(characters, remembered), Counter()
         for batch in batches:
             for t, y in zip(texts_of(batch), batch.column(1).to_pylist()):
                 if y > 0:
@@ -394,29 +396,29 @@ def _flush(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
 
 
 @functools.lru_cache(maxsize=1)
-def _restorer(characters: tuple[float, ...]) -> Restorer:
+def _restorer(characters: tuple[float, ...], remembered: int = MEMORY) -> Restorer:
     forget()
-    return Restorer(list(characters))
+    return Restorer(list(characters), remembered)
 
 
-def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
+def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score", remembered: int = MEMORY) -> DataFrame:
     """Add the chance (0 to 1) that each whole text is toxic: that of its most telling restored word.
 
-    Empty and null texts, and texts without telling words, get the base. An input column ``out`` is replaced.
+    Empty and null texts, and texts without telling words, get the base. An input column ``out`` is replaced. For ``remembered`` see ``fit``.
     """
     characters, weights, base = model.characters, model.weights, model.base
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        scorer = _scorer(characters, base, tuple(weights.items()))
+        scorer = _scorer(characters, base, tuple(weights.items()), remembered)
         return [pa.array([scorer(t) for t in texts_of(batch, text)], pa.float64())]
 
     return add_columns(df, f"`{out}` double", make)
 
 
 @functools.lru_cache(maxsize=1)
-def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str, float], ...]):
+def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str, float], ...], remembered: int = MEMORY):
     forget()
-    restorer, weights = Restorer(list(characters)), dict(items)
+    restorer, weights = Restorer(list(characters), remembered), dict(items)
     heads = {f[: PREFIXES[0]] for f in weights}  # words that begin otherwise have no weight, nor have their beginnings
 
     def weigh(word: str) -> float:
@@ -424,7 +426,7 @@ def _scorer(characters: tuple[float, ...], base: float, items: tuple[tuple[str,
             return base
         return max([weights.get(f, base) for f in features_of(word)])
 
-    chances = _Memory(lambda raw: max(map(weigh, restorer.word(raw)), default=base), MEMORY)
+    chances = _Memory(lambda raw: max(map(weigh, restorer.word(raw)), default=base), remembered)
 
     def scored(text: bytes) -> float:
         low = text.lower()

@@ -191,3 +191,39 @@ def test_stages_leave_each_other_room(llm, path):
         llm.conf.set(key, before)
     assert sum(r.n for r in got) == 2000
     assert max(r.bytes for r in got) <= 2 * common.BATCH_BYTES
+
+
+def test_stages_bound_what_workers_hold(llm, path, monkeypatch):
+    """Batches of a megabyte, few rows read at once and small memories in all stages; ids do not depend on what is remembered."""
+    raw = [" ".join(f"{a}{b}x{i}" for a in "abcdef" for b in "ghijkl").encode() for i in range(60)]
+    small = bpe.ForcedBoundaryBpe(path, 50)
+    want = list(bpe.ForcedBoundaryBpe(path).encode_all(raw))
+    got = [ids for t in raw for ids in small.encode_all([t])]
+    assert got == want
+    assert max(map(len, (small.chunks, small.plain, small.words, small.fragments))) <= 50
+
+    words = [w for w in b"sh1t s-h-i-t h e l l o he llo go0d wo rd".split()] * 3
+    model = [-1.0] * toxicity.LETTERS**3
+    few, many = toxicity.Restorer(model, 4), toxicity.Restorer(model)
+    assert [few.of(b" ".join(words[i:])) for i in range(9)] == [many.of(b" ".join(words[i:])) for i in range(9)]
+    assert max(map(len, (few.words, few.runs, few.pieces))) <= 4
+
+    asked = {}
+    scores = toxicity.score
+    monkeypatch.setattr(toxicity, "fit", lambda *_, remembered, **__: asked.update(fit=remembered) or toxicity.ToxicityModel(tuple(model), {}, 0.1))
+    monkeypatch.setattr(toxicity, "score", lambda *a, remembered, **b: asked.update(score=remembered) or scores(*a, **b, remembered=remembered))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: llm.createDataFrame([], "doc_id long, toxic int"))
+    pack = corpus_pipeline.packing.pack_documents
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda *a, remembered, **b: asked.update(pack=remembered) or pack(*a, **b, remembered=remembered))
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [llm.conf.get(k) for k in keys]
+    try:
+        docs = llm.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+        assert corpus_pipeline.without_toxic(llm, docs, "").count() == 2
+        assert corpus_pipeline.packed(llm, docs, "").count() == 2
+        held = [int(llm.conf.get(k)) for k in keys]
+    finally:
+        for k, v in zip(keys, before):
+            llm.conf.set(k, v)
+    assert asked == dict.fromkeys(["fit", "score", "pack"], corpus_pipeline.REMEMBERED)
+    assert corpus_pipeline.REMEMBERED <= 100_000 and held[0] <= 1 << 20 and held[1] <= 512
