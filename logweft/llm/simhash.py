@@ -22,7 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, shuffled
 from .common import add_columns, components, forget, may_be_in, rows_in, texts_of
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
@@ -93,21 +93,20 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # A pair may share many keys; it counts at the first half that fits, equal halves at their first place.
     once = ((place < 32) == in_high) & ((own != 0) | (place % 32 == 0))
     close = F.bit_count(differ) <= distance
-    return (
-        a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & once & close)
-        .select("a", "b")
-    )
+    # 64 rows for each fingerprint of a small file: by shuffle, Spark would broadcast them.
+    same = (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))
+    return shuffled(a).join(b.withColumnRenamed("key", "key_b"), same & once & close).select("a", "b")
 
 
 def fingerprint_groups(rows: DataFrame, value: str, distance: int = DISTANCE) -> DataFrame:
     """(fp, lowest): for each distinct ``fp`` of the stored ``rows`` the smallest ``value`` in its component."""
     fps = materialize(rows.groupBy("fp").agg(F.min(value).alias("own")), "fingerprints")
     found = components(links(fps.select("fp"), distance), "fingerprint-links")
-    member = fps.join(found, fps["fp"] == found["node"], "left").select(
+    member = fps.join(shuffled(found), fps["fp"] == found["node"], "left").select(
         "fp", "own", F.coalesce("root", "fp").alias("root")
     )
     lowest = member.groupBy("root").agg(F.min("own").alias("lowest"))
-    return member.join(lowest, "root").select("fp", "lowest")
+    return member.join(shuffled(lowest), "root").select("fp", "lowest")
 
 
 def hex16(fp: Column) -> Column:
@@ -123,7 +122,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     base = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = materialize(add_fingerprints(base).select("id", "fp"), "simhash")
     groups = fingerprint_groups(rows, "id", distance)
-    return rows.join(groups, "fp").select(
+    return rows.join(shuffled(groups), "fp").select(
         F.col("id").alias(id_column), hex16(F.col("fp")).alias("fingerprint"), F.col("lowest").alias("component_id")
     )
 

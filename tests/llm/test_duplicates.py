@@ -69,6 +69,15 @@ def test_fingerprints_and_links(llm):
         assert simhash.fingerprint(text.encode()) == _fingerprint(text)
 
 
+def test_no_index_is_sent_to_the_driver(llm):
+    """64 rows are made of each fingerprint of a small file, and groups grow with the documents: all are joined by shuffle."""
+    docs = llm.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id") % 90, F.lit("b c"), F.col("id") % 7).alias("text"))
+    fps = materialize(docs.select(F.xxhash64("doc_id").alias("fp")))
+    for df, joins in ((simhash.links(fps), 1), (simhash.near_duplicates(docs), 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= joins, plan
+
+
 def test_near_duplicates_on_odd_rows(llm, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD_ROWS)
