@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweft.operators import region_lookup as rl
@@ -212,6 +213,22 @@ def test_regions_at_with_one_long_and_many_short(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((i, 2 * i, f"n{k}") for i in range(n) for k, (s, e) in enumerate(spans) if s <= i <= e)
 
 
+@pytest.mark.parametrize("few", [0, 4])
+def test_regions_at_steps_through_blocks(spark, monkeypatch, few):
+    """Pairs are made from the arrays of a block and not row by row in the join; repeated positions and nulls stay."""
+    monkeypatch.setattr(rl, "FEW_COLUMNS", few, raising=False)
+    monkeypatch.setattr(rl, "BLOCK_BITS", 5, raising=False)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(200)]), rng.choice([None, i]), rng.choice([None, {"k": str(i)}])) for i in range(300)]
+    spans = [(s, s + rng.choice([0, 1, 5, 150])) for s in rng.sample(range(200), 60)]
+    at = rl.regions_at(spark.createDataFrame(rows, "record_index long, id long, metadata map<string,string>"), make_regions(spark, spans))
+    got = [(r.record_index, r.id, str(r.metadata), r.name) for r in at.select("record_index", "id", "metadata", "region.name").collect()]
+    want = [(p, i, str(m), f"n{k}") for p, i, m in rows for k, (s, e) in enumerate(spans) if p is not None and s <= p <= e]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 3000
+    joins = [line for line in at._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 1 and "start_index" not in joins[0], joins
+
+
 def test_oldest_in_time_with_many_keys_in_one_pass(spark, small_chunks):
     """Many small keys beside each other in a partition: no call a key, and none takes another's starts."""
     rng = random.Random(5)
